@@ -39,7 +39,7 @@ def error_bars(summary: DataFrame, names: Sequence[str] = SUMMARY_METRICS) -> Da
 
 def site_model_pivot(metrics: DataFrame, metric: str, models: Sequence[str], site: str = "site_id") -> DataFrame:
     """One row per site, one column per model. A second row for a (site, model) fails the query."""
-    value = F.when(F.count("*") > 1, F.raise_error(F.lit("duplicate (site, model)")).cast("double")).otherwise(F.first(metric))
+    value = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("duplicate (site, model)")).cast("double")).otherwise(F.first(metric))
     return metrics.groupBy(site).pivot("model_type", list(models)).agg(value)
 
 

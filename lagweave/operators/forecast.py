@@ -5,8 +5,9 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.scaling import minmax
 from .lookup import lookup
 from .windows import LENGTH, lag_names, lags_array
 
@@ -140,17 +141,25 @@ def score_naive(windows: DataFrame) -> DataFrame:
     return windows.withColumns({"model_type": F.lit("naive"), "y_hat": F.col("lag_1")})
 
 
-def score_seasonal(windows: DataFrame, keys: Sequence[str] = ("site_id", "location"), period: str = "1 day") -> DataFrame:
-    """The value of the same series and slot one period earlier, the last value where there is none.
+def with_previous_period(
+    series: DataFrame, keys: Sequence[str] = ("site_id", "location"), value: str = "flow", ts: str = "ts"
+) -> DataFrame:
+    """Adds `previous`, the value of the same series and time of day one day earlier, NULL where there is none.
 
-    An equi-join on (keys, ts): a hot key spreads over its timestamps. `windows` must hold train and test rows.
+    A window over (keys, time of day) has one row a day, so no task gets a whole series.
     """
-    later = (F.col("ts") + F.expr(f"interval {period}")).alias("ts")
-    earlier = windows.groupBy(*keys, later).agg(F.max("y").alias("_then"))
-    joined = windows.join(earlier, [*keys, "ts"], "left")
-    return joined.withColumns(
-        {"model_type": F.lit("seasonal_naive"), "y_hat": F.coalesce("_then", "lag_1")}
-    ).drop("_then")
+    slot = F.date_format(ts, "HH:mm:ss.SSSSSS").alias("_slot")
+    days = Window.partitionBy(*keys, "_slot").orderBy(ts, value)
+    day_before = F.col(ts) - F.expr("interval 1 day")
+    dated = series.select("*", slot)
+    earlier = F.when(F.to_date(F.lag(ts).over(days)) == F.to_date(day_before), F.lag(value).over(days))
+    return dated.withColumn("previous", earlier).drop("_slot")
+
+
+def score_seasonal(windows: DataFrame) -> DataFrame:
+    """The `previous` value (see `with_previous_period`) on the windows' scale, the last value where there is none."""
+    then = minmax(F.col("previous"), F.col("x_min"), F.col("x_max"))
+    return windows.withColumns({"model_type": F.lit("seasonal_naive"), "y_hat": F.coalesce(then, F.col("lag_1"))})
 
 
 def score_pooled(

@@ -4,19 +4,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.compare import model_summary
 from ..operators.evaluate import as_predictions, regression_report
-from ..operators.forecast import fit_ar1, score_ar, score_naive, score_seasonal
+from ..operators.forecast import fit_model, score_ar, score_naive, score_seasonal, with_previous_period
 from ..operators.scale import unscale
 from ..operators.select import with_location
+from ..operators.windows import lag_windows
 
 
-def baseline_predictions(windows: DataFrame, unscaled: bool = True) -> DataFrame:
+def baseline_predictions(series: DataFrame, unscaled: bool = True, **how) -> DataFrame:
     """Test predictions of naive, seasonal_naive and ar1: (site_id, location, ts, model_type, y, y_hat).
 
-    One pass adds a prediction column per model; the columns then become rows, so the windows are built once.
+    Every model adds a prediction column to one pass over the windows; the columns then become rows.
     """
-    coefs = fit_ar1(windows.where(F.col("split") == "train")).drop("model_type")
-    seasonal = score_seasonal(windows).where(F.col("split") == "test").withColumnRenamed("y_hat", "seasonal_naive")
-    rows = score_ar(seasonal.drop("model_type"), coefs, length=1).withColumnsRenamed({"y_hat": "ar1"})
+    windows = lag_windows(with_previous_period(series), **how)
+    coefs = fit_model("ar1", windows).drop("model_type")
+    rows = score_ar(windows.where(F.col("split") == "test"), coefs, length=1).withColumnRenamed("y_hat", "ar1")
+    rows = score_seasonal(rows).withColumnRenamed("y_hat", "seasonal_naive").drop("model_type")
     return _models_as_rows(rows.withColumn("naive", F.col("lag_1")), ["naive", "seasonal_naive", "ar1"], unscaled)
 
 

@@ -238,7 +238,7 @@ SQL: dict[str, str] = {
         fit AS (SELECT min(flow) AS lo, max(flow) - min(flow) AS span FROM lines WHERE split = 'train'),
         numbered AS (
           SELECT *, row_number() OVER w AS rn, {", ".join(f"lag(flow, {k}) OVER w AS r{k}" for k in _LAGS)} FROM lines
-          WINDOW w AS (PARTITION BY split ORDER BY ts, l_orderkey, l_linenumber))
+          WINDOW w AS (PARTITION BY split ORDER BY ts, l_orderkey, l_linenumber, flow))
         SELECT split, l_orderkey, l_linenumber, rn - 12 AS idx,
                {", ".join(f"round((r{k} - lo) / span, 6) AS lag_{k}" for k in _LAGS)}, round((flow - lo) / span, 6) AS y
         FROM numbered CROSS JOIN fit WHERE rn > 12""",
@@ -305,7 +305,7 @@ SQL: dict[str, str] = {
     "pooled_metrics": f"""WITH {_PREDICTIONS} SELECT 'combined' AS site_id, 'Combined Dataset' AS location, model_type, {_six()}
         FROM scaled_predictions GROUP BY model_type""",
     "training_summary": f"""WITH {_PREDICTIONS} SELECT site_id, model_type, round(avg((y - y_hat) * (y - y_hat)), 6) AS loss,
-        round(100 * avg(abs(y - y_hat) / greatest(abs(y), CAST(1e-7 AS DOUBLE))), 6) AS mape_eps
+        round(100 * avg(abs(y - y_hat) / greatest(abs(y), CAST(1e-7 AS DOUBLE))), 2) AS mape_eps
         FROM scaled_predictions GROUP BY site_id, model_type""",
     "model_summary": f"WITH {_METRICS} SELECT model_type, {_SUMMARY_LIST} FROM metrics GROUP BY model_type",
     "model_summary_short": f"""WITH {_METRICS} SELECT model_type, round(avg(mape), 6) AS avg_mape, round(avg(rmse), 6) AS avg_rmse,

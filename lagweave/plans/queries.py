@@ -101,7 +101,7 @@ def run_history(spark, folder):
 
 
 def site_metrics_table(spark, folder):
-    return evaluate.regression_report(evaluation.baseline_predictions(windows(spark, folder)))
+    return evaluate.regression_report(evaluation.baseline_predictions(series(spark, folder)))
 
 
 # Reshape and clean
@@ -351,7 +351,7 @@ def lag_windows_suppliers(spark, folder):
 
 @query
 def lag_windows_per_file(spark, folder):
-    order = ("ts", "l_orderkey", "l_linenumber")
+    order = ("ts", "l_orderkey", "l_linenumber", "flow")
     rows = win.lag_windows_per_file(line_series(spark, folder), by_day(), order=order)
     return rounded(rows.select("split", "l_orderkey", "l_linenumber", "idx", *win.lag_names(), "y"))
 
@@ -501,7 +501,8 @@ def score_naive(spark, folder):
 
 @query
 def score_seasonal(spark, folder):
-    return _score_columns(forecast.score_seasonal(windows(spark, folder)).where(F.col("split") == "test"))
+    rows = win.lag_windows(forecast.with_previous_period(series(spark, folder)))
+    return _score_columns(forecast.score_seasonal(rows.where(F.col("split") == "test")))
 
 
 @query
@@ -563,13 +564,15 @@ def site_metrics_located(spark, folder):
 
 @query
 def pooled_metrics(spark, folder):
-    return rounded(evaluation.evaluate_pooled(evaluation.baseline_predictions(windows(spark, folder), unscaled=False)))
+    return rounded(evaluation.evaluate_pooled(evaluation.baseline_predictions(series(spark, folder), unscaled=False)))
 
 
 @query
 def training_summary(spark, folder):
-    scored = evaluation.baseline_predictions(windows(spark, folder), unscaled=False)
-    return rounded(evaluate.training_summary(scored, ["site_id", "model_type"]))
+    scored = evaluation.baseline_predictions(series(spark, folder), unscaled=False)
+    summary = evaluate.training_summary(scored, ["site_id", "model_type"])
+    # The clamped percentage runs to millions, where double sums keep fewer decimals.
+    return rounded(summary.withColumn("mape_eps", F.round("mape_eps", 2)))
 
 
 @query
