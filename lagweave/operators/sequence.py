@@ -61,15 +61,14 @@ def _sequence(df, keys, order, value, lags, chunk, fit_keys, fit_when):
         rows = rows.where(F.col(name).isNotNull())
     # The value breaks remaining ties, so equal order keys cannot give different results in two evaluations.
     local = Window.partitionBy(*at).orderBy(*order, *([value] if value else []))
-    rows = rows.withColumns(
-        {
-            "_rn": F.row_number().over(local),
-            "_more": F.lead(F.lit(1), 1).over(local),
-            **{f"_lag_{k}": F.lag(value, k).over(local) for k in range(1, lags + 1)},
-        }
+    numbered = rows.withColumns(
+        {"_rn": F.row_number().over(local), **{f"_lag_{k}": F.lag(value, k).over(local) for k in range(1, lags + 1)}}
     )
-    summaries = _summaries(rows, keys, value, lags, fit_keys, fit_when)
-    joined = rows.join(summaries, at)
+    if value:
+        chunks = _last_rows(numbered, at, local, value, lags, fit_when)
+    else:
+        chunks = rows.groupBy(*at).agg(F.count("*").alias("_size"))
+    joined = numbered.join(_summaries(chunks, keys, value, lags, fit_keys), at)
     return joined.select(
         *[c for c in df.columns if c != "chunk"],
         "chunk",
@@ -86,18 +85,23 @@ def _across_chunks(k: int) -> Column:
     return F.when(rn > k, F.col(f"_lag_{k}")).otherwise(F.try_element_at("_halo", rn - k - 1))
 
 
-def _summaries(rows, keys, value, lags, fit_keys, fit_when):
-    """One row per chunk: start position, size and extrema of the key, halo."""
-    at = [*keys, "chunk"]
-    own = {"_size": F.col("_rn")}
-    if lags:
-        own["_tail"] = F.array(*[f"_lag_{k}" for k in range(lags - 1, 0, -1)], value)
-    if value:
-        fitted = F.col(value) if fit_when is None else F.when(fit_when, F.col(value))
-        own["_lo"] = F.min(fitted).over(Window.partitionBy(*at))
-        own["_hi"] = F.max(fitted).over(Window.partitionBy(*at))
-    chunks = rows.withColumns(own).where(F.col("_more").isNull()).select(*at, *own)
+def _last_rows(numbered, at, local, value, lags, fit_when):
+    """The last row of every chunk: its number is the size, the running extrema are final and its lags are the tail."""
+    fitted = F.col(value) if fit_when is None else F.when(fit_when, F.col(value))
+    running = local.rowsBetween(Window.unboundedPreceding, 0)
+    marked = numbered.withColumns(
+        {
+            "_lo": F.min(fitted).over(running),
+            "_hi": F.max(fitted).over(running),
+            "_more": F.lead(F.lit(1), 1).over(local),
+        }
+    )
+    tail = F.array(*[f"_lag_{k}" for k in range(lags - 1, 0, -1)], value)
+    return marked.where(F.col("_more").isNull()).select(*at, F.col("_rn").alias("_size"), "_lo", "_hi", tail.alias("_tail"))
+
 
+def _summaries(chunks, keys, value, lags, fit_keys):
+    """One row per chunk: start position, size and extrema of the key, halo."""
     key = Window.partitionBy(*keys)
     along = key.orderBy("chunk")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
@@ -106,8 +110,7 @@ def _summaries(rows, keys, value, lags, fit_keys, fit_when):
         fit = key if fit_keys is None else Window.partitionBy(*fit_keys)
         out["x_min"] = F.min("_lo").over(fit)
         out["x_max"] = F.max("_hi").over(fit)
-    if lags:
         # Every chunk has a row, so the L chunks before hold the L values before.
         tails = F.flatten(F.collect_list("_tail").over(along.rowsBetween(-lags, -1)))
         out["_halo"] = F.filter(tails, lambda x: x.isNotNull())
-    return chunks.select(*at, *[c.alias(name) for name, c in out.items()])
+    return chunks.select(*keys, "chunk", *[c.alias(name) for name, c in out.items()])

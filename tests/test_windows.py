@@ -1,0 +1,197 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import SERIES, brute_windows, series_rows
+from lagweave.operators.catalog import split_sizes
+from lagweave.operators.sequence import by_day, by_hour, lag_frame, positions
+from lagweave.operators.windows import (
+    features_and_target,
+    lag_names,
+    lag_windows,
+    lag_windows_per_file,
+    pooled,
+    shuffled,
+    train_size,
+    validation_tail,
+    with_channel_axis,
+)
+
+
+def collected(windows, length):
+    return {
+        (r["site_id"], r["location"], r["ts"]): (r["idx"], r["split"], [r[c] for c in lag_names(length)], r["y"])
+        for r in windows.collect()
+    }
+
+
+def same(got, expected):
+    assert got.keys() == expected.keys()
+    for key, (idx, split, lags, y) in expected.items():
+        assert got[key][:2] == (idx, split), key
+        assert got[key][2] == pytest.approx(lags) and got[key][3] == pytest.approx(y), key
+
+
+# Site h holds far more than a third of the rows; its chunks vary from many rows to fewer than the lags.
+SIZES = {"h": 900, "c": 120, "d": 60, "e": 22, "f": 21}
+
+
+@pytest.mark.parametrize("chunk", ["day", "hour", "slot", "one"])
+@pytest.mark.parametrize("length", [1, 12])
+def test_windows_equal_brute_force_whatever_the_chunks(spark, chunk, length):
+    rows = series_rows(SIZES)
+    cut = {"day": by_day(), "hour": by_hour(), "slot": F.col("ts"), "one": F.lit(0)}[chunk]
+    series = spark.createDataFrame(rows, SERIES)
+    same(collected(lag_windows(series, length=length, chunk=cut), length), brute_windows(rows, length))
+
+
+@pytest.mark.parametrize("partitions", [1, 64])
+def test_windows_do_not_depend_on_partitioning(spark, partitions):
+    rows = series_rows(SIZES, seed=7)
+    series = spark.createDataFrame(rows, SERIES).repartition(partitions)
+    same(collected(lag_windows(series), 12), brute_windows(rows, 12))
+
+
+def test_counts_and_order_of_splits(spark):
+    rows = series_rows(SIZES, seed=3)
+    windows = lag_windows(spark.createDataFrame(rows, SERIES)).collect()
+    for site, n in SIZES.items():
+        own = [r for r in windows if r["site_id"] == site]
+        assert len(own) == (n - 12 if n >= 22 else 0)
+        train = [r["ts"] for r in own if r["split"] == "train"]
+        test = [r["ts"] for r in own if r["split"] == "test"]
+        assert len(train) + len(test) == len(own)
+        if own:
+            assert max(train) <= min(test)
+            assert len(train) == own[0]["n_train"]
+
+
+def test_short_and_shortest_site(spark):
+    rows = series_rows({"short": 21, "enough": 22})
+    sizes = {r["site_id"]: tuple(r)[1:] for r in split_sizes(lag_windows(spark.createDataFrame(rows, SERIES))).collect()}
+    assert sizes == {"enough": (7, 3)}
+
+
+def test_split_cut_is_binary_double(spark):
+    n = [90, 170, 180, 330, 340, 10, 2, 1]
+    rows = spark.createDataFrame([(x,) for x in n], "n bigint")
+    got = [r[0] for r in rows.select(train_size(F.col("n"))).collect()]
+    assert got[0] == 62
+    assert got[:6] == [int(x * 0.7) for x in n[:6]] and got[6] == 1
+
+
+# rows, train windows, test windows of the published per-site catalog
+PUBLISHED_SPLITS = [
+    (10944, 7652, 3280), (11904, 8324, 3568), (5856, 4090, 1754), (2976, 2074, 890), (9984, 6980, 2992),
+    (7488, 5233, 2243), (8928, 6241, 2675), (11136, 7786, 3338), (11712, 8189, 3511), (2496, 1738, 746), (5952, 4158, 1782),
+]
+
+
+def test_published_split_sizes(spark):
+    rows = spark.createDataFrame([(r[0] - 12,) for r in PUBLISHED_SPLITS], "n bigint")
+    train = [r[0] for r in rows.select(train_size(F.col("n"))).collect()]
+    assert [(n, t, n - 12 - t) for (n, _, _), t in zip(PUBLISHED_SPLITS, train)] == PUBLISHED_SPLITS
+
+
+def test_nulls_are_filled_before_windowing(spark):
+    rows = [(s, loc, ts, None if i % 5 == 0 else x) for i, (s, loc, ts, x) in enumerate(series_rows({"a": 60}))]
+    filled = [(s, loc, ts, x or 0.0) for s, loc, ts, x in rows]
+    same(collected(lag_windows(spark.createDataFrame(rows, SERIES)), 12), brute_windows(filled, 12))
+
+
+def test_constant_series_scales_to_zero(spark):
+    rows = [(s, loc, ts, 5.0) for s, loc, ts, _ in series_rows({"a": 40})]
+    windows = lag_windows(spark.createDataFrame(rows, SERIES)).collect()
+    assert {r["y"] for r in windows} == {0.0} and {r["lag_12"] for r in windows} == {0.0}
+
+
+def test_finer_keys(spark):
+    rows = series_rows({"a": 200})
+    windows = lag_windows(spark.createDataFrame(rows, SERIES), keys=("site_id", "location"), order=("ts",))
+    relabelled = [(f"{s}|{loc}", loc, ts, x) for s, loc, ts, x in rows]
+    expected = {(k[0].split("|")[0], *k[1:]): v for k, v in brute_windows(relabelled, 12).items()}
+    same(collected(windows, 12), expected)
+
+
+def test_equal_order_keys_give_one_result(spark):
+    ts = series_rows({"a": 1})[0][2]
+    rows = [("a", "x", ts, float(i)) for i in range(40)]
+    windows = lag_windows(spark.createDataFrame(rows, SERIES).repartition(7), length=2, chunk=by_day())
+    got = sorted((r["idx"], r["lag_2"], r["y"]) for r in windows.collect())
+    assert got == [(i - 1, pytest.approx((i - 2) / 39), pytest.approx(i / 39)) for i in range(2, 40)]
+
+
+def test_unscaled_windows(spark):
+    rows = [(s, loc, ts, float(i)) for i, (s, loc, ts, _) in enumerate(sorted(series_rows({"a": 30}), key=lambda r: (r[2], r[1])))]
+    windows = lag_windows(spark.createDataFrame(rows, SERIES), scale=False).orderBy("idx").collect()
+    assert [(r["lag_12"], r["lag_1"], r["y"]) for r in windows] == [(float(i), float(i + 11), float(i + 12)) for i in range(18)]
+
+
+def test_two_files(spark):
+    train = [float((i * 7) % 23 + 2) for i in range(50)]
+    test = [float((i * 11) % 31) for i in range(40)]
+    rows = [("train", i // 9, i, x) for i, x in enumerate(train)] + [("test", i // 9, i, x) for i, x in enumerate(test)]
+    series = spark.createDataFrame(rows, "source_file string, file_block bigint, file_order bigint, flow double")
+    windows = lag_windows_per_file(series, F.col("file_block")).collect()
+    lo, span = min(train), max(train) - min(train)
+    for name, values in (("train", train), ("test", test)):
+        scaled = [(x - lo) / span for x in values]
+        own = sorted((r for r in windows if r["split"] == name), key=lambda r: r["idx"])
+        assert len(own) == len(values) - 12
+        for i, r in enumerate(own):
+            assert [r[c] for c in lag_names()] == pytest.approx(scaled[i : i + 12]) and r["y"] == pytest.approx(scaled[i + 12])
+    assert max(r["y"] for r in windows) > 1
+
+
+def test_arrays(spark):
+    row = spark.range(1).select(F.array(*[F.lit(float(i)) for i in range(13)]).alias("w"))
+    out = row.select(*features_and_target(F.col("w"))).select("*", with_channel_axis(F.col("lags")).alias("nested")).first()
+    assert out["lags"] == [float(i) for i in range(12)] and out["y"] == 12.0
+    assert out["nested"] == [[float(i)] for i in range(12)]
+
+
+def test_pooling_stacks_by_name(spark):
+    a = spark.createDataFrame([(1, "x")], "n int, s string")
+    b = spark.createDataFrame([("y", 2)], "s string, n int")
+    assert sorted(tuple(r) for r in pooled(a, b, a).collect()) == [(1, "x"), (1, "x"), (2, "y")]
+
+
+def test_positions(spark):
+    rows = series_rows(SIZES, seed=5)
+    got = positions(spark.createDataFrame(rows, SERIES), ["site_id"], ["ts", "location"], by_day()).collect()
+    assert len(got) == len(rows)
+    for site, n in SIZES.items():
+        own = sorted((r["ts"], r["location"], r["idx"], r["n_rows"]) for r in got if r["site_id"] == site)
+        assert [r[2] for r in own] == list(range(1, n + 1)) and {r[3] for r in own} == {n}
+
+
+def test_shuffle_is_a_permutation_and_reproducible(spark):
+    train = lag_windows(spark.createDataFrame(series_rows(SIZES), SERIES)).where("split = 'train'")
+    first = {(r["site_id"], r["idx"]): r["shuffle_pos"] for r in shuffled(train).collect()}
+    again = {(r["site_id"], r["idx"]): r["shuffle_pos"] for r in shuffled(train.repartition(17)).collect()}
+    other = {(r["site_id"], r["idx"]): r["shuffle_pos"] for r in shuffled(train, seed=7).collect()}
+    assert first == again and first != other
+    for site in ("h", "c"):
+        own = {i: p for (s, i), p in first.items() if s == site}
+        assert sorted(own.values()) == list(range(1, len(own) + 1)) and any(i != p for i, p in own.items())
+    everywhere = [r["shuffle_pos"] for r in shuffled(train, keys=()).collect()]
+    assert sorted(everywhere) == list(range(1, len(first) + 1))
+
+
+@pytest.mark.parametrize("share", [0.1, 0.05])
+def test_validation_tail_size(spark, share):
+    train = lag_windows(spark.createDataFrame(series_rows(SIZES), SERIES)).where("split = 'train'")
+    rows = validation_tail(train, share).collect()
+    for site in ("h", "c", "d", "e"):
+        own = [r for r in rows if r["site_id"] == site]
+        kept = math.floor(len(own) * (1.0 - share))
+        assert sum(not r["is_validation"] for r in own) == kept
+        assert all(r["is_validation"] == (r["shuffle_pos"] > kept) for r in own)
+
+
+def test_lag_frame_keeps_all_rows(spark):
+    rows = series_rows(SIZES)
+    frame = lag_frame(spark.createDataFrame(rows, SERIES), ["site_id"], ["ts", "location"], "flow", 3, by_hour())
+    assert frame.count() == len(rows)
+    assert frame.where("lag_3 is null").count() == 3 * len(SIZES)
