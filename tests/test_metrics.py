@@ -1,0 +1,92 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lagweave.functions.metrics import mape_eps
+from lagweave.functions.scaling import minmax, unminmax
+from lagweave.operators.evaluate import join_truth, regression_report, training_summary
+from lagweave.operators.scale import minmax_fit, minmax_inverse, minmax_transform, unscale
+
+PRED = "site_id string, model_type string, y double, y_hat double"
+
+
+def report(spark, pairs):
+    return regression_report(spark.createDataFrame([("s", "m", a, b) for a, b in pairs], PRED)).first()
+
+
+def test_percentage_error_skips_zero_truth(spark):
+    assert report(spark, [(0.0, 3.0), (0.0, 5.0)])["mape"] == 0.0
+    assert report(spark, [(0.0, 3.0), (10.0, 5.0)])["mape"] == 50.0
+
+
+def test_constant_truth(spark):
+    exact = report(spark, [(4.0, 4.0), (4.0, 4.0)])
+    assert (exact["r2"], exact["explained_variance"]) == (1.0, 1.0)
+    off = report(spark, [(4.0, 3.0), (4.0, 7.0)])
+    assert (off["r2"], off["explained_variance"]) == (0.0, 0.0)
+    shifted = report(spark, [(4.0, 3.0), (4.0, 3.0)])
+    assert (shifted["r2"], shifted["explained_variance"]) == (0.0, 1.0)
+
+
+def test_single_row_has_no_r2(spark):
+    assert math.isnan(report(spark, [(4.0, 3.0)])["r2"])
+
+
+def test_metrics_against_plain_python(spark):
+    random.seed(2)
+    pairs = [(random.randint(0, 9) * 1.0, random.random() * 9) for _ in range(200)]
+    y, p = [a for a, _ in pairs], [b for _, b in pairs]
+    e = [a - b for a, b in pairs]
+    mean = lambda v: sum(v) / len(v)
+    var = lambda v: mean([(x - mean(v)) ** 2 for x in v])
+    got = report(spark, pairs)
+    assert got["mae"] == pytest.approx(mean([abs(x) for x in e]))
+    assert got["mse"] == pytest.approx(mean([x * x for x in e]))
+    assert got["rmse"] == pytest.approx(math.sqrt(mean([x * x for x in e])))
+    assert got["r2"] == pytest.approx(1 - mean([x * x for x in e]) / var(y))
+    assert got["explained_variance"] == pytest.approx(1 - var(e) / var(y))
+    assert got["mape"] == pytest.approx(100 * mean([abs(a - b) / a for a, b in pairs if a > 0]))
+
+
+def test_clamped_percentage_error(spark):
+    rows = spark.createDataFrame([(0.0, 0.1)], "y double, p double")
+    assert rows.select(mape_eps(F.col("y"), F.col("p"))).first()[0] == pytest.approx(1e8)
+    summary = training_summary(spark.createDataFrame([("s", "m", 2.0, 1.0), ("s", "m", 4.0, 4.0)], PRED)).first()
+    assert (summary["loss"], summary["mape_eps"]) == (0.5, 25.0)
+
+
+def test_alignment_is_by_key(spark):
+    truth = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 6.0)], "site_id string, t int, y double")
+    predictions = spark.createDataFrame([("a", 2, 60.0), ("a", 1, 50.0)], "site_id string, t int, y_hat double")
+    rows = join_truth(truth, predictions, ["site_id", "t"]).orderBy("t").collect()
+    assert [(r["y"], r["y_hat"]) for r in rows] == [(5.0, 50.0), (6.0, 60.0)]
+
+
+def test_scaling_expressions(spark):
+    rows = spark.createDataFrame([(5.0, 5.0, 5.0), (3.0, 1.0, 5.0)], "x double, lo double, hi double")
+    scaled = rows.withColumn("s", minmax(F.col("x"), F.col("lo"), F.col("hi")))
+    out = scaled.withColumn("b", unminmax(F.col("s"), F.col("lo"), F.col("hi"))).collect()
+    assert [(r["s"], r["b"]) for r in out] == [(0.0, 5.0), (0.5, 3.0)]
+
+
+def test_scaler_table_and_hot_key(spark):
+    rows = [("h", i, float(i % 50)) for i in range(2000)] + [("c", i, 7.0) for i in range(9)] + [("u", 0, 3.0)]
+    df = spark.createDataFrame(rows, "site_id string, ts int, flow double")
+    params = minmax_fit(df.where("site_id != 'u'"), ["site_id"])
+    scaled = minmax_transform(df, params, ["site_id"])
+    got = {(r["site_id"], r["ts"]): r["flow"] for r in scaled.collect()}
+    assert got == {(s, t): pytest.approx({"h": x / 49, "c": 0.0, "u": 3.0}[s]) for s, t, x in rows}
+    back = {(r["site_id"], r["ts"]): r["flow"] for r in minmax_inverse(scaled, params, ["site_id"]).collect()}
+    assert back == {(s, t): pytest.approx(x) for s, t, x in rows}
+
+
+def test_train_only_fit_and_carried_parameters(spark):
+    df = spark.createDataFrame([("a", "train", 2.0), ("a", "train", 4.0), ("a", "test", 8.0)], "k string, part string, flow double")
+    params = minmax_fit(df, ["k"], when=F.col("part") == "train")
+    assert tuple(params.first()) == ("a", 2.0, 4.0)
+    scaled = minmax_transform(df, params, ["k"], spread=["flow"])
+    assert sorted(r["flow"] for r in scaled.collect()) == [0.0, 1.0, 3.0]
+    row = spark.createDataFrame([(0.5, 1.0, 2.0, 6.0)], "y double, y_hat double, x_min double, x_max double")
+    assert tuple(unscale(row).first())[:2] == (4.0, 6.0)
