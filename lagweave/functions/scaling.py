@@ -3,13 +3,14 @@
 from pyspark.sql import Column, functions as F
 
 
-def _span(lo: Column, hi: Column) -> Column:
+def span(lo: Column, hi: Column) -> Column:
+    """Range of the fit set, 1 where it is a single value."""
     return F.when(hi == lo, F.lit(1.0)).otherwise(hi - lo)
 
 
 def minmax(x: Column, lo: Column, hi: Column) -> Column:
-    return (x - lo) / _span(lo, hi)
+    return (x - lo) / span(lo, hi)
 
 
 def unminmax(x: Column, lo: Column, hi: Column) -> Column:
-    return x * _span(lo, hi) + lo
+    return x * span(lo, hi) + lo

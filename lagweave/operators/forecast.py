@@ -148,12 +148,11 @@ def with_previous_period(
 
     A window over (keys, time of day) has one row a day, so no task gets a whole series.
     """
-    slot = F.date_format(ts, "HH:mm:ss.SSSSSS").alias("_slot")
+    slot = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
     days = Window.partitionBy(*keys, "_slot").orderBy(ts, value)
     day_before = F.col(ts) - F.expr("interval 1 day")
-    dated = series.select("*", slot)
-    earlier = F.when(F.to_date(F.lag(ts).over(days)) == F.to_date(day_before), F.lag(value).over(days))
-    return dated.withColumn("previous", earlier).drop("_slot")
+    earlier = F.when(F.lag(ts).over(days) == day_before, F.lag(value).over(days))
+    return series.withColumn("_slot", slot).withColumn("previous", earlier).drop("_slot")
 
 
 def score_seasonal(windows: DataFrame) -> DataFrame:

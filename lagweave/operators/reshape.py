@@ -12,7 +12,8 @@ def clean_wide(raw: DataFrame, site: str = WIDE_ID, location: str = WIDE_LOCATIO
 
     Slot columns stay as they are. Absent ones are tolerated by `wide_to_long`.
     """
-    slots = [c for c in slot_columns() if c in raw.columns]
+    present_columns = set(raw.columns)
+    slots = [c for c in slot_columns() if c in present_columns]
     return raw.select(
         canonical_id(F.col(f"`{site}`")).alias("site_id"),
         present(F.col(f"`{location}`")).alias("location"),
@@ -27,9 +28,10 @@ def wide_to_long(wide: DataFrame, fill: bool = True) -> DataFrame:
     Takes `site_id, location, day` and any of V00..V95, as text or double. One array explode, so the slot cells of a row
     are read once; text is parsed after the explode, inside generated code.
     """
-    names = [c for c in slot_columns() if c in wide.columns]
+    types = dict(wide.dtypes)
+    names = [c for c in slot_columns() if c in types]
     numbers = [int(c[1:]) for c in names]
-    text = dict(wide.dtypes)[names[0]] == "string"
+    text = types[names[0]] == "string"
     slot = F.col("pos")
     if numbers != list(range(len(numbers))):
         slot = F.element_at(F.array(*[F.lit(i) for i in numbers]), slot + 1)

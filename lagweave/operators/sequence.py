@@ -9,7 +9,9 @@ a key are cut into *chunks*: an expression that never decreases along the order,
    the L values before the chunk;
 4. the summaries join back on (keys, chunk). The rows are still partitioned and sorted that way, so only the summaries move.
 
-A key's summaries number as many as its chunks, which the calendar bounds, not the number of rows.
+A key's summaries number as many as its chunks, which the calendar bounds, not the number of rows. Days suit a key with
+some thousands of rows a day. For denser keys take `by_hour` or the timestamp itself, and where even one timestamp of one
+key is too much for a task, `sources.store.with_range_chunks`, which cuts by the whole order.
 """
 
 from collections.abc import Sequence
@@ -81,8 +83,7 @@ def _sequence(df, keys, order, value, lags, chunk, fit_keys, fit_when):
 
 def _across_chunks(k: int) -> Column:
     """Lag k: local where the chunk reaches back far enough, else from the end of the halo."""
-    rn = F.col("_rn")
-    return F.when(rn > k, F.col(f"_lag_{k}")).otherwise(F.try_element_at("_halo", rn - k - 1))
+    return F.expr(f"CASE WHEN _rn > {k} THEN _lag_{k} ELSE try_element_at(_halo, _rn - {k + 1}) END")
 
 
 def _last_rows(numbered, at, local, value, lags, fit_when):

@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scaling import minmax
+from ..functions.scaling import span
 from .sequence import by_day, lag_frame, positions
 
 LENGTH = 12
@@ -43,6 +43,7 @@ def lag_windows(
     """
     frame = lag_frame(series, keys, order, value, length, by_day() if chunk is None else chunk)
     windows = frame.where((F.col("n_rows") >= length + MARGIN) & (F.col("idx") > length))
+    windows = windows.withColumn("_span", span(F.col("x_min"), F.col("x_max")))
     idx, n = F.col("idx") - length, F.col("n_rows") - length
     n_train = train_size(n, share)
     return windows.select(
@@ -76,7 +77,7 @@ def lag_windows_per_file(
     frame = lag_frame(
         series, [*keys, source], order, value, length, chunk, fit_keys=keys, fit_when=F.col(source) == "train"
     )
-    windows = frame.where(F.col("idx") > length)
+    windows = frame.where(F.col("idx") > length).withColumn("_span", span(F.col("x_min"), F.col("x_max")))
     return windows.select(
         *[c for c in series.columns if c not in (value, "chunk")],
         "chunk",
@@ -91,11 +92,11 @@ def lag_windows_per_file(
 
 
 def _values(value, length, scale):
+    if not scale:
+        return [*lag_names(length), F.col(value).alias("y")]
     # Scaling is affine, so it commutes with taking lags and is done last.
-    def scaled(c):
-        return minmax(c, F.col("x_min"), F.col("x_max")) if scale else c
-
-    return [*[scaled(F.col(c)).alias(c) for c in lag_names(length)], scaled(F.col(value)).alias("y")]
+    scaled = [F.expr(f"({c} - x_min) / _span").alias(c) for c in lag_names(length)]
+    return [*scaled, F.expr(f"(`{value}` - x_min) / _span").alias("y")]
 
 
 def lags_array(length: int = LENGTH) -> Column:

@@ -20,6 +20,17 @@ def materialise(df: DataFrame, path: str, force: bool = False, fmt: str = "parqu
     (writer.partitionBy(*by) if by else writer).save(path)
 
 
+def with_range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int, path: str) -> DataFrame:
+    """The rows with a `chunk` of about equal size each, cut along (keys, order) whatever their distribution.
+
+    The cuts are sampled, so they are written to `path` with the rows and read back: every later use sees the same ones,
+    also after a lost executor. Pass `chunk=F.col("chunk")` to the sequence operators.
+    """
+    ranged = df.repartitionByRange(parts, *keys, *order).withColumn("chunk", F.spark_partition_id())
+    ranged.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def write_windows(windows: DataFrame, path: str, per_site: bool = True, force: bool = False) -> None:
     """The window table, in folders by split and, if `per_site`, by site.
 

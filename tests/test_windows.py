@@ -17,6 +17,7 @@ from lagweave.operators.windows import (
     validation_tail,
     with_channel_axis,
 )
+from lagweave.sources.store import with_range_chunks
 
 
 def collected(windows, length):
@@ -53,6 +54,16 @@ def test_windows_do_not_depend_on_partitioning(spark, partitions):
     same(collected(lag_windows(series), 12), brute_windows(rows, 12))
 
 
+def test_range_chunks_cut_one_hot_timestamp(spark, tmp_path):
+    ts = series_rows({"a": 1})[0][2]
+    hot = [("h", f"{i:04d}", ts, float(i * 37 % 101)) for i in range(600)]
+    rows = hot + series_rows({"c": 60, "h": 90}, seed=4)
+    ranged = with_range_chunks(spark.createDataFrame(rows, SERIES), ["site_id"], ["ts", "location"], 16, str(tmp_path / "r"))
+    per_chunk = [r["count"] for r in ranged.groupBy("chunk").count().collect()]
+    assert max(per_chunk) < len(rows) / 4
+    same(collected(lag_windows(ranged, chunk=F.col("chunk")), 12), brute_windows(rows, 12))
+
+
 def test_counts_and_order_of_splits(spark):
     rows = series_rows(SIZES, seed=3)
     windows = lag_windows(spark.createDataFrame(rows, SERIES)).collect()
