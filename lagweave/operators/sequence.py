@@ -70,7 +70,8 @@ def _sequence(df, keys, order, value, lags, chunk, fit_keys, fit_when):
         chunks = _last_rows(numbered, at, local, value, lags, fit_when)
     else:
         chunks = rows.groupBy(*at).agg(F.count("*").alias("_size"))
-    joined = numbered.join(_summaries(chunks, keys, value, lags, fit_keys), at)
+    # A merge join takes the rows as they lie; without the hint a low size estimate could broadcast them.
+    joined = numbered.join(_summaries(chunks, keys, value, lags, fit_keys).hint("merge"), at)
     return joined.select(
         *[c for c in df.columns if c != "chunk"],
         "chunk",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from helpers import SERIES, series_rows
+from lagweave.operators.lookup import lookup
 from lagweave.operators.windows import lag_windows
 from lagweave.plans import queries
 
@@ -43,10 +44,37 @@ def test_the_two_uses_of_the_rows_share_one_exchange(spark, tmp_path):
     consumed.collect()
     final = initial_plan(consumed).split("Initial Plan")[0]
     assert "ReusedExchange" in final
-    assert len(re.findall(r"Exchange hashpartitioning\(site_id#\d+, chunk#\d+", final.replace("ReusedExchange", ""))) <= 2
+    own = "\n".join(line for line in final.split("\n") if "ReusedExchange" not in line)
+    # That of the rows, and that of the summaries on their way back.
+    assert len(re.findall(r"Exchange hashpartitioning\(site_id#\d+, chunk#\d+", own)) == 2
     assert final.count("FileScan") == 1
 
 
+def test_rows_are_not_broadcast(spark):
+    windows = lag_windows(spark.createDataFrame(series_rows({"a": 50}), SERIES))
+    plan = initial_plan(windows)
+    assert "BroadcastExchange" not in plan and "SortMergeJoin [site_id" in plan
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_lookup_gives_the_same_with_and_without_broadcast(spark, how):
+    rows = spark.createDataFrame([("h", i) for i in range(900)] + [("c", 0), ("x", 1)], "site_id string, ts int")
+    table = spark.sql("SELECT * FROM VALUES ('h'), ('c'), ('z') AS t(site_id)")
+    table = table if how == "left_semi" else table.withColumn("n", F.length("site_id"))
+    small = lookup(rows, table, ["site_id"], ["ts"], how)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = lookup(rows, table, ["site_id"], ["ts"], how)
+        assert "SortMergeJoin" in initial_plan(large)
+        expected = sorted(map(tuple, large.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in initial_plan(small)
+    assert sorted(map(tuple, small.collect()), key=str) == expected
+    assert len(expected) == (902 if how == "left" else 901)
+
+
 def test_scan_reads_needed_columns_only(spark, small):
     plan = initial_plan(queries.REGISTRY["profile_hour"](spark, small))
     assert re.search(r"ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>", plan)
