@@ -1,19 +1,27 @@
 """Where intermediate tables go."""
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in `spark.checkpoint.dir`; a temporary one where none is set, as in tests."""
+    """A folder that the driver and all executors share.
+
+    The one the session names in `spark.checkpoint.dir`; where none is set, as in a local test, one below the warehouse.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="lagweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lagweave-scratch"
     return folder.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read back: later uses see one result, also after a lost executor."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
