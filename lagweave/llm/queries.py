@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.events import read_table
-from . import exact_dedup, sharding, simhash
+from . import exact_dedup, quality, sharding, simhash
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,6 +34,12 @@ def op7_sharding(spark, folder):
     return sharding.shard_rows(read_table(spark, folder, "documents"), 16)
 
 
+@query
+def op9_quality_classifier(spark, folder):
+    """Quality score of every document, learned from the labelled ones that are not held out."""
+    return quality.quality_scores(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 SQL["op4_exact_dedup"] = r"""
 WITH rows AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
