@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.events import read_table
-from . import exact_dedup, quality, sharding, simhash
+from . import decontaminate, exact_dedup, quality, sharding, simhash
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,6 +40,12 @@ def op9_quality_classifier(spark, folder):
     return quality.quality_scores(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
+@query
+def op10_benchmark_decontamination(spark, folder):
+    """The benchmark items that documents hold, edited ones included, over all documents."""
+    return decontaminate.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 SQL["op4_exact_dedup"] = r"""
 WITH rows AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
