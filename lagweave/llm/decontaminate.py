@@ -20,11 +20,12 @@ a few words are no evidence. Repeated items match each under its own id. Repeate
 matches and drop no rows. Texts without spaces have one window, at their start. Further columns are kept by `keep_clean`.
 """
 
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import map_batches, ship, text_of, utf8
 
@@ -245,14 +246,17 @@ def leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_col
     return out.withColumnRenamed("_id", id_column)
 
 
+def _clean(block: Items) -> Callable[[pa.Array], pa.Array]:
+    def clean(texts: pa.Array) -> pa.Array:
+        found = {hit[0] for hit in _matches(block, [(t or "").encode() for t in texts.to_pylist()])}
+        return pa.array([k not in found for k in range(len(texts))])
+
+    return clean
+
+
 def keep_clean(docs: DataFrame, items: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows of `docs` that hold no item."""
     ship(docs.sparkSession)
     for block in item_blocks(items):
-
-        def clean(texts: pa.Array, block=block) -> pa.Array:
-            found = {hit[0] for hit in _matches(block, [(t or "").encode() for t in texts.to_pylist()])}
-            return pa.array([k not in found for k in range(len(texts))])
-
-        docs = docs.where(F.arrow_udf(clean, "boolean")(text_of(text_column)))
+        docs = docs.where(F.arrow_udf(_clean(block), "boolean")(text_of(text_column)))
     return docs

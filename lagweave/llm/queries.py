@@ -2,10 +2,13 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from ..sources.events import read_table
-from . import decontaminate, exact_dedup, quality, sharding, simhash
+from . import bpe, decontaminate, exact_dedup, quality, sharding, simhash
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -16,6 +19,12 @@ def query(function):
     return function
 
 
+@query
+def op1_bpe_encoding(spark, folder):
+    """Token ids of every document and the text they decode to, as digests."""
+    return bpe.encode_documents(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op3_simhash_near_dedup(spark, folder):
     """Fingerprint of three-word shingles and component at three differing bits or fewer, for every document."""
@@ -46,6 +55,12 @@ def op10_benchmark_decontamination(spark, folder):
     return decontaminate.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+@query
+def pipeline(spark, folder):
+    """The stages of corpus_pipeline.py over all documents."""
+    return corpus_pipeline.run(spark, folder)
+
+
 SQL["op4_exact_dedup"] = r"""
 WITH rows AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
