@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from ..sources.events import read_table
-from . import bpe, decontaminate, exact_dedup, quality, sharding, simhash
+from . import bpe, decontaminate, exact_dedup, quality, sharding, simhash, token_files
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,6 +43,12 @@ def op7_sharding(spark, folder):
     return sharding.shard_rows(read_table(spark, folder, "documents"), 16)
 
 
+@query
+def op8_token_files(spark, folder):
+    """All documents as token ids, written in coded blocks and read back."""
+    return token_files.write_and_read(read_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
+
+
 @query
 def op9_quality_classifier(spark, folder):
     """Quality score of every document, learned from the labelled ones that are not held out."""
