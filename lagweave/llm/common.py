@@ -1,7 +1,7 @@
 """Helpers of the text operators."""
 
 import os
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -17,18 +17,28 @@ def ship(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(x for x in [ROOT, *known] if x)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """`function` over the Arrow batches of each partition; empty batches are skipped."""
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch] | None], schema: str) -> DataFrame:
+    """`function` over the Arrow batches of each partition; empty batches are skipped. It returns one batch, several, or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := function(batch)) is not None:
-                yield out
+                yield from [out] if isinstance(out, pa.RecordBatch) else out
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def groups_of(texts: Sequence[bytes], most: int) -> Iterator[slice]:
+    """Slices of the texts of about `most` bytes; a longer text is a slice by itself."""
+    first = size = 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= most or k == len(texts) - 1:
+            yield slice(first, k + 1)
+            first, size = k + 1, 0
+
+
 def text_of(column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))

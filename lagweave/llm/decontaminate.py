@@ -27,7 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, ship, text_of, utf8
+from ..sources.shared import stored
+from .common import groups_of, map_batches, ship, text_of, utf8
 
 CLASSES = (24, 36, 54, 80, 120, 180, 270, 400)
 SHORTEST = 24
@@ -180,13 +181,7 @@ def passage_distance(item: str, text: str, most: int) -> int:
 
 def _matches(items: Items, texts: list[bytes]) -> list[tuple[int, int, int, float]]:
     """(text, item, edits, similarity) of the items that the texts hold, found in groups of texts of bounded size."""
-    out, group, size = [], 0, 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= GROUP or k == len(texts) - 1:
-            out += [(group + t, *rest) for t, *rest in _group_matches(items, texts[group : k + 1])]
-            group, size = k + 1, 0
-    return out
+    return [(own.start + t, *rest) for own in groups_of(texts, GROUP) for t, *rest in _group_matches(items, texts[own])]
 
 
 def _group_matches(items, texts):
@@ -257,6 +252,7 @@ def _clean(block: Items) -> Callable[[pa.Array], pa.Array]:
 def keep_clean(docs: DataFrame, items: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows of `docs` that hold no item."""
     ship(docs.sparkSession)
-    for block in item_blocks(items):
+    for number, block in enumerate(item_blocks(items)):
+        docs = stored(docs, "clean") if number else docs  # one pass of Python workers at a time
         docs = docs.where(F.arrow_udf(_clean(block), "boolean")(text_of(text_column)))
     return docs

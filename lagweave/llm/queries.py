@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from ..sources.events import read_table
-from . import bpe, decontaminate, exact_dedup, quality, sharding, simhash, token_files
+from . import bpe, chat, decontaminate, exact_dedup, license_scan, quality, sharding, simhash, token_files, toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +25,12 @@ def op1_bpe_encoding(spark, folder):
     return bpe.encode_documents(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op2_chat_formatting(spark, folder):
+    """All conversations formatted with generation markers, and what is read back from the written result."""
+    return chat.format_and_read(read_table(spark, folder, "conversations"))
+
+
 @query
 def op3_simhash_near_dedup(spark, folder):
     """Fingerprint of three-word shingles and component at three differing bits or fewer, for every document."""
@@ -37,6 +43,18 @@ def op4_exact_dedup(spark, folder):
     return exact_dedup.duplicate_groups(read_table(spark, folder, "documents"))
 
 
+@query
+def op5_license_scan(spark, folder):
+    """Every text, paragraph and line of the documents that is a known licence text or notice."""
+    return license_scan.license_matches(read_table(spark, folder, "documents"))
+
+
+@query
+def op6_toxicity(spark, folder):
+    """Expected severity and toxic flag of every document."""
+    return toxicity.severities(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 @query
 def op7_sharding(spark, folder):
     """Sixteen shards of near equal bytes over all documents, equal texts together."""
@@ -67,6 +85,7 @@ def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
 
 
+SQL["op5_license_scan"] = license_scan.ORACLE_SQL
 SQL["op4_exact_dedup"] = r"""
 WITH rows AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents

@@ -32,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..sources.shared import fresh_path, stored
-from .common import map_batches, ship, text_of, utf8
+from .common import groups_of, map_batches, ship, text_of, utf8
 
 BITS = 20
 SYMBOLS = 1 << 16
 LANES = 1024
 BLOCK = 1 << 18
 LOW = np.uint64(1 << 31)  # lower bound of a state; words of 32 bits
-CACHED = 500_000
+CACHED = 300_000
+GROUP = 1 << 21  # bytes of text held as words at a time
 WORD = 48
 
 
@@ -95,7 +96,8 @@ def _encoder(path: str) -> WordEncoder:
 
 
 def _tokenize(batch: pa.RecordBatch, path: str, end: int) -> pa.RecordBatch:
-    ids = _encoder(path).encode(utf8(batch, "_text"), end)
+    texts = utf8(batch, "_text")
+    ids = [i for own in groups_of(texts, GROUP) for i in _encoder(path).encode(texts[own], end)]
     counts = np.array([len(i) // 2 for i in ids], np.int64)
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(ids, pa.binary())], ["_id", "_tie", "_n", "_ids"])
 
