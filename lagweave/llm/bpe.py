@@ -29,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.shared import stored
-from .common import map_batches, text_of, utf8
+from .common import groups_of, map_batches, text_of, utf8
 
 #: The characters with the Unicode property White_Space, as a character class.
 BLANKS = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
 MASK = np.uint32((1 << 10) - 1)
 LEAST = 128
-CACHED = 400_000
+CACHED = 200_000
+GROUP = 1 << 20  # bytes of text held as pieces at a time
 WORD = 64
 #: A random number per byte for the rolling hash.
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, np.uint32)
@@ -142,7 +143,11 @@ def _agrees(step, table) -> bool:
 
 
 def encode_all(texts: list[bytes], given: list[dict[int, bytes]], path: str) -> list[bytes]:
-    """The ids of whole texts; `given` has the ids of some of the chunks of each."""
+    """The ids of whole texts; `given` has the ids of some of the chunks of each. Texts go in groups of bounded size."""
+    return [ids for own in groups_of(texts, GROUP) for ids in _encode_group(texts[own], given[own], path)]
+
+
+def _encode_group(texts, given, path):
     plans = [_plan(t, g) for t, g in zip(texts, given)]
     table = encoder(path).learn({p for steps in plans for pieces, _, _ in steps for p in pieces})
     wrong = set()
@@ -178,19 +183,31 @@ def _encode_chunks(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.binary())], ["_chunk", "_ids"])
 
 
-def _encode_texts(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
-    given = [{m["_seq"]: m["_ids"] for m in marks or []} for marks in batch.column(2).to_pylist()]
-    ids = encode_all(utf8(batch, "_text"), given, path)
-    counts = np.array([len(i) // 4 for i in ids], np.int64)
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(ids, pa.large_binary())], ["_key", "n_tokens", "ids"])
+def decode(ids: bytes, path: str) -> str:
+    """The text of ids as made here; bytes that are no UTF-8 become replacement characters."""
+    joined = b"".join(map(_bytes_of_ids(path).__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    return joined.decode("utf-8", "replace")
+
+
+def _encode_texts(batch: pa.RecordBatch, path: str):
+    texts = utf8(batch, "_text")
+    for own in groups_of(texts, GROUP):
+        part = batch.slice(own.start, own.stop - own.start)
+        given = [{m["_seq"]: m["_ids"] for m in marks or []} for marks in part.column(2).to_pylist()]
+        ids = _encode_group(texts[own], given, path)
+        counts, decoded = np.array([len(i) // 4 for i in ids], np.int64), [decode(i, path) for i in ids]
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), pa.array(counts), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["_key", "n_tokens", "ids", "decoded"]
+        )
 
 
 def text_key(text_column: str = "text") -> Column:
-    return F.unhex(F.sha2(text_of(text_column), 256))
+    # The coalesce only says that it is never NULL; without it the two uses of the texts get different filters and no shared exchange.
+    return F.coalesce(F.unhex(F.sha2(text_of(text_column), 256)), F.lit(b""))
 
 
 def encode_texts(docs: DataFrame, path: str, text_column: str = "text") -> DataFrame:
-    """One row per distinct text: (_key, n_tokens, ids), the ids as bytes of little-endian unsigned 32-bit integers."""
+    """One row per distinct text: (_key, n_tokens, ids, decoded), the ids as bytes of little-endian unsigned 32-bit integers."""
     rows = docs.select(text_key(text_column).alias("_key"), text_of(text_column).alias("_text"))
     found = map_batches(rows, _chunk_digests, "_key binary, _seq int, _chunk binary").distinct()
     firsts = found.groupBy("_chunk").agg(F.count("*").alias("_n"), F.min(F.struct("_key", "_seq")).alias("_first")).where("_n > 1")
@@ -202,23 +219,10 @@ def encode_texts(docs: DataFrame, path: str, text_column: str = "text") -> DataF
     given = shared.select("_chunk", "_key", "_seq").join(encoded, "_chunk")
     given = given.groupBy("_key").agg(F.collect_list(F.struct("_seq", "_ids")).alias("_given"))
     return map_batches(
-        texts.join(given, "_key", "left").select("_key", "_text", "_given"), partial(_encode_texts, path=path), "_key binary, n_tokens bigint, ids binary"
+        texts.join(given, "_key", "left").select("_key", "_text", "_given"), partial(_encode_texts, path=path), "_key binary, n_tokens bigint, ids binary, decoded string"
     )
 
 
-def decode_column(ids: Column, path: str) -> Column:
-    """The text of ids as made by `encode_texts`; bytes that are no UTF-8 become replacement characters."""
-
-    def decode(batch: pa.Array) -> pa.Array:
-        table, out = _bytes_of_ids(path), []
-        for one in batch.to_pylist():
-            joined = b"".join(map(table.__getitem__, np.frombuffer(one or b"", "<u4").tolist()))
-            out.append(joined.decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
-
-    return F.arrow_udf(decode, "string")(ids)
-
-
 def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per row of `docs`: (id, n_tokens, ids_sha256, decoded_sha256) and, if asked for, the ids."""
     texts = encode_texts(docs, path, text_column)
@@ -226,7 +230,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
         "_key",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(decode_column(F.col("ids"), path), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
         *(["ids"] if with_ids else []),
     )
     rows = docs.select(F.col(f"`{id_column}`").alias("_id"), text_key(text_column).alias("_key"))
