@@ -11,24 +11,22 @@ from ..functions.scaling import minmax
 from .lookup import lookup
 from .windows import LENGTH, lag_names, lags_array
 
-PER_KEY_MODELS = ("naive", "seasonal_naive", "ar1", "ar_l")
-POOLED_MODELS = ("linear", "gbt")
-
-
 def fit_model(model_type: str, windows: DataFrame, keys: Sequence[str] = ("site_id",), length: int = LENGTH, **options):
-    """Fit on the train split: a coefficient table per key for 'ar1' and 'ar_l', an MLlib model for pooled types."""
+    """Fit on the train split: a coefficient table for the types of `PER_KEY_MODELS`, an MLlib model for `POOLED_MODELS`."""
     train = windows.where(F.col("split") == "train")
-    if model_type == "ar1":
-        return fit_ar1(train, keys)
-    if model_type == "ar_l":
-        return fit_ar(train, keys, length)
-    if model_type == "linear":
-        return fit_pooled_linear(train, length, **options)
-    if model_type == "gbt":
-        return fit_pooled_gbt(train, length, **options)
+    if model_type in PER_KEY_MODELS:
+        return PER_KEY_MODELS[model_type](train, keys, length)
+    if model_type in POOLED_MODELS:
+        return POOLED_MODELS[model_type](train, length, **options)
     raise ValueError(f"unsupported model type: {model_type}")
 
 
+def fit_fixed(train: DataFrame, keys: Sequence[str], model_type: str, coef: Sequence[float]) -> DataFrame:
+    """(keys, model_type, coef) with the same coefficients for every key."""
+    fixed = F.array(*[F.lit(float(c)) for c in coef]).cast("array<double>")
+    return train.select(*keys).distinct().select(*keys, F.lit(model_type).alias("model_type"), fixed.alias("coef"))
+
+
 def fit_ar1(train: DataFrame, keys: Sequence[str] = ("site_id",)) -> DataFrame:
     """(keys, model_type, coef): least squares of y on lag_1, coef = [intercept, slope]; slope 0 if lag_1 is constant."""
     x, y = F.col("lag_1"), F.col("y")
@@ -123,17 +121,32 @@ def fit_pooled_gbt(
 
 
 def ar_prediction(coef: Column, length: int) -> Column:
-    """intercept + sum of lag_k * coef_k, spelled out so that it stays in generated code."""
-    out = coef[0]
+    """intercept + sum of lag_k * coef_k, spelled out so that it stays in generated code; missing coefficients are zero."""
+    out = F.coalesce(F.get(coef, 0), F.lit(0.0))
     for k in range(1, length + 1):
-        out = out + F.col(f"lag_{k}") * coef[k]
+        out = out + F.col(f"lag_{k}") * F.coalesce(F.get(coef, k), F.lit(0.0))
     return out
 
 
-def score_ar(windows: DataFrame, coefs: DataFrame, keys: Sequence[str] = ("site_id",), length: int = LENGTH) -> DataFrame:
-    """Adds `model_type` and `y_hat`; one output row per window and model of its key."""
-    joined = lookup(windows, coefs, keys, ["ts", "idx"])
-    return joined.withColumn("y_hat", ar_prediction(F.col("coef"), length)).drop("coef")
+def score_ar(windows: DataFrame, coefs: DataFrame, keys: Sequence[str] = ("site_id",)) -> DataFrame:
+    """Adds `model_type` and `y_hat`; one output row per window and model of its key.
+
+    Models of different lengths may be in one table. A model with more coefficients than the windows have lags is an error, as is
+    `seasonal_naive` on windows without `previous` (see `with_previous_period`).
+    """
+    length = sum(c.startswith("lag_") for c in windows.columns)
+    joined = lookup(windows, coefs, keys)
+    if "previous" in windows.columns:
+        seasonal = seasonal_prediction()
+    else:
+        seasonal = F.raise_error(F.lit("seasonal_naive needs the previous period")).cast("double")
+    too_long = F.raise_error(F.lit(f"a model has more than {length} lags")).cast("double")
+    y_hat = (
+        F.when(F.col("model_type") == "seasonal_naive", seasonal)
+        .when(F.size("coef") > length + 1, too_long)
+        .otherwise(ar_prediction(F.col("coef"), length))
+    )
+    return joined.withColumn("y_hat", y_hat).drop("coef")
 
 
 def score_naive(windows: DataFrame) -> DataFrame:
@@ -149,16 +162,20 @@ def with_previous_period(
     A window over (keys, time of day) has one row a day, so no task gets a whole series.
     """
     slot = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    days = Window.partitionBy(*keys, "_slot").orderBy(ts, value)
-    day_before = F.col(ts) - F.expr("interval 1 day")
-    earlier = F.when(F.lag(ts).over(days) == day_before, F.lag(value).over(days))
-    return series.withColumn("_slot", slot).withColumn("previous", earlier).drop("_slot")
+    # The greatest value, should a time occur twice in the day before.
+    day_before = Window.partitionBy(*keys, "_slot").orderBy("_day").rangeBetween(-1, -1)
+    placed = series.withColumns({"_slot": slot, "_day": F.unix_date(F.to_date(ts))})
+    return placed.withColumn("previous", F.max(value).over(day_before)).drop("_slot", "_day")
+
+
+def seasonal_prediction() -> Column:
+    """The `previous` value on the windows' scale, the last value where there is none."""
+    return F.coalesce(minmax(F.col("previous"), F.col("x_min"), F.col("x_max")), F.col("lag_1"))
 
 
 def score_seasonal(windows: DataFrame) -> DataFrame:
     """The `previous` value (see `with_previous_period`) on the windows' scale, the last value where there is none."""
-    then = minmax(F.col("previous"), F.col("x_min"), F.col("x_max"))
-    return windows.withColumns({"model_type": F.lit("seasonal_naive"), "y_hat": F.coalesce(then, F.col("lag_1"))})
+    return windows.withColumns({"model_type": F.lit("seasonal_naive"), "y_hat": seasonal_prediction()})
 
 
 def score_pooled(
@@ -171,7 +188,8 @@ def score_pooled(
 def choose_models(per_site: DataFrame, pooled: DataFrame, sites: DataFrame) -> DataFrame:
     """(site_id, model_type, coef, scope): a site's own models if it has any, else every pooled model.
 
-    All three tables have one row per site or model, none per observation.
+    All three tables have one row per site or model, none per observation. `coef` is NULL for pooled models that are not
+    rows of coefficients (see `score_chosen`).
     """
     own = per_site.join(sites.select("site_id"), "site_id", "left_semi")
     rest = sites.select("site_id").join(per_site, "site_id", "left_anti")
@@ -183,8 +201,29 @@ def choose_models(per_site: DataFrame, pooled: DataFrame, sites: DataFrame) -> D
     )
 
 
+def score_chosen(windows: DataFrame, chosen: DataFrame, models: dict | None = None) -> DataFrame:
+    """Scores of the models that `choose_models` gave each site; `models` has the MLlib models by type."""
+    scored = score_ar(windows, chosen.where(F.col("coef").isNotNull()).select("site_id", "model_type", "coef"))
+    for model_type, model in (models or {}).items():
+        users = chosen.where(F.col("coef").isNull() & (F.col("model_type") == model_type)).select("site_id")
+        own = lookup(windows, users, ["site_id"], "left_semi")
+        scored = scored.unionByName(score_pooled(own, model, model_type, model.numFeatures).select(scored.columns))
+    return scored
+
+
 def gbt_history(model: GBTRegressionModel, train: DataFrame, validation: DataFrame, length: int = LENGTH) -> list[tuple]:
     """(epoch, loss, val_loss) per boosting round; the evaluation runs on Spark, one number per round comes back."""
     loss = model.evaluateEachIteration(with_features(train, length).select("features", "y"), "squared")
     val_loss = model.evaluateEachIteration(with_features(validation, length).select("features", "y"), "squared")
     return [(i, a, b) for i, (a, b) in enumerate(zip(loss, val_loss), 1)]
+
+
+#: What `fit_model` knows: a function of (train rows, keys, lags) per type with a row of coefficients per key ...
+PER_KEY_MODELS = {
+    "naive": lambda train, keys, length: fit_fixed(train, keys, "naive", [0.0, 1.0]),
+    "seasonal_naive": lambda train, keys, length: fit_fixed(train, keys, "seasonal_naive", []),
+    "ar1": lambda train, keys, length: fit_ar1(train, keys),
+    "ar_l": lambda train, keys, length: fit_ar(train, keys, length),
+}
+#: ... and of (train rows, lags, options) per MLlib type.
+POOLED_MODELS = {"linear": fit_pooled_linear, "gbt": fit_pooled_gbt}

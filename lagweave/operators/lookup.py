@@ -2,32 +2,15 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-SALTS = 32
 
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a plan, without running it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_limit(df: DataFrame) -> int:
-    return int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-
-
-def lookup(
-    df: DataFrame, table: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "inner", salts: int = SALTS
-) -> DataFrame:
+def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join `table`, which has one row per `on`, to every row of `df`.
 
-    A table under the session's broadcast threshold goes to the executors and `df` does not move. A larger one is joined
-    by shuffle, where a plain join would send all rows of a hot key to one task: a salt derived from `spread`, columns
-    that vary within a key, cuts each key into `salts` parts and the table is repeated once per salt. The merge hint keeps
-    Spark from broadcasting `df`, whose size is underestimated after an explode.
+    The plan is Spark's choice. Scalers, coefficients and catalogs are stored tables, whose size Spark knows: small ones
+    go to the executors and `df` does not move. A larger one is joined by shuffle, where adaptive execution splits the
+    rows of a hot key over several tasks. Write a computed table first (`sources.shared.stored`), since the size of a plan that was not run is
+    a guess.
     """
-    if estimated_bytes(table) <= broadcast_limit(df):
-        return df.join(F.broadcast(table), list(on), how)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return salted.join(repeated.hint("merge"), [*on, "_salt"], how).drop("_salt")
+    return df.join(table, list(on), how)

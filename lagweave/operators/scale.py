@@ -15,17 +15,17 @@ def minmax_fit(df: DataFrame, keys: Sequence[str], value: str = "flow", when: Co
 
 
 def minmax_transform(
-    df: DataFrame, params: DataFrame, keys: Sequence[str], columns: Sequence[str] = ("flow",), spread: Sequence[str] = ("ts",)
+    df: DataFrame, params: DataFrame, keys: Sequence[str], columns: Sequence[str] = ("flow",)
 ) -> DataFrame:
     """Scale `columns`. Rows whose key has no parameters stay as they are."""
-    return _apply(df, params, keys, columns, spread, minmax)
+    return _apply(df, params, keys, columns, minmax)
 
 
 def minmax_inverse(
-    df: DataFrame, params: DataFrame, keys: Sequence[str], columns: Sequence[str] = ("flow",), spread: Sequence[str] = ("ts",)
+    df: DataFrame, params: DataFrame, keys: Sequence[str], columns: Sequence[str] = ("flow",)
 ) -> DataFrame:
     """Undo `minmax_transform`. Rows whose key has no parameters, such as pooled ones, stay as they are."""
-    return _apply(df, params, keys, columns, spread, unminmax)
+    return _apply(df, params, keys, columns, unminmax)
 
 
 def unscale(df: DataFrame, columns: Sequence[str] = ("y", "y_hat")) -> DataFrame:
@@ -34,8 +34,8 @@ def unscale(df: DataFrame, columns: Sequence[str] = ("y", "y_hat")) -> DataFrame
     return df.withColumns({c: unminmax(F.col(c), lo, hi) for c in columns})
 
 
-def _apply(df, params, keys, columns, spread, formula):
-    joined = lookup(df, params, keys, spread, "left")
+def _apply(df, params, keys, columns, formula):
+    joined = lookup(df, params, keys, "left")
     lo, hi = F.col("x_min"), F.col("x_max")
     out = {c: F.when(lo.isNull(), F.col(c)).otherwise(formula(F.col(c), lo, hi)) for c in columns}
     return joined.withColumns(out).drop("x_min", "x_max")

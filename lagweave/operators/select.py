@@ -26,15 +26,15 @@ def allowed_sites(allow: DataFrame, available: DataFrame) -> DataFrame:
     return joined.where(F.col("ord").isNotNull() | (n_hits == 0)).select("site_id", "ord")
 
 
-def with_location(df: DataFrame, sites: DataFrame, spread: Sequence[str], unknown: str = "Unknown") -> DataFrame:
+def with_location(df: DataFrame, sites: DataFrame, unknown: str = "Unknown") -> DataFrame:
     """Adds `location` from a site catalog; `unknown` where the site is absent. The catalog has one row per site."""
-    located = lookup(df, sites.select("site_id", "location"), ["site_id"], spread, "left")
+    located = lookup(df, sites.select("site_id", "location"), ["site_id"], "left")
     return located.withColumn("location", F.coalesce("location", F.lit(unknown)))
 
 
-def keep_sites(df: DataFrame, sites: DataFrame, spread: Sequence[str] = ("ts",)) -> DataFrame:
+def keep_sites(df: DataFrame, sites: DataFrame) -> DataFrame:
     """Rows of the given sites."""
-    return lookup(df, sites.select("site_id").distinct(), ["site_id"], spread, "left_semi")
+    return lookup(df, sites.select("site_id").distinct(), ["site_id"], "left_semi")
 
 
 def rename_by_position(df: DataFrame, names: Sequence[str] = LISTING_COLUMNS) -> DataFrame:

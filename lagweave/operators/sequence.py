@@ -10,13 +10,16 @@ a key are cut into *chunks*: an expression that never decreases along the order,
 4. the summaries join back on (keys, chunk). The rows are still partitioned and sorted that way, so only the summaries move.
 
 A key's summaries number as many as its chunks, which the calendar bounds, not the number of rows. Days suit a key with
-some thousands of rows a day. For denser keys take `by_hour` or the timestamp itself, and where even one timestamp of one
-key is too much for a task, `sources.store.with_range_chunks`, which cuts by the whole order.
+some thousands of rows a day. For denser keys take `by_hour` or the timestamp itself. Where even one day of one key is
+too much for a task, take a struct of a coarse and a fine part, such as the day and a range of the next order column: its
+summaries are combined per coarse part first, each by itself, so that no task sees all chunks of a key. The last resort is
+`sources.store.with_range_chunks`, which cuts by the whole order.
 """
 
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.clean import zero_fill
 
@@ -71,7 +74,8 @@ def _sequence(df, keys, order, value, lags, chunk, fit_keys, fit_when):
     else:
         chunks = rows.groupBy(*at).agg(F.count("*").alias("_size"))
     # A merge join takes the rows as they lie; without the hint a low size estimate could broadcast them.
-    joined = numbered.join(_summaries(chunks, keys, value, lags, fit_keys).hint("merge"), at)
+    combine = _two_levels if isinstance(chunks.schema["chunk"].dataType, StructType) else _summaries
+    joined = numbered.join(combine(chunks, keys, value, lags, fit_keys).hint("merge"), at)
     return joined.select(
         *[c for c in df.columns if c != "chunk"],
         "chunk",
@@ -109,10 +113,51 @@ def _summaries(chunks, keys, value, lags, fit_keys):
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     out = {"_start": F.coalesce(F.sum("_size").over(before), F.lit(0)), "n_rows": F.sum("_size").over(key)}
     if value:
-        fit = key if fit_keys is None else Window.partitionBy(*fit_keys)
-        out["x_min"] = F.min("_lo").over(fit)
-        out["x_max"] = F.max("_hi").over(fit)
+        out["x_min"], out["x_max"] = _extrema(chunks, key, fit_keys)
         # Every chunk has a row, so the L chunks before hold the L values before.
         tails = F.flatten(F.collect_list("_tail").over(along.rowsBetween(-lags, -1)))
         out["_halo"] = F.filter(tails, lambda x: x.isNotNull())
     return chunks.select(*keys, "chunk", *[c.alias(name) for name, c in out.items()])
+
+
+def _extrema(chunks, key, fit_keys):
+    """Extrema over the fit keys; over all chunks they are a global aggregate, combined where the chunks lie."""
+    if fit_keys is not None and not list(fit_keys):
+        return chunks.agg(F.min("_lo")).scalar(), chunks.agg(F.max("_hi")).scalar()
+    fit = key if fit_keys is None else Window.partitionBy(*fit_keys)
+    return F.min("_lo").over(fit), F.max("_hi").over(fit)
+
+
+def _two_levels(chunks, keys, value, lags, fit_keys):
+    """`_summaries` for chunks of a coarse and a fine part: within each coarse part, then over the coarse parts of a key."""
+    coarse = chunks.schema["chunk"].dataType.names[0]
+    at = [*keys, "_coarse"]
+    inside = Window.partitionBy(*at).orderBy("chunk")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    parts = chunks.withColumn("_coarse", F.col("chunk")[coarse])
+    own = {"_inner": F.coalesce(F.sum("_size").over(before), F.lit(0)), "_more": F.lead(F.lit(1), 1).over(inside)}
+    if value:
+        upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+        own |= {"_low": F.min("_lo").over(upto), "_high": F.max("_hi").over(upto)}
+        own["_near"] = F.flatten(F.collect_list("_tail").over(inside.rowsBetween(-lags, -1)))
+        own["_end"] = F.flatten(F.collect_list("_tail").over(inside.rowsBetween(1 - lags, 0)))
+    parts = parts.withColumns(own)
+    # The last chunk of a coarse part knows its size, extrema and tail.
+    whole = parts.where(F.col("_more").isNull()).select(
+        *keys,
+        F.col("_coarse").alias("chunk"),
+        (F.col("_inner") + F.col("_size")).alias("_size"),
+        *([F.col("_low").alias("_lo"), F.col("_high").alias("_hi"), _last(F.col("_end"), lags).alias("_tail")] if value else []),
+    )
+    tops = _summaries(whole, keys, value, lags, fit_keys).withColumnRenamed("chunk", "_coarse")
+    joined = parts.join(tops.hint("merge"), at)
+    out = [*keys, "chunk", (F.col("_start") + F.col("_inner")).alias("_start"), "n_rows"]
+    if value:
+        out += ["x_min", "x_max", _last(F.concat("_halo", "_near"), lags).alias("_halo")]
+    return joined.select(*out)
+
+
+def _last(values: Column, n: int) -> Column:
+    """The last n values that are not NULL."""
+    known = F.filter(values, lambda x: x.isNotNull())
+    return F.slice(known, F.greatest(F.size(known) - (n - 1), F.lit(1)), F.lit(n))

@@ -122,15 +122,19 @@ def pooled(*parts: DataFrame) -> DataFrame:
     return first
 
 
-def shuffled(rows: DataFrame, keys: Sequence[str] = ("site_id",), ident: Sequence[str] = ("site_id", "idx"), seed: int = 42) -> DataFrame:
+def shuffled(
+    rows: DataFrame, keys: Sequence[str] = ("site_id",), ident: Sequence[str] = ("site_id", "idx"), seed: int = 42, digits: int = 3
+) -> DataFrame:
     """Adds `shuffle_key` and `shuffle_pos`, a reproducible random order of the rows of each key.
 
-    With `keys=()` the order runs over all rows. The leading hex digits of the digest serve as chunk: 4,096 even parts
-    per key, so a hot key is cut as finely as a cold one.
+    With `keys=()` the order runs over all rows. The leading hex digits of the digest serve as chunk, two and the rest as its coarse
+    and fine part: 16^digits even parts per key, so a hot key is cut as finely as a cold one. Take a digit more for every 16 times
+    as many rows; the result does not depend on it.
     """
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in ident], F.lit(str(seed)))
     keyed = rows.drop("chunk").withColumn("shuffle_key", F.md5(text.cast("binary")))
-    placed = positions(keyed.withColumnRenamed("idx", "_idx"), keys, ["shuffle_key", "_idx"], F.substring("shuffle_key", 1, 3))
+    chunk = F.struct(F.substring("shuffle_key", 1, 2).alias("coarse"), F.substring("shuffle_key", 3, max(digits - 2, 0)).alias("fine"))
+    placed = positions(keyed.withColumnRenamed("idx", "_idx"), keys, ["shuffle_key", "_idx"], chunk)
     return placed.withColumnRenamed("idx", "shuffle_pos").withColumnRenamed("_idx", "idx").drop("chunk")
 
 

@@ -129,6 +129,46 @@ history AS (
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
 _WITH_ORDERS = "with_orders AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS site_id FROM orders)"
 
+_SUPPLIER_SCORES = (
+    _SUPPLIER_WINDOWS
+    + ","
+    + _ar1("ar1", "supplier_windowed")
+    + ","
+    + _ar2("ar2", "supplier_windowed")
+    + ","
+    + _ar2("pooled", "supplier_windowed", "")
+    + """,
+tested AS (
+  SELECT w.*, coalesce((p.flow - w.x_min) / w.span, w.lag_1) AS before
+  FROM supplier_windowed w LEFT JOIN supplier_series p
+       ON p.site_id = w.site_id AND p.location = w.location AND p.ts = w.ts - INTERVAL 1 DAY
+  WHERE split = 'test'),
+own_scores AS (
+  SELECT site_id, x_min, span, 'naive' AS model_type, y, lag_1 AS y_hat FROM tested
+  UNION ALL SELECT site_id, x_min, span, 'seasonal_naive', y, before FROM tested
+  UNION ALL SELECT site_id, x_min, span, 'ar1', y, c0 + c1 * lag_1 FROM tested JOIN ar1 USING (site_id)
+  UNION ALL SELECT site_id, x_min, span, 'ar_l', y, c0 + c1 * lag_1 + c2 * lag_2 FROM tested JOIN ar2 USING (site_id)),
+pooled_scores AS (
+  SELECT site_id, x_min, span, 'linear' AS model_type, y, c0 + c1 * lag_1 + c2 * lag_2 AS y_hat FROM tested CROSS JOIN pooled),
+home AS (
+  SELECT CAST(s_suppkey AS VARCHAR) AS site_id FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'),
+chosen_scores AS (
+  SELECT * FROM own_scores WHERE site_id IN (SELECT site_id FROM home)
+  UNION ALL SELECT * FROM pooled_scores WHERE site_id NOT IN (SELECT site_id FROM home))"""
+)
+
+
+def _supplier_report(source: str, rounded: bool = True, where: str = "") -> str:
+    return f"""report AS (
+      SELECT site_id, model_type, {_six(rounded)} FROM (
+        SELECT site_id, model_type, y * span + x_min AS y, y_hat * span + x_min AS y_hat FROM {source} {where})
+      GROUP BY site_id, model_type)"""
+
+
+_LOCATED = """SELECT report.*, coalesce(s_name, 'Unknown') AS location
+        FROM report LEFT JOIN supplier ON CAST(s_suppkey AS VARCHAR) = site_id"""
+
 
 def _allowed(region: str) -> str:
     return f"""{_WITH_ORDERS}, allow AS (
@@ -368,4 +408,19 @@ SQL: dict[str, str] = {
           UNION ALL
           SELECT 'linear', y, c0 + c1 * lag_1 + c2 * lag_2 FROM supplier_windowed CROSS JOIN pooled WHERE split = 'test')
         SELECT 'combined' AS site_id, 'Combined Dataset' AS location, model_type, {_six()} FROM scored GROUP BY model_type""",
+    "evaluate_all_models": f"WITH {_SUPPLIER_SCORES}, {_supplier_report('own_scores')} {_LOCATED}",
+    "evaluate_one_site": f"""WITH {_SUPPLIER_SCORES}, {_supplier_report('own_scores', True, "WHERE site_id = '1'")} {_LOCATED}""",
+    "stored_metrics": f"WITH {_SUPPLIER_SCORES}, {_supplier_report('chosen_scores')} {_LOCATED}",
+    "stored_summary": f"""WITH {_SUPPLIER_SCORES}, {_supplier_report('chosen_scores', False)}
+        SELECT model_type, {_SUMMARY_LIST} FROM report GROUP BY model_type""",
+    "pooled_linear12_residuals": f"""WITH {_SUPPLIER_WINDOWS} SELECT DISTINCT 'combined' AS site_id, CAST(0 AS DOUBLE) AS mean_error,
+        {", ".join(f"CAST(0 AS DOUBLE) AS moment_lag_{k}" for k in _LAGS)} FROM supplier_windowed""",
+    "csv_wide_days": f"WITH {_CELLS} SELECT * FROM series",
+    "csv_site_listing": """SELECT CAST(s_suppkey AS VARCHAR) AS "Site_Number", s_name AS "Location_Description",
+        CAST(s_nationkey AS VARCHAR) AS "Site_Type", CAST(NULL AS VARCHAR) AS "Unknown4" FROM supplier WHERE s_suppkey % 7 <> 0""",
+    "roundtrip_pooled": f"WITH {_WINDOWS} SELECT {_WINDOW_LIST} FROM windowed",
+    "stored_sites": f"""WITH {_WINDOWS}, sites AS (SELECT DISTINCT site_id FROM windowed)
+        SELECT site_id, origin FROM sites CROSS JOIN (VALUES ('folders'), ('catalog')) AS o(origin)""",
 }
+SQL["csv_two_files"] = f"SELECT split, idx, lag_12, lag_1, y FROM ({SQL['lag_windows_per_file']})"
+SQL["preprocess_all_sites"] = SQL["minmax_scale"]

@@ -39,7 +39,7 @@ def preprocess(
     write_windows(lag_windows(chosen, length=length), windows_path, per_site, force)
     windows = read_windows(spark, windows_path)
     materialise(minmax_fit(chosen, ["site_id"]), f"{out}/scaler_params", force)
-    sizes = with_location(split_sizes(windows), info, ["site_id"])
+    sizes = with_location(split_sizes(windows), spark.read.parquet(f"{out}/sites_info"))
     materialise(sizes.select("site_id", "location", "train_samples", "test_samples"), f"{out}/site_info", force, "csv")
     return {
         "series": series,

@@ -9,15 +9,14 @@ from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.calendar import slot_columns, weekday_label
-from ..functions.fixed_values import HIGHER_IS_BETTER, METRIC_NAMES
-from ..functions.scaling import minmax
+from ..functions.fixed_values import TWO_FILE_ATTRIBUTE
 from ..operators import catalog, compare, evaluate, forecast, history, points, reshape, scale, select, windows as win
 from ..operators.profile import flow_profile
-from ..operators.sequence import by_day
 from ..sources import store
 from ..sources.events import events_to_wide, read_table
-from ..sources.shared import fresh_path
-from . import evaluate as evaluation, train, visualize
+from ..sources.shared import fresh_path, stored
+from ..sources.csv_files import read_site_listing, read_two_files, read_wide_days
+from . import evaluate as evaluation, preprocess, train, visualize
 
 MODELS = ["ar1", "naive", "seasonal_naive"]
 
@@ -242,7 +241,7 @@ def allowlist_fallback(spark, folder):
 def allowlist_rows(spark, folder):
     orders = read_table(spark, folder, "orders").withColumn("site_id", F.col("o_custkey").cast("string"))
     allowed = select.allowed_sites(_customers_of(spark, folder, "ASIA"), _customers_with_orders(spark, folder))
-    return select.keep_sites(orders, allowed, ["o_orderkey"]).select("o_orderkey", "site_id", "o_totalprice")
+    return select.keep_sites(orders, allowed).select("o_orderkey", "site_id", "o_totalprice")
 
 
 @query
@@ -251,7 +250,7 @@ def location_lookup(spark, folder):
     suppliers = read_table(spark, folder, "supplier").select(
         F.col("s_suppkey").cast("string").alias("site_id"), F.col("s_name").alias("location")
     )
-    return select.with_location(orders, suppliers, ["o_orderkey"]).select("o_orderkey", "site_id", "location")
+    return select.with_location(orders, suppliers).select("o_orderkey", "site_id", "location")
 
 
 @query
@@ -308,13 +307,13 @@ def minmax_fit(spark, folder):
 @query
 def minmax_scale(spark, folder):
     rows = series(spark, folder)
-    return rounded(scale.minmax_transform(rows, scale.minmax_fit(rows, ["site_id"]), ["site_id"]))
+    return rounded(scale.minmax_transform(rows, stored(scale.minmax_fit(rows, ["site_id"]), "scaler"), ["site_id"]))
 
 
 @query
 def minmax_inverse(spark, folder):
     rows = series(spark, folder)
-    params = scale.minmax_fit(rows, ["site_id"])
+    params = stored(scale.minmax_fit(rows, ["site_id"]), "scaler")
     scaled = scale.minmax_transform(rows, params, ["site_id"])
     return rounded(scale.minmax_inverse(scaled, params, ["site_id"]))
 
@@ -323,7 +322,7 @@ def minmax_inverse(spark, folder):
 def minmax_train_only(spark, folder):
     rows = supplier_series(spark, folder)
     is_train = F.col("ts") < F.lit("1999-01-01").cast("timestamp_ntz")
-    params = scale.minmax_fit(rows, ["site_id"], when=is_train)
+    params = stored(scale.minmax_fit(rows, ["site_id"], when=is_train), "scaler")
     return rounded(scale.minmax_transform(rows, params, ["site_id"]))
 
 
@@ -352,7 +351,8 @@ def lag_windows_suppliers(spark, folder):
 @query
 def lag_windows_per_file(spark, folder):
     order = ("ts", "l_orderkey", "l_linenumber", "flow")
-    rows = win.lag_windows_per_file(line_series(spark, folder), by_day(), order=order)
+    chunk = F.struct(F.to_date("ts").alias("day"), F.floor(F.col("l_orderkey") / 10_000).alias("orders"))
+    rows = win.lag_windows_per_file(line_series(spark, folder), chunk, order=order)
     return rounded(rows.select("split", "l_orderkey", "l_linenumber", "idx", *win.lag_names(), "y"))
 
 
@@ -452,8 +452,12 @@ def fit_ar12(spark, folder):
 @query
 def ar12_residuals(spark, folder):
     """Least squares leaves residuals with mean 0 that are uncorrelated with every lag."""
-    rows = supplier_windows(spark, folder)
-    fitted = forecast.score_ar(rows.where(F.col("split") == "train"), forecast.fit_model("ar_l", rows))
+    rows = stored(supplier_windows(spark, folder), "windows")
+    coefs = stored(forecast.fit_model("ar_l", rows), "coefficients")
+    return _residuals(forecast.score_ar(rows.where(F.col("split") == "train"), coefs))
+
+
+def _residuals(fitted):
     error = F.col("y") - F.col("y_hat")
     return rounded(
         fitted.groupBy("site_id").agg(
@@ -475,18 +479,19 @@ def fit_pooled_linear(spark, folder):
 @query
 def fit_pooled_gbt(spark, folder):
     """Metrics of boosted trees over all sites, early stop on the validation tail."""
-    marked = win.validation_tail(train_rows(spark, folder))
-    model = forecast.fit_pooled_gbt(marked, validation="is_validation", rounds=5)
-    scored = forecast.score_pooled(test_rows(spark, folder), model, "gbt")
+    rows = stored(windows(spark, folder), "windows")
+    marked = stored(win.validation_tail(rows.where(F.col("split") == "train")), "marked")
+    model = forecast.fit_pooled_gbt(marked, validation="is_validation")
+    scored = forecast.score_pooled(rows.where(F.col("split") == "test"), model, "gbt")
     return rounded(evaluation.evaluate_pooled(scored))
 
 
 @query
 def gbt_history(spark, folder):
     """Loss per boosting round on the train and the validation rows."""
-    marked = win.validation_tail(train_rows(spark, folder))
+    marked = stored(win.validation_tail(train_rows(spark, folder)), "marked")
     fit, held = marked.where(~F.col("is_validation")), marked.where("is_validation")
-    rounds = forecast.gbt_history(forecast.fit_pooled_gbt(fit, rounds=3), fit, held)
+    rounds = forecast.gbt_history(forecast.fit_pooled_gbt(fit), fit, held)
     return rounded(spark.createDataFrame(rounds, "epoch int, loss double, val_loss double"))
 
 
@@ -508,15 +513,15 @@ def score_seasonal(spark, folder):
 @query
 def score_ar1(spark, folder):
     rows = windows(spark, folder)
-    coefs = forecast.fit_model("ar1", rows)
-    return _score_columns(scale.unscale(forecast.score_ar(rows.where(F.col("split") == "test"), coefs, length=1)))
+    coefs = stored(forecast.fit_model("ar1", rows), "coefficients")
+    return _score_columns(scale.unscale(forecast.score_ar(rows.where(F.col("split") == "test"), coefs)))
 
 
 @query
 def score_ar2(spark, folder):
     rows = windows(spark, folder)
-    coefs = forecast.fit_model("ar_l", rows, length=2)
-    return _score_columns(forecast.score_ar(rows.where(F.col("split") == "test"), coefs, length=2))
+    coefs = stored(forecast.fit_model("ar_l", rows, length=2), "coefficients")
+    return _score_columns(forecast.score_ar(rows.where(F.col("split") == "test"), coefs))
 
 
 @query
@@ -558,7 +563,7 @@ def site_metrics_located(spark, folder):
     sites = read_table(spark, folder, "supplier").select(
         F.col("s_suppkey").cast("string").alias("site_id"), F.col("s_name").alias("location")
     )
-    metrics, _ = evaluation.evaluate_sites(rows, forecast.fit_model("ar_l", rows, length=2), sites, 2)
+    metrics, _ = evaluation.evaluate_sites(rows, stored(forecast.fit_model("ar_l", rows, length=2), "coefficients"), sites)
     return rounded(metrics)
 
 
@@ -667,7 +672,7 @@ def roundtrip_one_site(spark, folder):
 def roundtrip_catalog(spark, folder):
     path = fresh_path(spark, "site_info")
     sites = catalog.site_catalog(series(spark, folder))
-    sizes = select.with_location(catalog.split_sizes(windows(spark, folder)), sites, ["site_id"])
+    sizes = select.with_location(catalog.split_sizes(windows(spark, folder)), sites)
     sizes = sizes.select("site_id", "location", "train_samples", "test_samples")
     store.materialise(sizes, path, fmt="csv")
     store.materialise(sizes.limit(0), path, fmt="csv")  # present already, so left alone
@@ -677,12 +682,165 @@ def roundtrip_catalog(spark, folder):
 @query
 def roundtrip_model_store(spark, folder):
     """Per-site and pooled models stored, loaded and scored; metrics per model over all suppliers."""
-    rows = supplier_windows(spark, folder)
+    rows = stored(supplier_windows(spark, folder), "windows")
     path = fresh_path(spark, "models")
     coefs = train.train_per_site(spark, rows, f"{path}/per_site", models=("ar1",))
     train.train_pooled(rows, path, ("linear",), length=2, all_sites=True)
     models = store.load_models(spark, path, {"linear": LinearRegressionModel})
     test = rows.where(F.col("split") == "test")
-    own = evaluate.as_predictions(forecast.score_ar(test, coefs, length=1))
+    own = evaluate.as_predictions(forecast.score_ar(test, coefs))
     shared = evaluate.as_predictions(forecast.score_pooled(test, models["linear"], "linear", length=2))
     return rounded(evaluation.evaluate_pooled(own.unionByName(shared)))
+
+
+# Train and evaluate end to end
+
+
+def _supplier_history(spark, folder):
+    """Windows of the suppliers with the value of the day before."""
+    rows = forecast.with_previous_period(supplier_series(spark, folder))
+    return stored(win.lag_windows(rows, chunk=F.date_trunc("MONTH", "ts")), "windows")
+
+
+def _supplier_names(spark, folder):
+    s = read_table(spark, folder, "supplier")
+    return s.select(F.col("s_suppkey").cast("string").alias("site_id"), F.col("s_name").alias("location"))
+
+
+def _trained(spark, rows):
+    """All per-key types in one table; two lags for `ar_l`, which SQL can solve."""
+    return train.train_per_site(spark, rows, f"{fresh_path(spark, 'models')}/per_site", length=2)
+
+
+@query
+def evaluate_all_models(spark, folder):
+    """Every per-key model of every supplier, fitted, stored, scored and reported together."""
+    rows = _supplier_history(spark, folder)
+    metrics, _ = evaluation.evaluate_sites(rows, _trained(spark, rows), _supplier_names(spark, folder))
+    return rounded(metrics)
+
+
+@query
+def evaluate_one_site(spark, folder):
+    """The same for one supplier, from the stored windows of that supplier."""
+    path = fresh_path(spark, "windows")
+    store.write_windows(_supplier_history(spark, folder), path)
+    rows = store.read_site(spark, path, "1")
+    metrics, _ = evaluation.evaluate_sites(rows, _trained(spark, rows), _supplier_names(spark, folder))
+    return rounded(metrics)
+
+
+def _chosen_report(spark, folder):
+    """Suppliers of one region have models of their own, the others use a pooled linear model; written and read back."""
+    rows = _supplier_history(spark, folder)
+    s, n, r = (read_table(spark, folder, t) for t in ("supplier", "nation", "region"))
+    home = s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    home = home.where(F.col("r_name") == "ASIA").select(F.col("s_suppkey").cast("string").alias("site_id"))
+    own = _trained(spark, rows.join(home, "site_id", "left_semi"))
+    pooled = {"linear": forecast.fit_model("linear", rows, length=2)}
+    sites = _supplier_names(spark, folder).join(catalog.distinct_sites(rows), "site_id", "left_semi")
+    return evaluation.evaluate_stored(rows, own, pooled, sites, fresh_path(spark, "report"))
+
+
+@query
+def stored_metrics(spark, folder):
+    return rounded(_chosen_report(spark, folder)[0])
+
+
+@query
+def stored_summary(spark, folder):
+    return rounded(_chosen_report(spark, folder)[1])
+
+
+@query
+def pooled_linear12_residuals(spark, folder):
+    """The pooled linear model on twelve lags, fitted on the stored pooled windows: its residuals vanish on every lag."""
+    path = fresh_path(spark, "windows")
+    store.write_windows(supplier_windows(spark, folder), path, per_site=False)
+    rows = store.read_windows(spark, path)
+    model = forecast.fit_model("linear", rows)
+    fitted = forecast.score_pooled(rows.where(F.col("split") == "train"), model, "linear")
+    return _residuals(fitted.withColumn("site_id", F.lit("combined")))
+
+
+# Files
+
+
+def _write_parts(rows, path, lead, parts):
+    """Text files of (line, part), each beginning with the lead lines."""
+    spark = rows.sparkSession
+    begin = spark.createDataFrame([(k, p, line) for p in range(parts) for k, line in enumerate(lead)], "at int, part int, line string")
+    lines = rows.select(F.lit(len(lead)).alias("at"), "part", "line").unionByName(begin)
+    dealt = lines.repartition(parts, "part").sortWithinPartitions("part", "at")
+    dealt.select(F.col("line").alias("value"), "part").write.partitionBy("part").text(path)
+    return [f"{path}/part={p}" for p in range(parts)]
+
+
+def _wide_csv(spark, folder):
+    """The wide-day table as CSV files with a preamble and a header each, and rows without a site number."""
+    path, wide = fresh_path(spark, "wide"), wide_days(spark, folder)
+    broken = wide.where(F.col("location") == "click").withColumn("site_id", F.lit(None).cast("string"))
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in slot_columns()]
+    lead = [F.coalesce("site_id", F.lit("")), F.col("location"), F.date_format("day", "M/d/yyyy")]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = wide.unionByName(broken).select(F.concat_ws(",", *lead, *cells).alias("line"), F.pmod(F.xxhash64("site_id", "day"), F.lit(parts)).cast("int").alias("part"))
+    header = ",".join(["SCATS Number", "Location", "Date", *slot_columns()])
+    _write_parts(rows, path, ["Counts per interval" + "," * (len(slot_columns()) + 2), header], parts)
+    return f"{path}/*"
+
+
+@query
+def csv_wide_days(spark, folder):
+    """The wide CSV read back: rows without a site number go, and each file has lines that are no data."""
+    return reshape.wide_to_long(reshape.clean_wide(read_wide_days(spark, _wide_csv(spark, folder))))
+
+
+@query
+def csv_site_listing(spark, folder):
+    """A site listing with blank lines in its preamble and rows without a number."""
+    s = read_table(spark, folder, "supplier")
+    number = F.when(F.col("s_suppkey") % 7 == 0, "").otherwise(F.col("s_suppkey").cast("string"))
+    rows = s.select(F.concat_ws(",", number, "s_name", F.col("s_nationkey").cast("string")).alias("line"), (F.col("s_suppkey") % 3).cast("int").alias("part"))
+    lead = ["Listing", "", "made for a test", "", "", "note", "", "note", "", "Site,Description,Type"]
+    path = fresh_path(spark, "listing")
+    _write_parts(rows, path, lead, 3)
+    return read_site_listing(spark, f"{path}/*").select("Site_Number", "Location_Description", "Site_Type", "Unknown4")
+
+
+@query
+def csv_two_files(spark, folder):
+    """Order lines as folders of train and test files in time order, read back and windowed."""
+    path, lines = fresh_path(spark, "two"), line_series(spark, folder)
+    for source in ("train", "test"):
+        own = lines.where(F.col("source_file") == source).orderBy("ts", "l_orderkey", "l_linenumber", "flow")
+        own.select(F.col("flow").alias(TWO_FILE_ATTRIBUTE), F.col("ts").cast("string").alias("at")).write.csv(f"{path}/{source}", header=True)
+    rows = read_two_files(spark, f"{path}/train", f"{path}/test")
+    out = win.lag_windows_per_file(rows, F.col("file_block"), order=("file_block", "file_order"))
+    return rounded(out.select("split", "idx", "lag_12", "lag_1", "y"))
+
+
+@query
+def preprocess_all_sites(spark, folder):
+    """The whole preprocessing of the wide CSV without a site listing; scaled rows by the scaler read back."""
+    tables = preprocess.preprocess(spark, _wide_csv(spark, folder), fresh_path(spark, "prepared"), region=False, per_site=False)
+    return rounded(scale.minmax_transform(tables["series"], tables["scaler_params"], ["site_id"]))
+
+
+@query
+def roundtrip_pooled(spark, folder):
+    path = fresh_path(spark, "windows")
+    store.write_windows(windows(spark, folder), path, per_site=False)
+    return rounded(_window_columns(store.read_windows(spark, path)))
+
+
+@query
+def stored_sites(spark, folder):
+    """Sites with windows, from the folders of the window table and, by default, from the catalog."""
+    path = fresh_path(spark, "prepared")
+    store.write_windows(windows(spark, folder), f"{path}/windows")
+    missing = store.stored_sites(spark, f"{path}/windows", f"{path}/site_info").select("site_id", F.lit("folders").alias("origin"))
+    rows = store.read_windows(spark, f"{path}/windows")
+    sizes = select.with_location(catalog.split_sizes(rows), stored(catalog.site_catalog(series(spark, folder)), "sites"))
+    store.materialise(sizes.select("site_id", "location", "train_samples", "test_samples"), f"{path}/site_info", fmt="csv")
+    listed = store.stored_sites(spark, f"{path}/windows", f"{path}/site_info").select("site_id", F.lit("catalog").alias("origin"))
+    return missing.unionByName(listed)

@@ -1,21 +1,21 @@
 """Fit forecasters on a window table and store them."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.forecast import PER_KEY_MODELS, fit_model
 from ..operators.windows import LENGTH
 from ..sources.store import save_model, write_coefficients
 
-FITTED_PER_KEY = ("ar1", "ar_l")
+def train_per_site(spark: SparkSession, windows: DataFrame, path: str, models=tuple(PER_KEY_MODELS), length: int = LENGTH) -> DataFrame:
+    """One model per site and type, each type for all sites in one job; a single site is the same with a filter on `windows`.
 
-
-def train_per_site(spark: SparkSession, windows: DataFrame, path: str, models=FITTED_PER_KEY, length: int = LENGTH) -> DataFrame:
-    """One model per site and type, for all sites in one job; a single site is the same with a filter on `windows`."""
+    `windows` is read once per type, so pass a stored table. The result is read back and may be scored as it is.
+    """
     for model_type in models:
         if model_type not in PER_KEY_MODELS:
             raise ValueError(f"unsupported model type: {model_type}")
         write_coefficients(fit_model(model_type, windows, length=length), f"{path}/model={model_type}")
-    return spark.read.parquet(path).select("site_id", "model_type", "coef")
+    return spark.read.parquet(*[f"{path}/model={m}" for m in models]).select("site_id", "model_type", "coef")
 
 
 def train_pooled(windows: DataFrame, folder: str, models=("linear",), length: int = LENGTH, all_sites: bool = False) -> dict[str, str]:
@@ -26,7 +26,3 @@ def train_pooled(windows: DataFrame, folder: str, models=("linear",), length: in
 def pooled_coefficients(model, model_type: str = "linear") -> list[tuple[str, list[float]]]:
     """A pooled linear model as [intercept, lag_1, .., lag_L]; its features run oldest first."""
     return [(model_type, [float(model.intercept), *[float(c) for c in reversed(model.coefficients.toArray())]])]
-
-
-def test_rows(windows: DataFrame) -> DataFrame:
-    return windows.where(F.col("split") == "test")

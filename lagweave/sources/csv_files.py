@@ -2,7 +2,7 @@
 
 import csv
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.clean import parse_number, present, zero_fill
@@ -51,28 +51,37 @@ def _starts_like(name: str, cell: str) -> Column:
 def read_site_listing(spark: SparkSession, path: str) -> DataFrame:
     """The site listing: a preamble and a header, then rows renamed by position; short rows are padded with NULL.
 
-    Rows without a site number are dropped.
+    Rows without a site number are dropped. The preamble is counted in physical lines of each file, blank ones included.
     """
-    lead = _leading_lines(spark, path, LISTING_PREAMBLE_LINES + 1)
-    lines = spark.read.text(path).where(~F.col("value").isin(lead))
+    lines = _without_first_lines(spark.read.text(path), LISTING_PREAMBLE_LINES + 1)
     schema = ", ".join(f"{name} string" for name in LISTING_COLUMNS)
     row = F.from_csv("value", F.lit(schema)).alias("row")
     listing = lines.select(row).select("row.*").withColumns({c: present(F.col(c)) for c in LISTING_COLUMNS})
     return listing.where(F.col("Site_Number").isNotNull())
 
 
+def _without_first_lines(lines: DataFrame, n: int) -> DataFrame:
+    """Lines of text files without the first n of each file; these stand in a file's first split, which is of bounded size."""
+    placed = lines.select("value", F.col("_metadata.file_path").alias("_file"), (F.col("_metadata.file_block_start") > 0).alias("_later"))
+    placed = placed.withColumn("_at", F.monotonically_increasing_id())
+    first = Window.partitionBy("_file").orderBy("_at")
+    begun = placed.where(~F.col("_later")).withColumn("_line", F.row_number().over(first)).where(F.col("_line") > n)
+    return begun.select("value").union(placed.where("_later").select("value"))
+
+
 def read_two_files(spark: SparkSession, train: str, test: str, attribute: str = TWO_FILE_ATTRIBUTE) -> DataFrame:
     """(source_file, file_block, file_order, flow) of a train and a test CSV whose row order is time order.
 
-    `file_block` is the byte offset of the split a row was read from and `file_order` rises within it, so
-    (file_block, file_order) is the order of the file, and `file_block` is a chunk of bounded size.
+    Either may be a folder of files in the order of their names. `file_block` is the file and the byte offset of the split
+    a row was read from, and `file_order` rises within it, so (file_block, file_order) is the order of the rows, and `file_block` is a
+    chunk of bounded size.
     """
 
     def one(path, label):
         rows = spark.read.csv(path, header=True, inferSchema=False, encoding="UTF-8")
         return rows.select(
             F.lit(label).alias("source_file"),
-            F.col("_metadata.file_block_start").alias("file_block"),
+            F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("file_block"),
             F.monotonically_increasing_id().alias("file_order"),
             zero_fill(parse_number(F.col(f"`{attribute}`"))).alias("flow"),
         )

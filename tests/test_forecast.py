@@ -49,7 +49,7 @@ def test_constant_key_predicts_its_constant(spark, rows):
     flat = [(s, loc, t, 5.0) for s, loc, t, _ in rows if s == "d"]
     windows = lag_windows(spark.createDataFrame(flat, SERIES), scale=False)
     for kind, length in (("ar1", 1), ("ar_l", 12)):
-        scored = forecast.score_ar(windows, forecast.fit_model(kind, windows, length=length), length=length)
+        scored = forecast.score_ar(windows, forecast.fit_model(kind, windows, length=length))
         assert [r["y_hat"] for r in scored.collect()] == pytest.approx([5.0] * (len(flat) - 12), abs=1e-6)
 
 
@@ -76,7 +76,7 @@ def test_scores_against_plain_python(rows, windows):
     coefs = forecast.fit_model("ar_l", windows, length=2)
     table = {r["site_id"]: r["coef"] for r in coefs.collect()}
     expected = brute_windows(rows, 12)
-    scored = forecast.score_ar(windows, coefs, length=2).collect()
+    scored = forecast.score_ar(windows, coefs).collect()
     assert len(scored) == len(expected)
     for r in scored:
         lags = expected[(r["site_id"], r["location"], r["ts"])][2]
@@ -136,7 +136,7 @@ def test_first_points_are_the_first_test_windows(rows, windows):
 def test_evaluate_sites_skips_sites_without_model(spark, windows):
     coefs = forecast.fit_model("ar1", windows).where("site_id != 'c'")
     sites = spark.createDataFrame([("h", "High St")], "site_id string, location string")
-    metrics, summary = evaluation.evaluate_sites(windows, coefs, sites, 1)
+    metrics, summary = evaluation.evaluate_sites(windows, coefs, sites)
     assert {(r["site_id"], r["location"]) for r in metrics.collect()} == {("h", "High St"), ("d", "Unknown")}
     assert summary.first()["model_type"] == "ar1"
 
@@ -150,4 +150,57 @@ def test_model_store(spark, windows, tmp_path):
     again = store.load_models(spark, str(tmp_path), {"linear": LinearRegressionModel})
     assert again["linear"].intercept != first
     coefs = train.train_per_site(spark, windows, str(tmp_path / "per_site"))
-    assert coefs.groupBy("model_type").count().orderBy("model_type").collect() == [("ar1", 3), ("ar_l", 3)]
+    assert coefs.groupBy("model_type").count().orderBy("model_type").collect() == [("ar1", 3), ("ar_l", 3), ("naive", 3), ("seasonal_naive", 3)]
+
+
+def test_models_of_all_types_in_one_table(spark, rows, tmp_path):
+    series = forecast.with_previous_period(spark.createDataFrame(rows, SERIES))
+    windows = store_and_read(spark, lag_windows(series), tmp_path / "windows")
+    coefs = train.train_per_site(spark, windows, str(tmp_path / "models"))
+    assert {r["model_type"] for r in coefs.collect()} == {"naive", "seasonal_naive", "ar1", "ar_l"}
+    scored = {(r["site_id"], r["location"], r["ts"], r["model_type"]): r for r in forecast.score_ar(windows, coefs).collect()}
+    fitted = {site: {order: least_squares(rows, site, 12, order) for order in (1, 12)} for site in SIZES}
+    day = dt.timedelta(days=1)
+    values = {r[:3]: r[3] for r in rows}
+    for (site, location, ts), (_, _, lags, _) in brute_windows(rows, 12).items():
+        x = np.array([1.0, *reversed(lags)])
+        got = {m: scored[site, location, ts, m] for m in ("naive", "seasonal_naive", "ar1", "ar_l")}
+        assert got["naive"]["y_hat"] == pytest.approx(lags[-1])
+        assert got["ar1"]["y_hat"] == pytest.approx(x[:2] @ fitted[site][1], abs=1e-8)
+        assert got["ar_l"]["y_hat"] == pytest.approx(x @ fitted[site][12], abs=1e-8)
+        before = values.get((site, location, ts - day))
+        low, span = got["naive"]["x_min"], got["naive"]["x_max"] - got["naive"]["x_min"]
+        assert got["seasonal_naive"]["y_hat"] == pytest.approx(lags[-1] if before is None else (before - low) / span)
+    sites = spark.createDataFrame([(s, s) for s in SIZES], "site_id string, location string")
+    metrics, summary = evaluation.evaluate_sites(windows, coefs, sites)
+    assert metrics.count() == 4 * len(SIZES) and summary.count() == 4
+
+
+def store_and_read(spark, df, path):
+    df.drop("chunk").write.parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+def test_scoring_refuses_what_it_cannot_score(spark, windows):
+    long = spark.createDataFrame([("h", "ar_l", [0.0] * 14)], "site_id string, model_type string, coef array<double>")
+    with pytest.raises(Exception, match="more than 12 lags"):
+        forecast.score_ar(windows, long).collect()
+    with pytest.raises(Exception, match="previous period"):
+        forecast.score_ar(windows, forecast.fit_model("seasonal_naive", windows)).collect()
+
+
+def test_sites_without_models_use_pooled_ones(spark, windows, tmp_path):
+    own = forecast.fit_model("ar1", windows).where("site_id = 'h'")
+    pooled = {"linear": forecast.fit_model("linear", windows), "gbt": forecast.fit_pooled_gbt(windows.where("split = 'train'"), rounds=2)}
+    sites = spark.createDataFrame([(s, s.upper()) for s in SIZES], "site_id string, location string")
+    metrics, summary = evaluation.evaluate_stored(windows, own, pooled, sites, str(tmp_path / "report"))
+    found = {(r["site_id"], r["model_type"], r["location"]) for r in metrics.collect()}
+    assert found == {("h", "ar1", "H"), *[(s, m, s.upper()) for s in ("c", "d") for m in ("linear", "gbt")]}
+    assert {r["model_type"] for r in summary.collect()} == {"ar1", "linear", "gbt"}
+
+
+def test_previous_period_takes_the_day_before_where_times_repeat(spark):
+    start = dt.datetime(2006, 10, 2)
+    rows = [("s", "a", start + dt.timedelta(days=d), float(v)) for d, v in ((0, 1), (0, 3), (1, 5), (1, 6), (3, 9))]
+    got = forecast.with_previous_period(spark.createDataFrame(rows, SERIES)).orderBy("ts", "flow").collect()
+    assert [r["previous"] for r in got] == [None, None, 3.0, 3.0, None]

@@ -18,7 +18,10 @@ PUBLISHED_SITES = [
     ("4263", 9984), ("4264", 11040), ("4266", 11904), ("4270", 11904), ("4272", 8640), ("4273", 5952), ("4321", 11904),
     ("4324", 8928), ("4335", 5952), ("4812", 7488), ("4821", 11904), ("970", 11808),
 ]
-PUBLISHED_REGION = "2000 2200 2820 2825 2827 3002 3120 3127 3180 3662 3682 4032 4043 4051 4057 4262 4263 4266 4270 4321 4324 4335"
+PUBLISHED_REGION = [
+    "2000", "2200", "2820", "2825", "2827", "3002", "3120", "3127", "3180", "3662", "3682",
+    "4032", "4043", "4051", "4057", "4262", "4263", "4266", "4270", "4321", "4324", "4335",
+]
 
 
 def site_frame(spark, ids):
@@ -37,7 +40,7 @@ def test_region_allowlist(spark):
     assert len(REGION_SITES) == len(set(REGION_SITES)) == 141
     available = site_frame(spark, [s for s, _ in PUBLISHED_SITES])
     got = select.allowed_sites(select.allowlist(spark), available).orderBy("ord").collect()
-    assert [r["site_id"] for r in got] == PUBLISHED_REGION.split()
+    assert [r["site_id"] for r in got] == PUBLISHED_REGION
 
 
 def test_allowlist_falls_back_to_all(spark):
@@ -60,7 +63,7 @@ def test_sites_sort_as_text(spark):
 def test_location_lookup_on_hot_key(spark):
     rows = spark.createDataFrame([("h", i) for i in range(500)] + [("x", 0)], "site_id string, ts int")
     sites = spark.createDataFrame([("h", "High St")], "site_id string, location string")
-    got = select.with_location(rows, sites, ["ts"]).groupBy("location").count().collect()
+    got = select.with_location(rows, sites).groupBy("location").count().collect()
     assert sorted(tuple(r) for r in got) == [("High St", 500), ("Unknown", 1)]
     kept = select.keep_sites(rows, sites.unionByName(sites))
     assert kept.count() == 500

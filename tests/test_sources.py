@@ -44,6 +44,28 @@ def test_site_listing(spark, tmp_path):
     ]
 
 
+def test_site_listing_counts_physical_lines(spark, tmp_path):
+    lead = ["a", "", "b", "", "", "c", "d", "e", "2000,A,INT", "Site,Description,Type"]  # a line may equal a row
+    for name, sites in (("x.txt", ["2000,A,INT", "2001,B,INT"]), ("y.txt", ["2002,C,INT", "2003,D,INT"])):
+        (tmp_path / name).write_text("\n".join(lead + sites) + "\n")
+    rows = csv_files.read_site_listing(spark, str(tmp_path)).collect()
+    assert sorted(r["Site_Number"] for r in rows) == ["2000", "2001", "2002", "2003"]
+
+
+def test_two_files_may_be_folders(spark, tmp_path):
+    values = {"train": [(i * 7) % 13 for i in range(300)], "test": [(i * 5) % 17 for i in range(200)]}
+    for name, cells in values.items():
+        (tmp_path / name).mkdir()
+        for part in range(4):
+            own = cells[part * len(cells) // 4 : (part + 1) * len(cells) // 4]
+            (tmp_path / name / f"part-{part}.csv").write_text(f"5 Minutes,{TWO_FILE_ATTRIBUTE}\n" + "".join(f"t,{c}\n" for c in own))
+    series = csv_files.read_two_files(spark, str(tmp_path / "train"), str(tmp_path / "test"))
+    windows = lag_windows_per_file(series, F.col("file_block"), order=("file_block", "file_order"), scale=False).collect()
+    for name, cells in values.items():
+        own = sorted((r for r in windows if r["split"] == name), key=lambda r: r["idx"])
+        assert [[*[r[c] for c in lag_names()], r["y"]] for r in own] == [cells[i : i + 13] for i in range(len(cells) - 12)]
+
+
 def test_two_files_keep_row_order_across_splits(spark, tmp_path):
     values = {"train": [str((i * 7) % 13) for i in range(3000)], "test": [str((i * 5) % 17) for i in range(2000)]}
     values["train"][5] = ""

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,3 +207,17 @@ def test_lag_frame_keeps_all_rows(spark):
     frame = lag_frame(spark.createDataFrame(rows, SERIES), ["site_id"], ["ts", "location"], "flow", 3, by_hour())
     assert frame.count() == len(rows)
     assert frame.where("lag_3 is null").count() == 3 * len(SIZES)
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_chunks_of_two_parts_on_a_day_that_holds_most_rows(spark, width):
+    rng = random.Random(width)
+    rows = [("train" if k % 5 else "test", 3 if rng.random() < 0.8 else rng.randrange(6), k, float(rng.randrange(50))) for k in range(900)]
+    series = spark.createDataFrame(rows, "source_file string, day int, number int, flow double").repartition(5)
+    chunk = F.struct("day", F.floor(F.col("number") / width).alias("part"))
+    got = lag_windows_per_file(series, chunk, order=("day", "number"), scale=False).collect()
+    for split in ("train", "test"):
+        own = [r[3] for r in sorted(r for r in rows if r[0] == split)]
+        found = sorted((r for r in got if r["split"] == split), key=lambda r: r["idx"])
+        assert [[*[r[c] for c in lag_names()], r["y"]] for r in found] == [own[i : i + 13] for i in range(len(own) - 12)]
+        assert {(r["x_min"], r["x_max"]) for r in found} == {(min(r[3] for r in rows if r[0] == "train"), max(r[3] for r in rows if r[0] == "train"))}
