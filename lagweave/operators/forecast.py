@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.metrics import mape_eps
 from ..functions.scaling import minmax
 from .lookup import lookup
 from .windows import LENGTH, lag_names, lags_array
@@ -212,10 +213,25 @@ def score_chosen(windows: DataFrame, chosen: DataFrame, models: dict | None = No
 
 
 def gbt_history(model: GBTRegressionModel, train: DataFrame, validation: DataFrame, length: int = LENGTH) -> list[tuple]:
-    """(epoch, loss, val_loss) per boosting round; the evaluation runs on Spark, one number per round comes back."""
-    loss = model.evaluateEachIteration(with_features(train, length).select("features", "y"), "squared")
-    val_loss = model.evaluateEachIteration(with_features(validation, length).select("features", "y"), "squared")
-    return [(i, a, b) for i, (a, b) in enumerate(zip(loss, val_loss), 1)]
+    """(epoch, loss, mape, val_loss, val_mape) per boosting round, the columns of a stored history.
+
+    The evaluation runs on Spark; a few numbers per round come back. The percentage error is that of `mape_eps`.
+    """
+    sides = []
+    for rows in (train, validation):
+        kept = with_features(rows, length).select("features", "y")
+        sides += [model.evaluateEachIteration(kept, "squared"), _mape_of_rounds(model, kept)]
+    return [(i, *values) for i, values in enumerate(zip(*sides), 1)]
+
+
+def _mape_of_rounds(model: GBTRegressionModel, rows: DataFrame) -> list[float]:
+    """The clamped percentage error of the first k trees of a model for every k, in one pass."""
+    out, errors = F.lit(0.0), []
+    for k, (tree, weight) in enumerate(zip(model.trees, model.treeWeights)):
+        rows = tree.setPredictionCol(f"_tree{k}").transform(rows)
+        out = out + F.col(f"_tree{k}") * F.lit(float(weight))
+        errors.append(mape_eps(F.col("y"), out).alias(f"_round{k}"))
+    return list(rows.agg(*errors).first())
 
 
 #: What `fit_model` knows: a function of (train rows, keys, lags) per type with a row of coefficients per key ...

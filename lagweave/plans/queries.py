@@ -492,7 +492,7 @@ def gbt_history(spark, folder):
     marked = stored(win.validation_tail(train_rows(spark, folder)), "marked")
     fit, held = marked.where(~F.col("is_validation")), marked.where("is_validation")
     rounds = forecast.gbt_history(forecast.fit_pooled_gbt(fit), fit, held)
-    return rounded(spark.createDataFrame(rounds, "epoch int, loss double, val_loss double"))
+    return rounded(spark.createDataFrame(rounds, "epoch int, loss double, mape double, val_loss double, val_mape double"))
 
 
 def _score_columns(df):

@@ -6,6 +6,7 @@ from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import functions as F
 
 from helpers import SERIES, brute_windows, series_rows
+from lagweave.functions.metrics import mape_eps
 from lagweave.operators import forecast
 from lagweave.operators.points import first_test_points
 from lagweave.operators.windows import lag_windows, validation_tail
@@ -117,7 +118,9 @@ def test_boosted_trees(windows):
     fit, held = marked.where("not is_validation"), marked.where("is_validation")
     rounds = forecast.gbt_history(model, fit, held)
     assert [e for e, *_ in rounds] == list(range(1, len(rounds) + 1))
-    assert rounds[-1][1] <= rounds[0][1]
+    assert rounds[-1][1] <= rounds[0][1] and len(rounds[0]) == 5
+    last = forecast.score_pooled(held, model, "gbt").agg(mape_eps(F.col("y"), F.col("y_hat"))).first()[0]
+    assert rounds[-1][4] == pytest.approx(last)
     scored = forecast.score_pooled(windows.where("split = 'test'"), model, "gbt")
     assert scored.where("y_hat is null").count() == 0
     report = evaluation.evaluate_pooled(scored).first()

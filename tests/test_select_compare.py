@@ -8,6 +8,7 @@ from helpers import SERIES, series_rows
 from lagweave.functions.fixed_values import REGION_SITES
 from lagweave.operators import catalog, compare, history, select
 from lagweave.operators.profile import flow_profile
+from lagweave.sources.store import read_history_files
 
 # (site, days, rows) of the published catalog
 PUBLISHED_SITES = [
@@ -32,8 +33,8 @@ def site_frame(spark, ids):
 def published(spark):
     path = os.path.join(os.path.dirname(__file__), "fixtures", "published_metrics.csv")
     with open(path) as f:
-        rows = [(r["site_id"], r["model_type"], float(r["mape"]), float(r["rmse"]), 0.0) for r in csv.DictReader(f)]
-    return spark.createDataFrame(rows, "site_id string, model_type string, mape double, rmse double, r2 double")
+        rows = [(r["site_id"], r["model_type"], float(r["mape"]), float(r["rmse"]), float(r["r2"]), float(r["mae"])) for r in csv.DictReader(f)]
+    return spark.createDataFrame(rows, "site_id string, model_type string, mape double, rmse double, r2 double, mae double")
 
 
 def test_region_allowlist(spark):
@@ -117,11 +118,11 @@ def test_profiles(spark, by, part):
 def test_published_summary(published):
     got = {r["model_type"]: r for r in compare.model_summary(published).collect()}
     expected = {
-        "gru": (74.01410912691284, 33.00629295763272, 176.54276141758686, 38.50716024544999, 22.211749332841812, 64.3190901013788),
-        "lstm": (63.54705597648194, 30.15426363080319, 182.70722226637778, 38.78966633955154, 24.754199560307917, 66.49199286316791),
-        "saes": (86.95218504486256, 34.89331801396581, 192.91740554567357, 41.7208860573054, 26.47457902508507, 67.51737547262695),
+        "gru": (74.01410912691284, 33.00629295763272, 176.54276141758686, 38.50716024544999, 22.211749332841812, 64.3190901013788, 0.7484977141240112, 0.45630181009800863, 0.9256850133363996),
+        "lstm": (63.54705597648194, 30.15426363080319, 182.70722226637778, 38.78966633955154, 24.754199560307917, 66.49199286316791, 0.7427758767743068, 0.4111905590552676, 0.9311867142254258),
+        "saes": (86.95218504486256, 34.89331801396581, 192.91740554567357, 41.7208860573054, 26.47457902508507, 67.51737547262695, 0.7127301683872668, 0.4108364273654378, 0.8660492311453338),
     }
-    names = ("avg_mape", "min_mape", "max_mape", "avg_rmse", "min_rmse", "max_rmse")
+    names = ("avg_mape", "min_mape", "max_mape", "avg_rmse", "min_rmse", "max_rmse", "avg_r2", "min_r2", "max_r2")
     assert {m: tuple(r[n] for n in names) for m, r in got.items()} == {m: pytest.approx(v, abs=1e-9) for m, v in expected.items()}
     ranked = [r["model_type"] for r in compare.rank_models(compare.model_summary(published)).collect()]
     assert ranked == ["lstm", "gru", "saes"]
@@ -177,3 +178,12 @@ def test_early_stop(spark):
     assert point([1.0 / i for i in range(1, 101)]) == (100, 100, False)
     assert point([5.0, 4.0, 4.0, 4.0, 1.0], 2) == (4, 2, True)
     assert point([5.0, 4.0, 4.0], 2) == (3, 2, False)
+
+
+def test_published_history(spark):
+    """A published run of 11 epochs: the first is the best, and training stopped after ten more."""
+    runs = read_history_files(spark, os.path.join(os.path.dirname(__file__), "fixtures", "per_site"))
+    best, stop = history.best_epoch(runs).first(), history.early_stop(runs).first()
+    assert (best["site_id"], best["model_type"], best["best_epoch"]) == ("4262", "transformer", 1)
+    assert best["best_val_loss"] == 0.05360656976699829
+    assert (stop["stop_epoch"], stop["best_epoch"], stop["stopped"]) == (11, 1, True)
