@@ -56,14 +56,18 @@ def keep_rows(docs: DataFrame, keys: Sequence[tuple[str, Column]], kept: DataFra
 
     `keys` gives (column of `kept`, expression over `docs`); NULL matches NULL. Of rows with equal keys, which are copies
     of one another under the same id, the first by a hash of their columns stays. The row travels as a struct, so no name
-    can clash.
+    can clash. It moves once: join and window use the same columns, in which a flag stands for NULL.
     """
     names = [f"_k{i}" for i in range(len(keys))]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[e.alias(n) for n, (_, e) in zip(names, keys)])
-    wanted = kept.select(*[F.col(c).alias(f"_w{i}") for i, (c, _) in enumerate(keys)]).distinct()
-    same = F.lit(True)
-    for i, name in enumerate(names):
-        same = same & F.col(name).eqNullSafe(F.col(f"_w{i}"))
-    first = Window.partitionBy(*names).orderBy("_hash")
-    joined = rows.withColumn("_hash", F.xxhash64("_row")).join(wanted, same, "left_semi")
+    wanted = kept.select(*[F.col(c).alias(n) for n, (c, _) in zip(names, keys)])
+    kinds = {n: rows.schema[n].dataType for n in names}
+
+    def without_nulls(df: DataFrame) -> DataFrame:
+        flags = {f"{n}_none": F.col(n).isNull() for n in names}
+        return df.withColumns(flags).withColumns({n: F.coalesce(F.col(n), F.lit(0).cast(kinds[n])) for n in names})
+
+    on = [c for n in names for c in (n, f"{n}_none")]
+    first = Window.partitionBy(*on).orderBy("_hash")
+    joined = without_nulls(rows).withColumn("_hash", F.xxhash64("_row")).join(without_nulls(wanted).distinct(), on, "left_semi")
     return joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("_row.*")
