@@ -1,25 +1,28 @@
-"""Benchmark passages in documents, also edited ones: CGK embedding, bit-sampling LSH, exact edit distance.
-
-Texts are compared in lower case with white space as spaces. A window starts at a word and is as long as the item, or, when it
-starts inside the item, as the rest of it; its size class is the largest of `CLASSES` that fits. The random walk of Chakraborty,
-Goldenberg and Koucky reads a window with a pointer: step j writes the byte at the pointer, and a random bit of (j, byte)
-tells whether the pointer moves. Windows at edit distance k come out at a Hamming distance that depends on k only, so that
-sampling positions of the output is a locality-sensitive hash for edits. `TABLES` samples of `SAMPLED` positions per class
-and several windows per item give the recall. A pair that meets in `MEETINGS` tables goes to the exact test: the smallest edit distance
-between the whole item and any passage of the document near the place, by bit-parallel dynamic programming. It is a match
-if at most a fifth of the item's length is edited.
-
-Only windows whose first `HEAD` bytes start some window of an item are embedded; that is an exact test by hash. An item
-has a window at every word of its first half, so it is missed only if every one of these heads was edited.
+"""Benchmark passages in documents, also edited ones: partition of the item into pieces, bit-parallel filters, exact edit distance.
+
+Texts are compared in lower case with white space (ASCII and Unicode) as spaces, character by character. An item of m characters matches
+a document if the smallest edit distance between the whole item and any passage of it is at most `EDITED` of m, that is k = int(EDITED * m).
+The search loses none of these (target recall 1.0, by construction and not by sampling): the item is cut into k + 1 pieces, and k edits
+leave at least one of them as it is, at any place of the item and in any script; no word border or head is needed. The same
+counting holds for every group of u pieces side by side: of the groups of a partition, at least one holds at most u - 1 edits. So a document's
+places go through conditions that every match fulfils, each much rarer than the one before (Navarro and Baeza-Yates' hierarchical
+verification):
+
+1. a piece occurs (hash table of the pieces; all places of the document are looked up);
+2. of the two-letter combinations left and right of it in its part (`PART` pieces), all but two per edit are near: masks of 64 bits;
+3. the part is near with at most u - 1 edits, by bit-parallel dynamic programming over many candidates at a time;
+4. so is its node (about `NODE` parts, at most 64 characters);
+5. the whole item is near: the exact test.
 
 The walk reads whole documents, in batches, in one pass and without a shuffle. The items are a stated query set: they go
 to the tasks in blocks of `BLOCK` items, one pass each.
 
-Defined cases: NULL and empty texts hold nothing; NULL, empty and very short items (under `SHORTEST` bytes) are skipped, since
-a few words are no evidence. Repeated items match each under its own id. Repeated rows each give their matches. Empty tables give no
-matches and drop no rows. Texts without spaces have one window, at their start. Further columns are kept by `keep_clean`.
+Defined cases: NULL and empty texts hold nothing; NULL and empty items are skipped; very short items (under `SHORTEST` bytes) count only where
+they stand unedited. Repeated items match each under its own id. Repeated rows each give their matches. Empty tables
+give no matches and drop no rows. Further columns are kept by `keep_clean`.
 """
 
+from collections import Counter
 from collections.abc import Callable
 from functools import partial
 
@@ -30,16 +33,20 @@ from pyspark.sql import DataFrame, functions as F
 from ..sources.shared import stored
 from .common import groups_of, map_batches, ship, text_of, utf8
 
-CLASSES = (24, 36, 54, 80, 120, 180, 270, 400)
 SHORTEST = 24
-HEAD = 8
-TABLES = 24
-SAMPLED = 6
-MEETINGS = 1
 EDITED = 0.2
+PART = 3  # pieces
+NODE = 4  # parts
+WORD = 64  # characters of a node at most
+LOOKED_UP = 5  # characters of a piece at most
+SIDE = 16  # pairs of a window left or right of a piece at most
+CLASSES = 255  # of characters; rarer ones share a class, which makes candidates, never losses
 BLOCK = 1000
-GROUP = 1 << 22  # bytes of text embedded at a time
-SEED = 20
+GROUP = 1 << 22  # bytes of text searched at a time
+PLACES = 1 << 17  # places looked up at a time
+TRIED = 1 << 13  # candidates in one run of dynamic programming
+MARGIN = 256  # characters around a text that windows may reach
+MIXER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _folding() -> bytes:
@@ -50,113 +57,178 @@ def _folding() -> bytes:
 
 
 FOLDING = _folding()
-def _steps(size: int) -> int:
-    """Steps after which a walk has read about four fifths of so many bytes."""
-    return size * 8 // 5
-
-
-#: Bits that tell whether the pointer moves, by step and byte, and the sampled steps by class and table: those after the head.
-MOVES = np.random.default_rng(SEED).integers(0, 2, (_steps(CLASSES[-1]), 256), np.uint8)
-PICKED = {c: np.random.default_rng((SEED, c)).integers(2 * HEAD, _steps(c), (TABLES, SAMPLED)) for c in CLASSES}
 
 
 def canonical(text: bytes) -> bytes:
     return text.translate(FOLDING)
 
 
-def word_starts(data: np.ndarray) -> np.ndarray:
-    blank = data == 32
-    return np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-
+def split(count: int, size: float) -> list[int]:
+    """Bounds of about count / size even shares of so many things."""
+    shares = max(1, round(count / size))
+    return [count * i // shares for i in range(shares + 1)]
 
-def heads(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A hash of the `HEAD` bytes at each place; `data` goes on for so many bytes."""
-    out = np.full(len(starts), 1469598103934665603, np.uint64)
-    for k in range(HEAD):
-        out = (out ^ data[starts + k]) * np.uint64(1099511628211)
-    return out ^ (out >> np.uint64(29))
 
-
-def embed(data: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
-    """The walk's output, one row per step. The first steps do not depend on how far a walk goes, so one serves all classes."""
-    at, out = starts.copy(), np.empty((steps, len(starts)), np.uint8)
-    for j in range(steps):
-        out[j] = data[at]
-        at += MOVES[j][out[j]]
-    return out
-
-
-def keys(walked: np.ndarray, size: int, head: np.ndarray) -> np.ndarray:
-    """The LSH keys of one class, of the sampled steps and the hash of the head: a row per table."""
-    out = np.empty((TABLES, walked.shape[1]), np.uint64)
-    for t, picked in enumerate(PICKED[size]):
-        key = head ^ np.uint64(size * 1000 + t)
-        for j in picked:
-            key = (key ^ walked[j]) * np.uint64(1099511628211)
-            key ^= key >> np.uint64(31)
-        out[t] = key
-    return out
+def grams(data: np.ndarray, length: int, bits: int) -> np.ndarray:
+    """A hash of so many bits of the `length` classes at each place."""
+    wide = data.astype(np.uint64)
+    code = wide[: len(data) - length + 1].copy()
+    for j in range(1, length):
+        code = (code << np.uint64(8)) | wide[j : len(data) - length + 1 + j]
+    return ((code + np.uint64(1)) * MIXER >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class Items:
-    """The windows of a block of items: their heads, and their keys with the windows that have them."""
+    """A block of items: the pieces by hash, with what is known of their parts and nodes."""
 
     def __init__(self, rows: list[tuple[int, bytes]]):
-        self.ids, self.texts, windows = [], [], []
+        self.ids, self.texts, self.decoded = [], [], []
         for item, text in rows:
             folded = canonical(text).strip(b" ")
             if len(folded) < SHORTEST:
                 continue
-            number = len(self.ids)
             self.ids.append(item)
             self.texts.append(folded)
-            starts = word_starts(np.frombuffer(folded, np.uint8))
-            room = len(folded) - starts
-            fit = (starts <= len(folded) // 2) & (room >= SHORTEST)
-            windows += [(number, int(s), max(c for c in CLASSES if c <= r)) for s, r in zip(starts[fit], room[fit])]
-        self.windows = windows
-        self.decoded = [t.decode("utf-8", "replace") for t in self.texts]
-        # Zeros after every item, so that no walk runs into the next one.
-        gap = bytes(CLASSES[-1] * 2)
-        data, first = np.frombuffer(b"".join(t + gap for t in self.texts), np.uint8), np.cumsum([0, *[len(t) + len(gap) for t in self.texts]])
-        starts = np.array([first[n] + s for n, s, _ in windows], np.int64)
-        own_heads = heads(data, starts)
-        self.heads = np.unique(own_heads)
-        self.sizes = sorted({c for _, _, c in windows})
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for size in self.sizes:
-            own = np.array([k for k, w in enumerate(windows) if w[2] == size])
-            found += [(row, own) for row in keys(embed(data, starts[own], _steps(size)), size, own_heads[own])]
-        if found:
-            all_keys, owners = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(all_keys, kind="stable")
-            self.keys, self.owners = all_keys[order], owners[order]
-
-    def candidates(self, data: np.ndarray, walks: int = 1 << 14) -> np.ndarray:
-        """Distinct (place, window) rows that share the keys of `MEETINGS` tables."""
-        out = [np.empty((0, 2), np.int64)]
-        if not self.windows:
-            return out[0]
-        padded = np.concatenate([data, np.zeros(2 * CLASSES[-1], np.uint8)])
-        starts = word_starts(data)
-        hashes = heads(padded, starts)
-        near = np.searchsorted(self.heads, hashes)
-        same = self.heads[np.minimum(near, len(self.heads) - 1)] == hashes
-        starts, hashes = starts[same], hashes[same]
-        for k in range(0, len(starts), walks):  # bounded memory
-            own = starts[k : k + walks]
-            walked = embed(padded, own, _steps(self.sizes[-1]))
-            for size in self.sizes:
-                rows = keys(walked, size, hashes[k : k + walks])
-                low, high = np.searchsorted(self.keys, rows, "left"), np.searchsorted(self.keys, rows, "right")
-                table, column = np.nonzero(high > low)
-                number = (high - low)[table, column]
-                inside = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-                owner = self.owners[np.repeat(low[table, column], number) + inside]
-                pairs, met = np.unique(np.column_stack([np.repeat(own[column], number), owner]), axis=0, return_counts=True)
-                out.append(pairs[met >= MEETINGS])  # a window has one class, so its tables are all here
+            self.decoded.append(folded.decode("utf-8", "replace"))
+        self.most = [int(EDITED * len(d)) for d in self.decoded]
+        often = [c for c, _ in sorted(Counter("".join(self.decoded)).items(), key=lambda x: (-x[1], x[0]))]
+        self.class_of = np.zeros(max(map(ord, often), default=0) + 2, np.uint8)
+        for rank, c in enumerate(often):
+            self.class_of[ord(c)] = 1 + rank % CLASSES
+        coded = [self.classes(d) for d in self.decoded]
+        self._pair_bits(coded)
+        self._cut(coded)
+
+    def classes(self, text: str) -> np.ndarray:
+        """The class of every character; 0 where no item has it."""
+        out = [np.empty(0, np.uint8)]
+        for k in range(0, len(text), GROUP):
+            points = np.frombuffer(text[k : k + GROUP].encode("utf-32-le", "replace"), np.uint32)
+            out.append(self.class_of[np.minimum(points, len(self.class_of) - 1)])
         return np.concatenate(out)
 
+    def _pair_bits(self, coded: list[np.ndarray]) -> None:
+        """A bit for every two-letter combination of the items, so that frequent ones have different bits."""
+        self.pair_bits = np.zeros(1 << 16, np.uint64)
+        seen = np.zeros(1 << 16, np.int64)
+        for c in coded:
+            seen += np.bincount(pairs(c), minlength=1 << 16)
+        order = np.argsort(-seen, kind="stable")[: np.count_nonzero(seen)]
+        self.pair_bits[order] = np.uint64(1) << (np.arange(len(order)) % 64).astype(np.uint64)
+
+    def _cut(self, coded: list[np.ndarray]) -> None:
+        width = int(self.class_of.max()) + 1
+        pieces, nodes = [], []
+        for number, codes in enumerate(coded):
+            size, count = len(codes), self.most[number] + 1
+            at = [size * i // count for i in range(count + 1)]
+            parts = split(count, PART)
+            shares = -(-(len(parts) - 1) // NODE)
+            while True:  # nodes have at most `WORD` characters
+                bounds = [parts[(len(parts) - 1) * i // shares] for i in range(shares + 1)]
+                if all(at[b] - at[a] <= WORD for a, b in zip(bounds, bounds[1:])):
+                    break
+                shares += 1
+            for a, b in zip(bounds, bounds[1:]):
+                place = np.zeros(width, np.uint64)
+                for j, c in enumerate(codes[at[a] : at[b]].tolist()):
+                    place[c] |= np.uint64(1 << j)
+                nodes.append((place, number, at[a], at[b] - at[a], b - a - 1))
+            for first, last in zip(parts, parts[1:]):
+                node = len(nodes) - shares + int(np.searchsorted(bounds, first, "right")) - 1
+                edits = last - first - 1
+                for i in range(first, last):
+                    length = min(at[i + 1] - at[i], LOOKED_UP)
+                    left, right = min(at[i] - at[first], SIDE - edits), min(at[last] - at[i] - length, SIDE - edits)
+                    ends = codes[at[i] - left : at[i] + 1], codes[at[i] + length - 1 : at[i] + length + right]
+                    masks = [int(np.bitwise_or.reduce(self.pair_bits[pairs(c)], initial=np.uint64(0))) for c in ends]
+                    pieces.append((length, codes[at[i] : at[i] + length], node, at[i], at[first], at[last] - at[first], edits, left, right, *masks))
+        self.places = np.array([n[0] for n in nodes], np.uint64).reshape(-1, width)
+        self.node_item, self.node_at, self.node_size, self.node_edits = (np.array([n[j] for n in nodes], np.int64) for j in range(1, 5))
+        self.bits = max(12, len(pieces).bit_length() + 4)
+        pieces = [(*p[:1], int(grams(p[1], p[0], self.bits)[0]), *p[2:]) for p in pieces]
+        pieces.sort(key=lambda p: p[:2])
+        column = lambda j: np.array([p[j] for p in pieces], np.int64)
+        lengths, hashes, self.node, self.at, self.part_at, self.part_size, self.part_edits, left, right = (column(j) for j in range(9))
+        self.before = self.at - self.part_at + self.part_edits  # from the start of a part's window to the piece
+        # Left and right of the piece: what its pairs' bits are, where the window begins, and how far it goes beyond the first pairs.
+        self.sides = [
+            (np.array([p[9 + k] for p in pieces], np.uint64), begin, np.maximum(reach + self.part_edits - SIDE // 2, 0))
+            for k, (begin, reach) in enumerate([(-left - self.part_edits, left), (lengths - 1, right)])
+        ]
+        # By length: where the pieces of a hash begin.
+        self.lookup = {}
+        for length in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == length)
+            self.lookup[length] = (own[0] + np.searchsorted(hashes[own], np.arange((1 << self.bits) + 1))).astype(np.int32)
+
+    def candidates(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Distinct (text, place, item) rows: where an item would begin that has a node nearby. `data` holds the classes of texts that
+        begin at `first`, with a margin at both ends."""
+        out = [np.empty((0, 3), np.int64)]
+        for low in range(MARGIN, len(data) - MARGIN, PLACES):
+            high = min(low + PLACES, len(data) - MARGIN)
+            piece, at = self._hits(data[low - MARGIN // 2 : high + MARGIN // 2], MARGIN // 2, high - low)
+            at += low - MARGIN // 2
+            node, edits = self.node[piece], self.part_edits[piece]
+            good = self._near(data, node, self.part_at[piece] - self.node_at[node], self.part_size[piece], edits, at - self.before[piece])
+            piece, at, node = piece[good], at[good], node[good]
+            text = np.searchsorted(first, at, "right") - 1
+            text, begin, node = np.unique(np.column_stack([text, at - (self.at[piece] - self.node_at[node]), node]), axis=0).T
+            edits = self.node_edits[node]
+            good = self._near(data, node, np.zeros(len(node), np.int64), self.node_size[node], edits, begin - edits)
+            out.append(np.column_stack([text, begin - self.node_at[node], self.node_item[node]])[good])
+        return np.unique(np.concatenate(out), axis=0)
+
+    def _hits(self, near: np.ndarray, skip: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, place) of the pieces that occur, where the pairs of their part do as well."""
+        window = self.pair_bits[pairs(near)]
+        for reach in (1, 2, 4):
+            window = window[:-reach] | window[reach:]  # of SIDE // 2 pairs in the end
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for length, begins in self.lookup.items():
+            hashed = grams(near[skip : skip + count + length - 1], length, self.bits)
+            low = begins[hashed]
+            number = begins[hashed + 1] - low
+            here = np.flatnonzero(number)
+            number = number[here]
+            at = np.repeat(here + skip, number)
+            piece = np.arange(len(at)) + np.repeat(low[here] - np.cumsum(number) + number, number)
+            missing = np.zeros(len(at), np.uint8)
+            for mask, begin, beyond in self.sides:
+                start = at + begin[piece]
+                missing += np.bitwise_count(mask[piece] & ~(window[start] | window[start + beyond[piece]]))
+            good = missing <= 2 * self.part_edits[piece]
+            found.append((piece[good], at[good]))
+        piece, at = (np.concatenate(x) for x in zip(*found))
+        return piece, at
+
+    def _near(self, data, node, offset, size, edits, start) -> np.ndarray:
+        """Whether the `size` characters of the node from the offset on are within so many edits of some part of the window at `start`."""
+        good = np.zeros(len(node), bool)
+        flat, width, one = self.places.ravel(), self.places.shape[1], np.uint64(1)
+        order = np.argsort(size + 2 * edits, kind="stable")
+        for k in range(0, len(order), TRIED):
+            own = order[k : k + TRIED]
+            row, shift, at, top = node[own] * width, offset[own].astype(np.uint64), start[own], (size[own] - 1).astype(np.uint64)
+            up, down = np.full(len(own), ~np.uint64(0)), np.zeros(len(own), np.uint64)
+            score = size[own].copy()
+            best = score.copy()
+            for j in range(int((size[own] + 2 * edits[own]).max())):  # Myers' columns; bits above the top do not reach down
+                match = flat[row + data[at + j]] >> shift
+                diagonal = (((match & up) + up) ^ up) | match | down
+                right, left = down | ~(diagonal | up), up & diagonal
+                score += (right >> top & one).view(np.int64) - (left >> top & one).view(np.int64)
+                right, left = right << one, left << one
+                up, down = left | ~(diagonal | right), right & diagonal
+                np.minimum(best, score, out=best)
+            good[own] = best <= edits[own]
+        return good
+
+
+def pairs(data: np.ndarray) -> np.ndarray:
+    return data[:-1].astype(np.int64) << 8 | data[1:]
+
 
 def passage_distance(item: str, text: str, most: int) -> int:
     """The smallest edit distance between the item and any part of the text, most + 1 if it is larger than that."""
@@ -185,25 +257,28 @@ def _matches(items: Items, texts: list[bytes]) -> list[tuple[int, int, int, floa
 
 
 def _group_matches(items, texts):
-    joined = [canonical(t) for t in texts]
-    first = np.cumsum([0, *[len(t) + 1 for t in joined]])
-    data = np.frombuffer(b" ".join(joined), np.uint8)
-    best: dict[tuple[int, int], int] = {}
-    tried: set[tuple[int, int, int]] = set()
-    for place, window in items.candidates(data).tolist():
-        item, offset, _ = items.windows[window]
-        text = int(np.searchsorted(first, place, "right")) - 1
-        begin = place - int(first[text]) - offset
-        if best.get((text, item)) == 0 or (text, item, begin) in tried:
-            continue
-        tried.add((text, item, begin))
-        wanted, length = items.decoded[item], len(items.texts[item])
-        slack, most = int(EDITED * length), int(EDITED * len(wanted))
-        near = joined[text][max(0, begin - slack) : max(0, begin + length + slack)].decode("utf-8", "ignore")
-        edits = passage_distance(wanted, near, most)
+    if not items.ids:
+        return []
+    joined = [canonical(t).decode("utf-8", "replace") for t in texts]
+    first = np.cumsum([MARGIN, *[len(t) + 1 for t in joined]])
+    edge = np.zeros(MARGIN, np.uint8)
+    data = np.concatenate([edge, items.classes("\n".join(joined)), edge])  # no item has a line break
+    windows: dict[tuple[int, int], list[list[int]]] = {}
+    for text, place, item in items.candidates(data, first).tolist():
+        begin, slack = place - int(first[text]), items.most[item]
+        low, high = max(0, begin - slack), max(0, begin + len(items.decoded[item]) + slack)
+        own = windows.setdefault((text, item), [[low, high]])
+        if low <= own[-1][1]:  # places come in order
+            own[-1][1] = max(own[-1][1], high)
+        else:
+            own.append([low, high])
+    found = []
+    for (text, item), own in sorted(windows.items()):
+        wanted, most = items.decoded[item], items.most[item]
+        edits = min(passage_distance(wanted, joined[text][low:high], most) for low, high in own)
         if edits <= most:
-            best[text, item] = min(edits, best.get((text, item), edits))
-    return [(t, i, e, 1 - e / len(items.decoded[i])) for (t, i), e in sorted(best.items())]
+            found.append((text, item, edits, 1 - edits / len(wanted)))
+    return found
 
 
 def item_blocks(items: DataFrame, id_column: str = "item_id", text_column: str = "text", block: int = BLOCK):
