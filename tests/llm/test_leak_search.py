@@ -79,3 +79,27 @@ def test_blocks_of_items_give_what_one_block_gives(spark, corpus, monkeypatch):
     monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", ("item_id", "text", 3))
     assert {(r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.leaks(documents, benchmark).collect()} == expected
     assert [r["doc_id"] for r in decontaminate.keep_clean(documents, benchmark).collect()] == [50]
+
+
+@pytest.mark.parametrize("share", [0.1, 0.16, 0.2])
+def test_edits_in_the_first_half_only(corpus, share):
+    items, _ = corpus
+    rng = random.Random(share)
+    texts = [f"before it {changed(rng, t, int(share * len(t)), range(len(t) // 2))} and after it" for _, t in items]
+    expected = brute_force(items, texts)
+    assert {(k, i) for k, i, _ in expected} >= {(k, items[k][0]) for k in range(len(items))}
+    assert searched(items, texts) == expected
+
+
+def test_no_head_is_needed(corpus):
+    items, _ = corpus
+    texts = []
+    for _, text in items:  # all words that begin in the first half have another first letter, as far as edits are allowed
+        left, out = int(decontaminate.EDITED * len(text)), list(text)
+        for k in range(len(text) // 2):
+            if left and (k == 0 or text[k - 1] in " \n"):
+                out[k], left = "#", left - 1
+        texts.append(f"before it {''.join(out)} and after it")
+    expected = brute_force(items, texts)
+    assert {(k, i) for k, i, _ in expected} >= {(k, items[k][0]) for k in range(len(items))}
+    assert searched(items, texts) == expected
