@@ -22,6 +22,7 @@ they stand unedited. Repeated items match each under its own id. Repeated rows e
 give no matches and drop no rows. Further columns are kept by `keep_clean`.
 """
 
+import re
 from collections import Counter
 from collections.abc import Callable
 from functools import partial
@@ -59,8 +60,13 @@ def _folding() -> bytes:
 FOLDING = _folding()
 
 
+#: Unicode White_Space beyond ASCII, in UTF-8. The first bytes stand only at the start of a character.
+BLANKS = re.compile("|".join("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000").encode())
+
+
 def canonical(text: bytes) -> bytes:
-    return text.translate(FOLDING)
+    folded = text.translate(FOLDING)
+    return folded if folded.isascii() else BLANKS.sub(b" ", folded)
 
 
 def split(count: int, size: float) -> list[int]:

@@ -103,3 +103,24 @@ def test_no_head_is_needed(corpus):
     expected = brute_force(items, texts)
     assert {(k, i) for k, i, _ in expected} >= {(k, items[k][0]) for k in range(len(items))}
     assert searched(items, texts) == expected
+
+
+def test_scripts_without_spaces(spark):
+    rng = random.Random(12)
+    alphabets = ["的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほ日本語学人", "กขคงจฉชซญดตถทธนบปผพฟภมยรลวศสหอะาิีุเแโ"]
+    draw = lambda k, n: "".join(rng.choice(alphabets[k % 3]) for _ in range(n))
+    items = [(k, draw(k, rng.randrange(30, 200))) for k in range(30)]
+    texts = [draw(k, 400) + t + draw(k, 400) for k, (_, t) in enumerate(items)]
+    texts += [draw(k, 400) + changed(rng, t, int(0.15 * len(t))) + draw(k, 400) for k, (_, t) in enumerate(items)]
+    found = searched(items, texts)
+    assert found == brute_force(items, texts)
+    assert {(k, i) for k, i, _ in found} >= {(k, k % 30) for k in range(60)}
+
+
+def test_unicode_white_space_is_blank(corpus):
+    items, _ = corpus
+    blanks = "\u00a0\u3000\u2003\u2028\u0085\u202f"
+    texts = ["before" + " ".join(["", *t.split(), ""]).replace(" ", blanks[k % len(blanks)]) + "after" for k, (_, t) in enumerate(items)]
+    plain = [(i, " ".join(t.split())) for i, t in items]
+    assert {(k, i) for k, i, e in searched(plain, texts) if e == 0} >= {(k, items[k][0]) for k in range(len(items))}
+    assert searched([(7, "\u00a0\u3000")], ["a \u3000 b"]) == set()
