@@ -18,7 +18,7 @@ The walk reads whole documents, in batches, in one pass and without a shuffle. T
 to the tasks in blocks of `BLOCK` items, one pass each.
 
 Defined cases: NULL and empty texts hold nothing; NULL and empty items are skipped; very short items (under `SHORTEST` bytes) count only where
-they stand unedited. Repeated items match each under its own id. Repeated rows each give their matches. Empty tables
+they stand unedited between word borders; a letter of a script without spaces has a border at either side. Repeated items match each under its own id. Repeated rows each give their matches. Empty tables
 give no matches and drop no rows. Further columns are kept by `keep_clean`.
 """
 
@@ -64,11 +64,21 @@ FOLDING = _folding()
 BLANKS = re.compile("|".join("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000").encode())
 
 
+#: Letters and digits of scripts with spaces: the others are Thai, Lao, Burmese, Khmer, Kana and Han.
+LETTER = "[^\\W\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
+
+
 def canonical(text: bytes) -> bytes:
     folded = text.translate(FOLDING)
     return folded if folded.isascii() else BLANKS.sub(b" ", folded)
 
 
+def between_borders(item: str) -> re.Pattern:
+    """What finds the item where no letter goes on beside it."""
+    before, after = (f"(?<!{LETTER})", f"(?!{LETTER})")
+    return re.compile((before if re.match(LETTER, item[0]) else "") + re.escape(item) + (after if re.match(LETTER, item[-1]) else ""))
+
+
 def split(count: int, size: float) -> list[int]:
     """Bounds of about count / size even shares of so many things."""
     shares = max(1, round(count / size))
@@ -91,12 +101,13 @@ class Items:
         self.ids, self.texts, self.decoded = [], [], []
         for item, text in rows:
             folded = canonical(text).strip(b" ")
-            if len(folded) < SHORTEST:
+            if not folded:
                 continue
             self.ids.append(item)
             self.texts.append(folded)
             self.decoded.append(folded.decode("utf-8", "replace"))
-        self.most = [int(EDITED * len(d)) for d in self.decoded]
+        self.short = [between_borders(d) if len(t) < SHORTEST else None for d, t in zip(self.decoded, self.texts)]
+        self.most = [0 if s else int(EDITED * len(d)) for d, s in zip(self.decoded, self.short)]
         often = [c for c, _ in sorted(Counter("".join(self.decoded)).items(), key=lambda x: (-x[1], x[0]))]
         self.class_of = np.zeros(max(map(ord, often), default=0) + 2, np.uint8)
         for rank, c in enumerate(often):
@@ -281,6 +292,10 @@ def _group_matches(items, texts):
     found = []
     for (text, item), own in sorted(windows.items()):
         wanted, most = items.decoded[item], items.most[item]
+        if items.short[item]:
+            if items.short[item].search(joined[text]):
+                found.append((text, item, 0, 1.0))
+            continue
         edits = min(passage_distance(wanted, joined[text][low:high], most) for low, high in own)
         if edits <= most:
             found.append((text, item, edits, 1 - edits / len(wanted)))

@@ -124,3 +124,12 @@ def test_unicode_white_space_is_blank(corpus):
     plain = [(i, " ".join(t.split())) for i, t in items]
     assert {(k, i) for k, i, e in searched(plain, texts) if e == 0} >= {(k, items[k][0]) for k in range(len(items))}
     assert searched([(7, "\u00a0\u3000")], ["a \u3000 b"]) == set()
+
+
+def test_short_items_match_exactly_between_word_borders(spark):
+    items = [(1, "What is 2+2?"), (2, "Paris"), (3, "a"), (4, "\u4e2d\u6587\u95ee"), (5, "x" * 23), (6, "  "), (7, "C++"), (8, "caf\u00e9 au lait")]
+    texts = ["so WHAT  is 2+2? yes", "so what\nis 2+2?", "in Paris.", "comparison", "parisian", "b\u4e2d\u6587\u95ee\u9898", "x" * 24, f"({'x' * 23})", "in c++, yes", "a", "", "Caf\u00e9\u00a0au lait!", "an abc", "parts"]
+    assert searched(items, texts) == {(1, 1, 0), (2, 2, 0), (5, 4, 0), (7, 5, 0), (8, 7, 0), (9, 3, 0), (11, 8, 0)}
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = decontaminate.keep_clean(documents, spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == {0, 3, 4, 6, 10, 12, 13}
