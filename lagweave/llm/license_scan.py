@@ -3,13 +3,16 @@
 A unit of text is the whole text, each of its paragraphs of several lines, and each of its lines. A unit is brought to a
 canonical form: lower case, copyright lines away, `https` as `http`, letters and digits only with single spaces between, and equivalent
 spellings as one. The digest of the whole canonical unit is looked up among those of known licence texts and notices by a hash join; the
-known ones are a fixed list in this module, so it is small enough to be broadcast whatever the corpus.
+known ones are a fixed list in this module and the complete texts in the folder `licenses`, so it is small enough to be broadcast whatever the corpus.
 
 Defined cases: NULL and empty texts have no match, nor have NULL or empty known texts. A text that is one line is no line besides. A
 unit that occurs several times matches each time. Repeated rows give their matches each; NULL ids are kept. An empty table
 gives no rows. Further columns are ignored.
 """
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import text_of
@@ -64,6 +67,35 @@ _AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPR
 _PERMIT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 _ISC_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 
+#: Titles that licences without one in their text are given.
+TITLES = {
+    "MIT": ["The MIT License", "The MIT License (MIT)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License"],
+    "Zlib": ["zlib License", "The zlib License"],
+    "Unlicense": ["The Unlicense"],
+}
+
+
+def published_forms(name: str, text: str) -> list[str]:
+    """A complete text as it is handed on: in lines as published or a paragraph a line, with clauses numbered or not, up to the end of the
+    terms or with what follows, and with a title and a reservation of rights where these are usual."""
+    ends = [m.end() for m in re.finditer(r"END OF TERMS AND CONDITIONS", text)]
+    out = [text, *[text[:end] for end in ends]]
+    out += [re.sub(r"(?m)^[ \t]*\d\.[ \t]+", "", t) for t in out] if name.startswith(("BSD", "Zlib")) else []
+    out += ["\n\n".join(" ".join(p.split()) for p in re.split(r"\n[ \t\f]*\n", t)) for t in out]
+    out += [f"All rights reserved.\n\n{t}" for t in out] if name.startswith("BSD") else []
+    return [*out, *[f"{title}\n\n{t}" for title in TITLES.get(name, []) for t in out]]
+
+
+#: Complete texts: the name up to a first `.txt`, `.spdx.txt` (as SPDX words it) or `.regents.txt` is the licence.
+COMPLETE = [
+    (name, form)
+    for path in sorted(Path(__file__).with_name("licenses").glob("*.txt"))
+    for name in [re.sub(r"(\.spdx|\.regents)?\.txt$", "", path.name)]
+    for form in published_forms(name, path.read_text(encoding="utf-8"))
+]
+
 #: Licence texts and notices as published: (licence, text).
 KNOWN = [
     ("MIT", "MIT License\n\n" + _GRANT + _AS_IS),
@@ -95,6 +127,12 @@ KNOWN = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
     ("Unlicense", "SPDX-License-Identifier: Unlicense"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    *[(name, f"SPDX-License-Identifier: {name}{which}") for name in ("LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for which in ("-only", "-or-later")],
+    *[(name, f"SPDX-License-Identifier: {name}") for name in ("Zlib", "MPL-1.1", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")],
+    *[("MIT", form) for form in published_forms("MIT", _GRANT + _AS_IS)],
+    *COMPLETE,
 ]
 
 COPYRIGHT = "(?:^|\\n)[ \\t]*(?:copyright|\\(c\\)|©)[^\\n]*"
