@@ -11,7 +11,7 @@ grades the model is fitted again.
 
 Learning uses a bounded sample: at most `sample` labelled rows by hash of their id, a quarter of them toxic at most; their
 distinct words come to the driver. Every fifth row is kept out of the fit and sets the cut from which a text counts as
-toxic: the probability that gives the best F there, precision counting double.
+toxic: the probability that gives the best F there, precision and recall counting alike.
 Scoring reads whole texts, in one pass and without a shuffle.
 
 Defined cases: NULL and empty texts have no features and get the score of that. Labels that are NULL, or whose id is NULL or not in
@@ -108,11 +108,11 @@ def fit_documents(documents: list[list[str]], toxic: np.ndarray) -> Model:
 
 
 def best_cut(probability: np.ndarray, toxic: np.ndarray) -> float:
-    """The cut with the best F of precision and recall, precision counting double; the middle of the gap below the lowest
+    """The cut with the best F of precision and recall, both counting alike; the middle of the gap below the lowest
     probability it takes, within 0.1 and 0.5, as few rows can say."""
     order = np.argsort(-probability, kind="stable")
     hits = np.cumsum(toxic[order])
-    f = 1.25 * hits / (np.arange(1, len(order) + 1) + 0.25 * max(1, toxic.sum()))
+    f = 2 * hits / (np.arange(1, len(order) + 1) + max(1, toxic.sum()))
     p = probability[order]
     f[:-1][p[:-1] == p[1:]] = 0  # equal ones fall on the same side
     at = int(f.argmax())
