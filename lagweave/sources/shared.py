@@ -1,5 +1,6 @@
 """Where intermediate tables go."""
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """A folder that the driver and all executors share.
 
-    The one the session names in `spark.checkpoint.dir`; where none is set, as in a local test, one below the warehouse.
+    The one the session names in `spark.checkpoint.dir`; where none is set in a local session, one below the warehouse. A cluster
+    has to name one, as the warehouse may be a folder that only the driver sees.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lagweave-scratch"
     return folder.rstrip("/")
 
@@ -25,3 +29,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table below the shared folder that nothing will read again."""
+    if not path.startswith(shared_folder(spark) + "/"):
+        raise ValueError(f"not below the shared folder: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
