@@ -3,12 +3,14 @@
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
 from ..sources.events import read_table
-from . import bpe, chat, decontaminate, exact_dedup, license_scan, quality, sharding, simhash, token_files, toxicity
+from . import (
+    bpe, centroids, chat, decontaminate, exact_dedup, fill_middle, license_scan, quality, sharding, simhash, token_files, toxicity, url_filter,
+)
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,6 +81,26 @@ def op10_benchmark_decontamination(spark, folder):
     return decontaminate.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+@query
+def op11_url_filter(spark, folder):
+    """Rule or reputation of every page's url; a page is bad if the label under its id says poor or toxic, as pages have no labels of their own."""
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    pages, labels = read_table(spark, folder, "pages"), read_table(spark, folder, "labels")
+    return url_filter.judge(pages, labels, url_filter.RULES, outcome_id="doc_id", bad=bad)
+
+
+@query
+def op12_fill_in_middle(spark, folder):
+    """Every document in fill-in-middle form, and what is restored from the output, as digests."""
+    return fill_middle.transform_and_restore(read_table(spark, folder, "documents"))
+
+
+@query
+def op13_centroid_clustering(spark, folder):
+    """Eight clusters of all embeddings after ten exact rounds."""
+    return centroids.cluster_report(read_table(spark, folder, "embeddings"))
+
+
 @query
 def pipeline(spark, folder):
     """The stages of corpus_pipeline.py over all documents."""
@@ -86,6 +108,9 @@ def pipeline(spark, folder):
 
 
 SQL["op5_license_scan"] = license_scan.ORACLE_SQL
+SQL["op11_url_filter"] = url_filter.ORACLE_SQL
+SQL["op12_fill_in_middle"] = fill_middle.ORACLE_SQL
+SQL["op13_centroid_clustering"] = centroids.oracle_sql()
 SQL["op4_exact_dedup"] = r"""
 WITH rows AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
