@@ -1,18 +1,17 @@
-"""Benchmark passages in documents, also edited ones: partition of the item into pieces, bit-parallel filters, exact edit distance.
+"""Benchmark passages in documents, also edited ones: CGK walks, bit-sampling LSH, exact edit distance.
 
 Texts are compared in lower case with white space (ASCII and Unicode) as spaces, character by character. An item of m characters matches
-a document if the smallest edit distance between the whole item and any passage of it is at most `EDITED` of m, that is k = int(EDITED * m).
-The search loses none of these (target recall 1.0, by construction and not by sampling): the item is cut into k + 1 pieces, and k edits
-leave at least one of them as it is, at any place of the item and in any script; no word border or head is needed. The same
-counting holds for every group of u pieces side by side: of the groups of a partition, at least one holds at most u - 1 edits. So a document's
-places go through conditions that every match fulfils, each much rarer than the one before (Navarro and Baeza-Yates' hierarchical
-verification):
-
-1. a piece occurs (hash table of the pieces; all places of the document are looked up);
-2. of the two-letter combinations left and right of it in its part (`PART` pieces), all but two per edit are near: masks of 64 bits;
-3. the part is near with at most u - 1 edits, by bit-parallel dynamic programming over many candidates at a time;
-4. so is its node (about `NODE` parts, at most 64 characters);
-5. the whole item is near: the exact test.
+a document if the smallest edit distance between the whole item and any passage of it is at most k = int(EDITED * m).
+
+1. Windows of an item's size start where document and item have characters in common: passages within k edits share `m - q + 1 - k q` of the
+   item's runs of q characters at least (q-gram lemma), at places that differ from the item's by one number give or take k. Where
+   a document has as many, a window is placed by the first of them. This loses none, needs no head or border, and works in every script.
+2. A CGK walk embeds window and item alike: at each step it gives out the character it stands on, and a random bit of step and
+   character says whether it goes on. Few edits of the text change few characters of the embedding, as the walks fall into step again after an edit.
+3. A table has a fresh walk and `SAMPLED` steps of it; a window is a candidate if it agrees with the item in all sampled characters of one
+   table. The number of tables follows from `EDITED` and the target recall `RECALL`: as many as it takes for that share of copies of the
+   items, changed by random edits up to the accepted share.
+4. Candidates pass the exact test, by bit-parallel dynamic programming over the place of the window.
 
 The walk reads whole documents, in batches, in one pass and without a shuffle. The items are a stated query set: they go
 to the tasks in blocks of `BLOCK` items, one pass each.
@@ -35,18 +34,22 @@ from ..sources.shared import stored
 from .common import groups_of, map_batches, ship, text_of, utf8
 
 SHORTEST = 24
-EDITED = 0.2
-PART = 3  # pieces
-NODE = 4  # parts
-WORD = 64  # characters of a node at most
-LOOKED_UP = 5  # characters of a piece at most
-SIDE = 16  # pairs of a window left or right of a piece at most
+EDITED = 0.1  # accepted share of edits
+RECALL = 0.97  # of passages with as many random edits
+SAMPLED = 6  # steps of a table
+TABLES = 512  # at most
+ROUNDS = 4  # of tables tried one after the other
+REACH = 1.8  # steps of a walk for a character of the item
+RUNS = (8, 6, 4)  # q
+COMMON = 4  # runs that a window has to share, if the lemma asks for as many; else q is smaller
+PERIOD = 512  # steps with bits of their own
+COPIES = 256  # changed items that say how many tables it takes
+SEED = 20240229
 CLASSES = 255  # of characters; rarer ones share a class, which makes candidates, never losses
 BLOCK = 1000
-GROUP = 1 << 22  # bytes of text searched at a time
+GROUP = 1 << 20  # bytes of text searched at a time
 PLACES = 1 << 17  # places looked up at a time
-TRIED = 1 << 13  # candidates in one run of dynamic programming
-MARGIN = 256  # characters around a text that windows may reach
+WALKS = 1 << 17  # at a time
 MIXER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,12 +82,6 @@ def between_borders(item: str) -> re.Pattern:
     return re.compile((before if re.match(LETTER, item[0]) else "") + re.escape(item) + (after if re.match(LETTER, item[-1]) else ""))
 
 
-def split(count: int, size: float) -> list[int]:
-    """Bounds of about count / size even shares of so many things."""
-    shares = max(1, round(count / size))
-    return [count * i // shares for i in range(shares + 1)]
-
-
 def grams(data: np.ndarray, length: int, bits: int) -> np.ndarray:
     """A hash of so many bits of the `length` classes at each place."""
     wide = data.astype(np.uint64)
@@ -94,8 +91,37 @@ def grams(data: np.ndarray, length: int, bits: int) -> np.ndarray:
     return ((code + np.uint64(1)) * MIXER >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def walk(data: np.ndarray, at: np.ndarray, steps: np.ndarray, bits: tuple[np.ndarray, np.ndarray], wanted: np.ndarray | None = None) -> np.ndarray:
+    """What CGK walks from `at` stand on at their sampled `steps` (ascending in each row); with `wanted`, whether they stand on just
+    that, where a walk ends at the first difference. `bits` has the two factors of each (step, walk's table) that make its random bits."""
+    factor, term, table = bits
+    count = steps.shape[1]
+    out = np.zeros(steps.shape, np.uint8)
+    live, place, taken = np.arange(len(at)), at.copy(), np.zeros(len(at), np.int64)
+    due, step = steps[:, 0].copy(), 0
+    own_table = table.copy()
+    while len(live):
+        here = data[place]
+        hit = np.flatnonzero(due == step)
+        if len(hit):
+            who, number = live[hit], taken[live[hit]]
+            out[who, number] = here[hit]
+            taken[who] = number + 1
+            more = number + 1 < count
+            if wanted is not None:
+                more &= here[hit] == wanted[who, number]
+            due[hit] = np.where(more, steps[who, np.minimum(number + 1, count - 1)], -1)
+            going = due >= 0
+            if np.count_nonzero(going) * 4 < 3 * len(going):
+                live, place, due, own_table, here = live[going], place[going], due[going], own_table[going], here[going]
+        turn = step % PERIOD
+        place += ((here * factor[turn][own_table] + term[turn][own_table]) >> np.uint64(63)).astype(np.int64)
+        step += 1
+    return out if wanted is None else (taken == count) & (out == wanted).all(axis=1)
+
+
 class Items:
-    """A block of items: the pieces by hash, with what is known of their parts and nodes."""
+    """A block of items: their runs of characters by hash, and what their walks give out at the sampled steps."""
 
     def __init__(self, rows: list[tuple[int, bytes]]):
         self.ids, self.texts, self.decoded = [], [], []
@@ -107,14 +133,21 @@ class Items:
             self.texts.append(folded)
             self.decoded.append(folded.decode("utf-8", "replace"))
         self.short = [between_borders(d) if len(t) < SHORTEST else None for d, t in zip(self.decoded, self.texts)]
-        self.most = [0 if s else int(EDITED * len(d)) for d, s in zip(self.decoded, self.short)]
+        self.size = np.array([len(d) for d in self.decoded], np.int64)
+        self.most = np.array([0 if s else int(EDITED * len(d)) for d, s in zip(self.decoded, self.short)], np.int64)
         often = [c for c, _ in sorted(Counter("".join(self.decoded)).items(), key=lambda x: (-x[1], x[0]))]
         self.class_of = np.zeros(max(map(ord, often), default=0) + 2, np.uint8)
         for rank, c in enumerate(often):
             self.class_of[ord(c)] = 1 + rank % CLASSES
         coded = [self.classes(d) for d in self.decoded]
-        self._pair_bits(coded)
-        self._cut(coded)
+        self.margin = int(self.size.max(initial=0) * 2) + 64
+        self._runs(coded)
+        random = np.random.default_rng(SEED)
+        self.factor, self.term = (random.integers(0, 1 << 64, (PERIOD, TABLES), np.uint64) for _ in range(2))
+        self.share = np.sort(random.random((TABLES, SAMPLED)), axis=1)
+        self.tables = TABLES
+        self._keys(coded)
+        self._enough_tables(random)
 
     def classes(self, text: str) -> np.ndarray:
         """The class of every character; 0 where no item has it."""
@@ -124,127 +157,130 @@ class Items:
             out.append(self.class_of[np.minimum(points, len(self.class_of) - 1)])
         return np.concatenate(out)
 
-    def _pair_bits(self, coded: list[np.ndarray]) -> None:
-        """A bit for every two-letter combination of the items, so that frequent ones have different bits."""
-        self.pair_bits = np.zeros(1 << 16, np.uint64)
-        seen = np.zeros(1 << 16, np.int64)
-        for c in coded:
-            seen += np.bincount(pairs(c), minlength=1 << 16)
-        order = np.argsort(-seen, kind="stable")[: np.count_nonzero(seen)]
-        self.pair_bits[order] = np.uint64(1) << (np.arange(len(order)) % 64).astype(np.uint64)
-
-    def _cut(self, coded: list[np.ndarray]) -> None:
-        width = int(self.class_of.max()) + 1
-        pieces, nodes = [], []
+    def _runs(self, coded: list[np.ndarray]) -> None:
+        """The runs of the items by length and hash, and how many of them a window has to share."""
+        lengths, own, place = [], [], []
+        self.need = np.ones(len(coded), np.int64)
         for number, codes in enumerate(coded):
-            size, count = len(codes), self.most[number] + 1
-            at = [size * i // count for i in range(count + 1)]
-            parts = split(count, PART)
-            shares = -(-(len(parts) - 1) // NODE)
-            while True:  # nodes have at most `WORD` characters
-                bounds = [parts[(len(parts) - 1) * i // shares] for i in range(shares + 1)]
-                if all(at[b] - at[a] <= WORD for a, b in zip(bounds, bounds[1:])):
-                    break
-                shares += 1
-            for a, b in zip(bounds, bounds[1:]):
-                place = np.zeros(width, np.uint64)
-                for j, c in enumerate(codes[at[a] : at[b]].tolist()):
-                    place[c] |= np.uint64(1 << j)
-                nodes.append((place, number, at[a], at[b] - at[a], b - a - 1))
-            for first, last in zip(parts, parts[1:]):
-                node = len(nodes) - shares + int(np.searchsorted(bounds, first, "right")) - 1
-                edits = last - first - 1
-                for i in range(first, last):
-                    length = min(at[i + 1] - at[i], LOOKED_UP)
-                    left, right = min(at[i] - at[first], SIDE - edits), min(at[last] - at[i] - length, SIDE - edits)
-                    ends = codes[at[i] - left : at[i] + 1], codes[at[i] + length - 1 : at[i] + length + right]
-                    masks = [int(np.bitwise_or.reduce(self.pair_bits[pairs(c)], initial=np.uint64(0))) for c in ends]
-                    pieces.append((length, codes[at[i] : at[i] + length], node, at[i], at[first], at[last] - at[first], edits, left, right, *masks))
-        self.places = np.array([n[0] for n in nodes], np.uint64).reshape(-1, width)
-        self.node_item, self.node_at, self.node_size, self.node_edits = (np.array([n[j] for n in nodes], np.int64) for j in range(1, 5))
-        self.bits = max(12, len(pieces).bit_length() + 4)
-        pieces = [(*p[:1], int(grams(p[1], p[0], self.bits)[0]), *p[2:]) for p in pieces]
-        pieces.sort(key=lambda p: p[:2])
-        column = lambda j: np.array([p[j] for p in pieces], np.int64)
-        lengths, hashes, self.node, self.at, self.part_at, self.part_size, self.part_edits, left, right = (column(j) for j in range(9))
-        self.before = self.at - self.part_at + self.part_edits  # from the start of a part's window to the piece
-        # Left and right of the piece: what its pairs' bits are, where the window begins, and how far it goes beyond the first pairs.
-        self.sides = [
-            (np.array([p[9 + k] for p in pieces], np.uint64), begin, np.maximum(reach + self.part_edits - SIDE // 2, 0))
-            for k, (begin, reach) in enumerate([(-left - self.part_edits, left), (lengths - 1, right)])
-        ]
-        # By length: where the pieces of a hash begin.
+            if self.short[number]:
+                continue
+            least = {q: len(codes) - q + 1 - int(self.most[number]) * q for q in RUNS}
+            q = next((q for q in RUNS if least[q] >= COMMON), RUNS[-1])
+            self.need[number] = max(least[q], 1)
+            count = len(codes) - q + 1
+            lengths += [q] * count
+            own += [number] * count
+            place += range(count)
+        lengths, own, place = (np.array(x, np.int64) for x in (lengths, own, place))
+        self.bits = max(12, len(own).bit_length() + 3)
         self.lookup = {}
-        for length in np.unique(lengths).tolist():
-            own = np.flatnonzero(lengths == length)
-            self.lookup[length] = (own[0] + np.searchsorted(hashes[own], np.arange((1 << self.bits) + 1))).astype(np.int32)
+        for q in np.unique(lengths).tolist():
+            here = np.flatnonzero(lengths == q)
+            hashed = np.concatenate([grams(coded[i], q, self.bits) for i in np.unique(own[here])])
+            order = np.argsort(hashed, kind="stable")
+            begins = np.searchsorted(hashed[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+            self.lookup[q] = begins, own[here][order], place[here][order]
+
+    def _walks(self, item: np.ndarray, tables: np.ndarray):
+        """Sampled steps and bits of the walks of every item in every one of the tables."""
+        length = np.maximum((REACH * self.size[item]).astype(np.int64), SAMPLED)
+        each = np.tile(tables, len(item))
+        steps = (self.share[each] * np.repeat(length - SAMPLED + 1, len(tables))[:, None]).astype(np.int64) + np.arange(SAMPLED)
+        return steps, (self.factor, self.term, each)
+
+    def _keys(self, coded: list[np.ndarray]) -> None:
+        edge = np.zeros(self.margin, np.uint8)
+        self.keys = np.zeros((len(coded), self.tables, SAMPLED), np.uint8)
+        for own in self._parts(np.arange(len(coded))):
+            data = np.concatenate([x for i in own for x in (coded[i], edge)])
+            first = np.cumsum([0, *[len(coded[i]) + len(edge) for i in own]])[:-1]
+            steps, bits = self._walks(own, np.arange(self.tables))
+            self.keys[own] = walk(data, np.repeat(first, self.tables), steps, bits).reshape(len(own), self.tables, SAMPLED)
+
+    def _parts(self, numbers: np.ndarray, tables: int | None = None):
+        size = max(1, WALKS // (tables or self.tables))
+        return [numbers[k : k + size] for k in range(0, len(numbers), size)]
+
+    def agreements(self, data: np.ndarray, begin: np.ndarray, item: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """(window, table): whether a window agrees with its item in all sampled steps of a table."""
+        out = [np.empty((0, len(tables)), bool)]
+        for own in self._parts(np.arange(len(begin)), len(tables)):
+            steps, bits = self._walks(item[own], tables)
+            wanted = self.keys[item[own]][:, tables].reshape(-1, SAMPLED)
+            out.append(walk(data, np.repeat(begin[own], len(tables)), steps, bits, wanted).reshape(len(own), len(tables)))
+        return np.concatenate(out)
 
-    def candidates(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Distinct (text, place, item) rows: where an item would begin that has a node nearby. `data` holds the classes of texts that
-        begin at `first`, with a margin at both ends."""
-        out = [np.empty((0, 3), np.int64)]
-        for low in range(MARGIN, len(data) - MARGIN, PLACES):
-            high = min(low + PLACES, len(data) - MARGIN)
-            piece, at = self._hits(data[low - MARGIN // 2 : high + MARGIN // 2], MARGIN // 2, high - low)
-            at += low - MARGIN // 2
-            node, edits = self.node[piece], self.part_edits[piece]
-            good = self._near(data, node, self.part_at[piece] - self.node_at[node], self.part_size[piece], edits, at - self.before[piece])
-            piece, at, node = piece[good], at[good], node[good]
-            text = np.searchsorted(first, at, "right") - 1
-            text, begin, node = np.unique(np.column_stack([text, at - (self.at[piece] - self.node_at[node]), node]), axis=0).T
-            edits = self.node_edits[node]
-            good = self._near(data, node, np.zeros(len(node), np.int64), self.node_size[node], edits, begin - edits)
-            out.append(np.column_stack([text, begin - self.node_at[node], self.node_item[node]])[good])
+    def _enough_tables(self, random) -> None:
+        """Keeps as many tables as find the target share of changed copies of the items."""
+        long = np.flatnonzero([not s for s in self.short])
+        if not len(long):
+            return
+        chosen = np.resize(long, COPIES) if len(long) < COPIES else long[:: len(long) // COPIES]
+        copies = [changed(random, self.decoded[i], int(self.most[i])) for i in chosen]
+        edge = "\n" * self.margin
+        data = self.classes(edge + "".join(c + edge for c in copies))
+        begin = np.cumsum([len(edge), *[len(c) + len(edge) for c in copies]])[:-1]
+        found = np.logical_or.accumulate(self.agreements(data, begin, chosen, np.arange(self.tables)), axis=1).mean(axis=0)
+        self.tables = min(int(np.searchsorted(found, RECALL)) + 1, TABLES)
+        self.keys = self.keys[:, : self.tables]
+        self.factor, self.term = self.factor[:, : self.tables], self.term[:, : self.tables]
+
+    def windows(self, data: np.ndarray) -> np.ndarray:
+        """Distinct (place of a common run, begin, item) rows of windows that share enough runs with an item."""
+        reach, out = self.margin, [np.empty((0, 3), np.int64)]
+        for q, (begins, own, place) in self.lookup.items():
+            kept = np.empty((0, 3), np.int64)
+            for low in range(0, len(data) - q + 1, PLACES):
+                hashed = grams(data[low : low + PLACES + q - 1], q, self.bits)
+                first = begins[hashed]
+                number = begins[hashed + 1] - first
+                here = np.flatnonzero(number)
+                number = number[here]
+                run = np.arange(number.sum()) + np.repeat(first[here] - np.cumsum(number) + number, number)
+                new = np.column_stack([np.repeat(here + low, number), place[run], own[run]])
+                hits = np.concatenate([kept, new])
+                out.append(self._dense(hits))
+                kept = hits[hits[:, 0] >= low + PLACES - reach]
         return np.unique(np.concatenate(out), axis=0)
 
-    def _hits(self, near: np.ndarray, skip: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """(piece, place) of the pieces that occur, where the pairs of their part do as well."""
-        window = self.pair_bits[pairs(near)]
-        for reach in (1, 2, 4):
-            window = window[:-reach] | window[reach:]  # of SIDE // 2 pairs in the end
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        for length, begins in self.lookup.items():
-            hashed = grams(near[skip : skip + count + length - 1], length, self.bits)
-            low = begins[hashed]
-            number = begins[hashed + 1] - low
-            here = np.flatnonzero(number)
-            number = number[here]
-            at = np.repeat(here + skip, number)
-            piece = np.arange(len(at)) + np.repeat(low[here] - np.cumsum(number) + number, number)
-            missing = np.zeros(len(at), np.uint8)
-            for mask, begin, beyond in self.sides:
-                start = at + begin[piece]
-                missing += np.bitwise_count(mask[piece] & ~(window[start] | window[start + beyond[piece]]))
-            good = missing <= 2 * self.part_edits[piece]
-            found.append((piece[good], at[good]))
-        piece, at = (np.concatenate(x) for x in zip(*found))
-        return piece, at
-
-    def _near(self, data, node, offset, size, edits, start) -> np.ndarray:
-        """Whether the `size` characters of the node from the offset on are within so many edits of some part of the window at `start`."""
-        good = np.zeros(len(node), bool)
-        flat, width, one = self.places.ravel(), self.places.shape[1], np.uint64(1)
-        order = np.argsort(size + 2 * edits, kind="stable")
-        for k in range(0, len(order), TRIED):
-            own = order[k : k + TRIED]
-            row, shift, at, top = node[own] * width, offset[own].astype(np.uint64), start[own], (size[own] - 1).astype(np.uint64)
-            up, down = np.full(len(own), ~np.uint64(0)), np.zeros(len(own), np.uint64)
-            score = size[own].copy()
-            best = score.copy()
-            for j in range(int((size[own] + 2 * edits[own]).max())):  # Myers' columns; bits above the top do not reach down
-                match = flat[row + data[at + j]] >> shift
-                diagonal = (((match & up) + up) ^ up) | match | down
-                right, left = down | ~(diagonal | up), up & diagonal
-                score += (right >> top & one).view(np.int64) - (left >> top & one).view(np.int64)
-                right, left = right << one, left << one
-                up, down = left | ~(diagonal | right), right & diagonal
-                np.minimum(best, score, out=best)
-            good[own] = best <= edits[own]
-        return good
-
-
-def pairs(data: np.ndarray) -> np.ndarray:
-    return data[:-1].astype(np.int64) << 8 | data[1:]
+    def _dense(self, hits: np.ndarray) -> np.ndarray:
+        if not len(hits):
+            return hits
+        at, place, item = hits.T
+        begin = at - place + self.margin
+        key = item << 40 | begin // (self.most[item] + 1)  # all runs of a passage lie in two neighbouring spans
+        order = np.lexsort((place, key))
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(first, len(key)))
+        key, leading = key[first], order[first]
+        beside = np.append(key[1:] == key[:-1] + 1, False)
+        follower = np.append(leading[1:], 0)
+        enough = count + np.where(beside, np.append(count[1:], 0), 0) >= self.need[item[leading]]
+        leading = np.where(beside & (place[follower] < place[leading]), follower, leading)[enough]
+        return np.column_stack([at[leading], begin[leading] - self.margin, item[leading]])
+
+    def candidates(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Distinct (text, begin, item) rows of windows that agree with an item in some table. `data` holds the classes of texts that begin
+        at `first`, with a margin at both ends."""
+        at, begin, item = self.windows(data).T
+        text = np.searchsorted(first, at, "right") - 1
+        text, begin, item = np.unique(np.column_stack([text, begin, item]), axis=0).T
+        found = np.zeros(len(begin), bool)
+        for tables in np.array_split(np.arange(self.tables), ROUNDS):
+            left = np.flatnonzero(~found & (begin >= 0))
+            if len(tables) and len(left):
+                found[left] = self.agreements(data, begin[left], item[left], tables).any(axis=1)
+        return np.column_stack([text, begin, item])[found]
+
+
+def changed(random: np.random.Generator, text: str, edits: int) -> str:
+    """The text with so many random insertions, deletions and replacements at different places."""
+    out = list(text)
+    for at in random.choice(len(out), edits, replace=False):
+        letter = text[random.integers(len(text))]
+        out[at] = ("", letter, out[at] + letter)[random.integers(3)]
+    return "".join(out)
 
 
 def passage_distance(item: str, text: str, most: int) -> int:
@@ -277,28 +313,46 @@ def _group_matches(items, texts):
     if not items.ids:
         return []
     joined = [canonical(t).decode("utf-8", "replace") for t in texts]
-    first = np.cumsum([MARGIN, *[len(t) + 1 for t in joined]])
-    edge = np.zeros(MARGIN, np.uint8)
+    first = np.cumsum([items.margin, *[len(t) + 1 for t in joined]])
+    edge = np.zeros(items.margin, np.uint8)
     data = np.concatenate([edge, items.classes("\n".join(joined)), edge])  # no item has a line break
     windows: dict[tuple[int, int], list[list[int]]] = {}
     for text, place, item in items.candidates(data, first).tolist():
-        begin, slack = place - int(first[text]), items.most[item]
+        begin, slack = place - int(first[text]), 2 * int(items.most[item])
         low, high = max(0, begin - slack), max(0, begin + len(items.decoded[item]) + slack)
         own = windows.setdefault((text, item), [[low, high]])
         if low <= own[-1][1]:  # places come in order
             own[-1][1] = max(own[-1][1], high)
         else:
             own.append([low, high])
-    found = []
-    for (text, item), own in sorted(windows.items()):
-        wanted, most = items.decoded[item], items.most[item]
-        if items.short[item]:
-            if items.short[item].search(joined[text]):
-                found.append((text, item, 0, 1.0))
-            continue
+    found = _short_matches(items, joined)
+    for (text, item), own in windows.items():
+        wanted, most = items.decoded[item], int(items.most[item])
         edits = min(passage_distance(wanted, joined[text][low:high], most) for low, high in own)
         if edits <= most:
             found.append((text, item, edits, 1 - edits / len(wanted)))
+    return sorted(found)
+
+
+def _short_matches(items, texts):
+    """Short items, unedited and between borders: one automaton finds them all."""
+    import ahocorasick
+
+    short = {}
+    for number, border in enumerate(items.short):
+        if border:
+            short.setdefault(items.decoded[number], []).append(number)
+    if not short:
+        return []
+    finder = ahocorasick.Automaton()
+    for word in short:
+        finder.add_word(word, word)
+    finder.make_automaton()
+    found = []
+    for k, text in enumerate(texts):
+        for word in {w for _, w in finder.iter(text)}:
+            if items.short[short[word][0]].search(text):
+                found += [(k, number, 0, 1.0) for number in short[word]]
     return found
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from lagweave.llm import decontaminate
@@ -44,34 +45,70 @@ def changed(rng, text, count, places=None):
     return "".join(out)
 
 
-@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
-def test_recall_equals_brute_force_up_to_the_accepted_share(corpus, share):
-    items, docs = corpus
-    rng = random.Random(share)
+def planted(items, docs, rng, share):
     texts = []
     for k, (_, text) in enumerate(items):
         base = docs[k % len(docs)][:300]
         texts.append(f"{base} {changed(rng, text, int(share * len(text)))} {base[::-1]}")
-    expected = brute_force(items, texts)
-    assert len(expected) >= len(items)
-    assert searched(items, texts) == expected
+    return texts
+
+
+@pytest.mark.parametrize("share", [0.0, 0.02, 0.05, 0.1])
+def test_recall_and_precision_against_brute_force_up_to_the_accepted_share(corpus, share):
+    items, docs = corpus
+    rng = random.Random(share)
+    expected, found = set(), set()
+    for turn in range(5):
+        texts = planted(items, docs, rng, share)
+        expected |= {(turn, *x) for x in brute_force(items, texts)}
+        found |= {(turn, *x) for x in searched(items, texts)}
+    assert len(expected) >= 5 * len(items)
+    assert found <= expected  # the exact test decides
+    assert len(found) >= (0.95 if share == decontaminate.EDITED else 0.99) * len(expected)
+
+
+def test_edits_beyond_the_accepted_share_are_no_match(corpus):
+    items, docs = corpus
+    texts = planted(items, docs, random.Random(3), 0.4)
+    assert searched(items, texts) == brute_force(items, texts) == set()
 
 
-def test_no_edit_pattern_defeats_the_search(corpus):
+def test_even_edits_that_leave_no_long_run(corpus):
     items, _ = corpus
+    every = round(1 / decontaminate.EDITED)
     texts = []
-    for _, text in items:  # every fifth character another one, which leaves no longer run than four
-        own = "".join("#" if k % 5 == 4 else c for k, c in enumerate(text))
+    for _, text in items:  # every tenth character another one
+        own = "".join("#" if k % every == every - 1 else c for k, c in enumerate(text))
         texts.append(f"before it {own} and after it")
     expected = brute_force(items, texts)
-    assert len(expected) >= len(items)
-    assert searched(items, texts) == expected
+    found = searched(items, texts)
+    assert len(expected) >= len(items) and found <= expected and len(found) >= 0.95 * len(expected)
+
+
+def test_windows_lose_no_passage_within_the_share(corpus):
+    items, docs = corpus
+    rng = random.Random(8)
+    block = decontaminate.Items([(i, t.encode()) for i, t in items])
+    for text, (item, _) in zip(planted(items, docs, rng, decontaminate.EDITED), items):
+        folded = decontaminate.canonical(text.encode()).decode()
+        edge = "\n" * block.margin
+        windows = block.windows(block.classes(edge + folded + edge))
+        assert item in {block.ids[i] for _, _, i in windows.tolist()}
+
+
+def test_a_walk_goes_on_by_random_bits_and_gives_out_characters():
+    data = np.array([5, 6, 7, 8, 0, 0, 0, 0, 0, 0], np.uint8)
+    factor, term = np.zeros((decontaminate.PERIOD, 2), np.uint64), np.zeros((decontaminate.PERIOD, 2), np.uint64)
+    term[::2, 0] = term[:, 1] = np.uint64(1 << 63)  # table 0 goes on at even steps, table 1 at every one
+    steps = np.array([[0, 1, 2, 3, 4, 5]] * 2)
+    got = decontaminate.walk(data, np.zeros(2, np.int64), steps, (factor, term, np.array([0, 1])))
+    assert got.tolist() == [[5, 6, 6, 7, 7, 8], [5, 6, 7, 8, 0, 0]]
 
 
 def test_blocks_of_items_give_what_one_block_gives(spark, corpus, monkeypatch):
     items, docs = corpus
     rng = random.Random(4)
-    rows = [(k, f"{docs[k][:200]} {changed(rng, t, len(t) // 6)} {docs[k][-200:]}") for k, (_, t) in enumerate(items[:7])] + [(50, "nothing of it")]
+    rows = [(k, f"{docs[k][:200]} {changed(rng, t, len(t) // 12)} {docs[k][-200:]}") for k, (_, t) in enumerate(items[:7])] + [(50, "nothing of it")]
     documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     benchmark = spark.createDataFrame(items[:7], "item_id long, text string")
     expected = {(rows[k][0], i, e) for k, i, e in brute_force(items[:7], [t for _, t in rows])}
@@ -81,14 +118,15 @@ def test_blocks_of_items_give_what_one_block_gives(spark, corpus, monkeypatch):
     assert [r["doc_id"] for r in decontaminate.keep_clean(documents, benchmark).collect()] == [50]
 
 
-@pytest.mark.parametrize("share", [0.1, 0.16, 0.2])
+@pytest.mark.parametrize("share", [0.05, 0.08, 0.1])
 def test_edits_in_the_first_half_only(corpus, share):
     items, _ = corpus
     rng = random.Random(share)
     texts = [f"before it {changed(rng, t, int(share * len(t)), range(len(t) // 2))} and after it" for _, t in items]
     expected = brute_force(items, texts)
     assert {(k, i) for k, i, _ in expected} >= {(k, items[k][0]) for k in range(len(items))}
-    assert searched(items, texts) == expected
+    found = searched(items, texts)
+    assert found <= expected and len(found) >= 0.9 * len(expected)
 
 
 def test_no_head_is_needed(corpus):
@@ -102,7 +140,8 @@ def test_no_head_is_needed(corpus):
         texts.append(f"before it {''.join(out)} and after it")
     expected = brute_force(items, texts)
     assert {(k, i) for k, i, _ in expected} >= {(k, items[k][0]) for k in range(len(items))}
-    assert searched(items, texts) == expected
+    found = searched(items, texts)
+    assert found <= expected and len(found) >= 0.9 * len(expected)
 
 
 def test_scripts_without_spaces(spark):
@@ -111,10 +150,12 @@ def test_scripts_without_spaces(spark):
     draw = lambda k, n: "".join(rng.choice(alphabets[k % 3]) for _ in range(n))
     items = [(k, draw(k, rng.randrange(30, 200))) for k in range(30)]
     texts = [draw(k, 400) + t + draw(k, 400) for k, (_, t) in enumerate(items)]
-    texts += [draw(k, 400) + changed(rng, t, int(0.15 * len(t))) + draw(k, 400) for k, (_, t) in enumerate(items)]
+    texts += [draw(k, 400) + changed(rng, t, int(decontaminate.EDITED * len(t))) + draw(k, 400) for k, (_, t) in enumerate(items)]
     found = searched(items, texts)
-    assert found == brute_force(items, texts)
-    assert {(k, i) for k, i, _ in found} >= {(k, k % 30) for k in range(60)}
+    expected = brute_force(items, texts)
+    assert {(k, i) for k, i, _ in expected} >= {(k, k % 30) for k in range(60)}
+    assert found <= expected and len(found) >= 0.95 * len(expected)
+    assert {(k, i) for k, i, _ in found} >= {(k, k) for k in range(30)}
 
 
 def test_unicode_white_space_is_blank(corpus):

@@ -29,7 +29,8 @@ def plain_pipeline(spark, rows, folder):
     kept = [(i, t) for i, t in first.values() if i in lowest.values()]
     items = [r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     fold = lambda t: decontaminate.canonical((t or "").encode()).decode()
-    clean = [(i, t) for i, t in kept if not any(decontaminate.passage_distance(fold(x), fold(t), len(x) // 5) <= len(x) // 5 for x in items)]
+    most = lambda x: int(decontaminate.EDITED * len(x))
+    clean = [(i, t) for i, t in kept if not any(decontaminate.passage_distance(fold(x), fold(t), most(x)) <= most(x) for x in items)]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     out = []
     for i, t in clean:
