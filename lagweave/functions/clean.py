@@ -28,6 +28,11 @@ def parse_number(raw: Column) -> Column:
     return F.when(raw.rlike(_NUMBER), F.trim(raw).try_cast("double"))
 
 
+def is_junk(raw: Column) -> Column:
+    """Whether a cell holds something that is no number; false for missing cells."""
+    return F.coalesce(present(raw).isNotNull() & ~raw.rlike(_NUMBER), F.lit(False))
+
+
 def zero_fill(x: Column) -> Column:
     """NULL and NaN to 0."""
     return F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))

@@ -1,9 +1,9 @@
 """Wide day rows to a long series, time grids."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..functions.calendar import slot_columns, slot_timestamp
-from ..functions.clean import canonical_id, parse_day, parse_number, present, zero_fill
+from ..functions.clean import canonical_id, is_junk, parse_day, parse_number, present, zero_fill
 from ..functions.fixed_values import SLOT_MINUTES, WIDE_DATE, WIDE_ID, WIDE_LOCATION
 
 
@@ -22,6 +22,54 @@ def clean_wide(raw: DataFrame, site: str = WIDE_ID, location: str = WIDE_LOCATIO
     ).na.drop(subset=["site_id", "day"])
 
 
+def tag_wide(raw: DataFrame, site: str = WIDE_ID, location: str = WIDE_LOCATION, day: str = WIDE_DATE) -> DataFrame:
+    """What `clean_wide` gives, with the rows it drops: adds `raw_site, raw_day` as read, `reason` and `n_junk`.
+
+    `reason` is NULL for rows that stay, else 'no_id', 'no_date' or 'bad_date', the first that holds. `n_junk` counts the slot cells that hold
+    something that is no number; they become 0 in the series of a row that stays. The rows that stay and the others come from one scan.
+    """
+    present_columns = set(raw.columns)
+    slots = [c for c in slot_columns() if c in present_columns]
+    texts = [c for c in slots if raw.schema[c].dataType.simpleString() == "string"]
+    id_, day_ = canonical_id(F.col(f"`{site}`")), parse_day(F.col(f"`{day}`"))
+    no_day = present(F.trim(F.col(f"`{day}`"))).isNull()
+    reason = F.when(id_.isNull(), "no_id").when(no_day, "no_date").when(day_.isNull(), "bad_date")
+    junk = F.size(F.filter(F.array(*texts), is_junk)) if texts else F.lit(0)
+    return raw.select(
+        id_.alias("site_id"), present(F.col(f"`{location}`")).alias("location"), day_.alias("day"), *slots,
+        F.col(f"`{site}`").alias("raw_site"), F.col(f"`{day}`").alias("raw_day"), reason.alias("reason"), junk.alias("n_junk"),
+    )
+
+
+def kept_wide(tagged: DataFrame) -> DataFrame:
+    """The rows of `tag_wide` that stay, as `clean_wide` gives them."""
+    return tagged.where(F.col("reason").isNull()).drop("raw_site", "raw_day", "reason", "n_junk")
+
+
+def rejected_rows(tagged: DataFrame) -> DataFrame:
+    """(raw_site, location, raw_day, reason, n_junk) of every dropped row, and of rows that stay with junk cells ('junk_cells')."""
+    why = F.coalesce("reason", F.when(F.col("n_junk") > 0, F.lit("junk_cells")))
+    return tagged.select("raw_site", "location", "raw_day", why.alias("reason"), "n_junk").where(F.col("reason").isNotNull())
+
+
+REASONS = ("no_id", "no_date", "bad_date", "junk_cells")
+
+
+def count_rejects(tagged: DataFrame, counts: Observation) -> DataFrame:
+    """`tagged`, whose rejects are counted by whatever reads it: see `reject_counts`."""
+    kept_junk = F.col("reason").isNull() & (F.col("n_junk") > 0)
+    rows = [F.count_if(F.col("reason") == r).alias(f"{r}_rows") for r in REASONS[:-1]] + [F.count_if(kept_junk).alias("junk_cells_rows")]
+    junk = [F.coalesce(F.sum(F.when(F.col("reason") == r, F.col("n_junk"))), F.lit(0)).alias(f"{r}_cells") for r in REASONS[:-1]]
+    kept = F.coalesce(F.sum(F.when(kept_junk, F.col("n_junk"))), F.lit(0)).alias("junk_cells_cells")
+    return tagged.observe(counts, *rows, *junk, kept)
+
+
+def reject_counts(spark: SparkSession, counts: Observation) -> DataFrame:
+    """(reason, n_rows, n_junk), one row per reason, after the pass that `count_rejects` watched."""
+    got = counts.get
+    return spark.createDataFrame([(r, got[f"{r}_rows"], got[f"{r}_cells"]) for r in REASONS], "reason string, n_rows bigint, n_junk bigint")
+
+
 def wide_to_long(wide: DataFrame, fill: bool = True) -> DataFrame:
     """One row per slot: (site_id, location, ts, flow).
 

@@ -189,11 +189,7 @@ _TOP5 = "top5 AS (SELECT site_id FROM series GROUP BY site_id ORDER BY count(*)
 _SHUFFLE = "md5(site_id || '|' || CAST(idx AS VARCHAR) || '|42')"
 _SCORE_LIST = "site_id, location, ts, model_type, round(y, 6) AS y, round(y_hat, 6) AS y_hat"
 
-SQL: dict[str, str] = {
-    "long_series": f"WITH {_CELLS} SELECT * FROM series",
-    "long_series_missing_slots": f"""WITH {_CELLS}
-        SELECT site_id, location, ts, coalesce(flow, 0.0) AS flow FROM grid WHERE slot NOT BETWEEN 10 AND 19""",
-    "clean_rows": r"""WITH dirty AS (
+_DIRTY = r"""dirty AS (
           SELECT CASE o_orderstatus WHEN 'F' THEN '00' || o_custkey WHEN 'O' THEN o_custkey || '.0'
                       ELSE CAST(o_custkey AS VARCHAR) END AS id,
                  CASE WHEN o_orderpriority LIKE '5%' THEN NULL ELSE o_orderpriority END AS location,
@@ -211,8 +207,15 @@ SQL: dict[str, str] = {
           SELECT regexp_replace(regexp_replace(id, '\.0+$', ''), '^0+(.)', '\1') AS site_id, location,
                  CASE WHEN regexp_matches(day, '^\d{1,2}/\d{1,2}/\d{4}$') THEN try_strptime(day, '%m/%d/%Y') END AS ts,
                  CASE WHEN regexp_matches(flow, '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$')
-                      THEN try_cast(trim(flow) AS DOUBLE) END AS flow
-          FROM dirty)
+                      THEN try_cast(trim(flow) AS DOUBLE) END AS flow,
+                 id, day, flow AS cell
+          FROM dirty)"""
+
+SQL: dict[str, str] = {
+    "long_series": f"WITH {_CELLS} SELECT * FROM series",
+    "long_series_missing_slots": f"""WITH {_CELLS}
+        SELECT site_id, location, ts, coalesce(flow, 0.0) AS flow FROM grid WHERE slot NOT BETWEEN 10 AND 19""",
+    "clean_rows": f"""WITH {_DIRTY}
         SELECT site_id, location, ts, coalesce(flow, 0.0) AS flow FROM typed WHERE ts IS NOT NULL AND site_id IS NOT NULL""",
     "time_grid": """SELECT location, unnest(generate_series(lo, hi, INTERVAL 15 MINUTE)) AS ts FROM (
         SELECT event_type AS location, date_trunc('day', min(ts))::TIMESTAMP AS lo, date_trunc('day', max(ts))::TIMESTAMP AS hi

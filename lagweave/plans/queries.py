@@ -117,14 +117,13 @@ def long_series_missing_slots(spark, folder):
     return reshape.wide_to_long(wide.drop(*slot_columns()[10:20]))
 
 
-@query
-def clean_rows(spark, folder):
-    """Orders written the way dirty files are, then cleaned."""
+def dirty_orders(spark, folder):
+    """Orders written the way dirty files are."""
     o = read_table(spark, folder, "orders")
     key, status, priority = F.col("o_custkey").cast("string"), F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1)
     padded, plain = F.date_format("o_orderdate", "MM/dd/yyyy"), F.date_format("o_orderdate", "M/d/yyyy")
     amount = F.floor("o_totalprice").cast("string")
-    raw = o.select(
+    return o.select(
         "o_orderkey",
         F.when(status == "F", F.concat(F.lit("00"), key)).when(status == "O", F.concat(key, F.lit(".0"))).otherwise(key).alias(
             "SCATS Number"
@@ -144,7 +143,11 @@ def clean_rows(spark, folder):
         .otherwise(F.lit("n/a"))
         .alias("V00"),
     )
-    return reshape.wide_to_long(reshape.clean_wide(raw))
+
+@query
+def clean_rows(spark, folder):
+    """Orders written the way dirty files are, then cleaned."""
+    return reshape.wide_to_long(reshape.clean_wide(dirty_orders(spark, folder)))
 
 
 @query

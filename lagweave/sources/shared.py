@@ -33,7 +33,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a table below the shared folder that nothing will read again."""
-    if not path.startswith(shared_folder(spark) + "/"):
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    target = place(path)
+    if not target.toUri().getPath().startswith(place(shared_folder(spark)).toUri().getPath() + "/"):
         raise ValueError(f"not below the shared folder: {path}")
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

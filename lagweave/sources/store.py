@@ -1,23 +1,42 @@
 """Tables written and read between the steps."""
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.clean import canonical_id
+from .manifest import describe, state_of, write_manifest
 
 CATALOG_SCHEMA = "site_id string, location string, train_samples bigint, test_samples bigint"
 HISTORY_SCHEMA = "loss double, mape double, val_loss double, val_mape double"
 
 
-def materialise(df: DataFrame, path: str, force: bool = False, fmt: str = "parquet", by: Sequence[str] = ()) -> None:
-    """Write unless the output exists, or in any case with `force`."""
-    writer = df.write.mode("overwrite" if force else "ignore").format(fmt)
+def materialise(
+    df: DataFrame, path: str, force: bool = False, fmt: str = "parquet", by: Sequence[str] = (),
+    parameters: Mapping | None = None, inputs: Sequence[str] | None = None,
+) -> str:
+    """Write unless the same table is there, or in any case with `force`; returns in what state the output was found.
+
+    The same is a table whose manifest has the same inputs, parameters and columns and lists the files that are there (see
+    `manifest`). Anything else is written anew: the rest of a lost run, a table of other parameters, one that has lost files. The manifest
+    comes last. Parameters that change rows but not columns have to be named.
+    """
+    spark = df.sparkSession
+    origin = describe(df, parameters, inputs)
+    state = "forced" if force else state_of(spark, path, origin)
+    if state == "present":
+        return state
+    counted = Observation()
+    writer = df.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
+    # A folder is replaced whole, with its manifest, also where the session replaces single partitions.
+    writer = writer.option("partitionOverwriteMode", "static")
     (writer.partitionBy(*by) if by else writer).save(path)
+    write_manifest(spark, path, origin, counted.get["rows"])
+    return state
 
 
 def with_range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int, path: str) -> DataFrame:
@@ -31,14 +50,16 @@ def with_range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return df.sparkSession.read.parquet(path)
 
 
-def write_windows(windows: DataFrame, path: str, per_site: bool = True, force: bool = False) -> None:
-    """The window table, in folders by split and, if `per_site`, by site.
+def write_windows(
+    windows: DataFrame, path: str, per_site: bool = True, force: bool = False, parameters: Mapping | None = None, inputs: Sequence[str] | None = None
+) -> str:
+    """The window table, in folders by split and, if `per_site`, by site; returns what `materialise` does.
 
     Rows are ranged by (split, site, time) first: a folder then gets few files, and a hot site several of equal size.
     """
     by = ["split", "site_id"] if per_site else ["split"]
     ranged = windows.repartitionByRange("split", "site_id", "idx") if per_site else windows
-    materialise(ranged, path, force, by=by)
+    return materialise(ranged, path, force, by=by, parameters=parameters, inputs=inputs)
 
 
 def read_windows(spark: SparkSession, path: str) -> DataFrame:

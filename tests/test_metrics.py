@@ -86,7 +86,7 @@ def test_train_only_fit_and_carried_parameters(spark):
     df = spark.createDataFrame([("a", "train", 2.0), ("a", "train", 4.0), ("a", "test", 8.0)], "k string, part string, flow double")
     params = minmax_fit(df, ["k"], when=F.col("part") == "train")
     assert tuple(params.first()) == ("a", 2.0, 4.0)
-    scaled = minmax_transform(df, params, ["k"], spread=["flow"])
+    scaled = minmax_transform(df, params, ["k"])
     assert sorted(r["flow"] for r in scaled.collect()) == [0.0, 1.0, 3.0]
     row = spark.createDataFrame([(0.5, 1.0, 2.0, 6.0)], "y double, y_hat double, x_min double, x_max double")
     assert tuple(unscale(row).first())[:2] == (4.0, 6.0)
