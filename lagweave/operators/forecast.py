@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.metrics import mape_eps
 from ..functions.scaling import minmax
+from ..functions.solve import least_norm_solution
+from .boost import MODEL as BOOST, ROUNDS as BOOST_ROUNDS, boost_prediction, fit_boost
 from .lookup import lookup
 from .windows import LENGTH, lag_names, lags_array
 
@@ -43,7 +45,8 @@ def fit_ar(train: DataFrame, keys: Sequence[str] = ("site_id",), length: int = L
     Takes whole train splits: windows 1 to `n_train` of each key. Over consecutive windows the product sum of lags j+1 and
     k+1 differs from that of lags j and k by the first and the last window only, so L+1 product sums and those two windows
     give the whole normal matrix. The aggregate combines map-side and has one row per key, whatever the key's length; the
-    small solve runs on those rows.
+    small solve runs on those rows, by elimination in array expressions. Keys whose lags depend on one another, such as constant ones, get
+    the solution with the smallest norm.
     """
     lags = [F.col("y"), *[F.col(f"lag_{k}") for k in range(1, length + 1)]]
     at_first, at_last = F.col("idx") == 1, F.col("idx") == F.col("n_train")
@@ -55,46 +58,36 @@ def fit_ar(train: DataFrame, keys: Sequence[str] = ("site_id",), length: int = L
         F.array(*[F.max(F.when(at_first, c)) for c in lags]).alias("first"),
         F.array(*[F.max(F.when(at_last, c)) for c in lags]).alias("last"),
     )
-    solve = _normal_solver(list(keys), length)
-    fields = [sums.schema[k] for k in keys]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "coef array<double>"])
-    return sums.mapInPandas(solve, schema).select(*keys, F.lit("ar_l").alias("model_type"), "coef")
-
-
-def _normal_solver(keys, length):
-    # A closure, so that workers need numpy only and not this package.
-    def solve(batches):
-        import numpy as np
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            if (batch["n"] != batch["n_train"]).any():
-                raise ValueError("fit_ar needs the whole train split of every key")
-            first, last = np.stack(batch["first"].to_numpy()), np.stack(batch["last"].to_numpy())
-            size = length + 1
-            # Moments of (y, lag_1 .. lag_L): each diagonal grows from the sums of its first element.
-            moment = np.empty((len(batch), size, size))
-            moment[:, 0, :] = np.stack(batch["products"].to_numpy())
-            total = np.empty((len(batch), size))
-            total[:, 0] = batch["total"]
-            for j in range(length):
-                total[:, j + 1] = total[:, j] + first[:, j + 1] - last[:, j]
-                moment[:, j + 1, j + 1 :] = (
-                    moment[:, j, j:-1] + first[:, j + 1, None] * first[:, j + 1 :] - last[:, j, None] * last[:, j:-1]
-                )
-            normal = np.empty((len(batch), size, size))
-            normal[:, 0, 0] = batch["n"]
-            normal[:, 0, 1:] = normal[:, 1:, 0] = total[:, 1:]
-            upper = np.triu(np.ones((length, length), bool))
-            lagged = np.where(upper, moment[:, 1:, 1:], 0.0)
-            normal[:, 1:, 1:] = lagged + np.transpose(np.triu(lagged, 1), (0, 2, 1))
-            right = np.concatenate([total[:, :1], moment[:, 0, 1:]], axis=1)
-            # The pseudo-inverse gives the least-norm solution for constant keys.
-            coef = np.einsum("nij,nj->ni", np.linalg.pinv(normal, rcond=1e-12, hermitian=True), right)
-            yield batch[keys].assign(coef=list(coef))
-
-    return solve
+    whole = F.when(F.col("n") == F.col("n_train"), F.col("n")).otherwise(
+        F.raise_error(F.lit("fit_ar needs the whole train split of every key")).cast("bigint")
+    )
+    coef = least_norm_solution(_normal_equations(whole, length), length + 1)
+    return sums.select(*keys, F.lit("ar_l").alias("model_type"), coef.alias("coef"))
+
+
+def _normal_equations(n: Column, length: int) -> Column:
+    """Rows of the normal matrix of (1, lag_1, .., lag_L), each with its right side last, from what `fit_ar` sums.
+
+    Of the moments of (y, lag_1, .., lag_L), each diagonal grows from the product sum of its first element.
+    """
+    first, last = lambda i: F.element_at("first", i + 1), lambda i: F.element_at("last", i + 1)
+    before = F.sequence(F.lit(0), F.lit(length - 1))
+
+    def moment(j, k):  # j <= k
+        grown = lambda s, i: s + first(i + 1) * first(i + 1 + (k - j)) - last(i) * last(i + (k - j))
+        return F.aggregate(F.slice(before, F.lit(1), j), F.element_at("products", k - j + 1), grown)
+
+    def total(j):
+        return F.aggregate(F.slice(before, F.lit(1), j), F.col("total"), lambda s, i: s + first(i + 1) - last(i))
+
+    def cell(r, c):
+        right = F.when(r == 0, F.col("total")).otherwise(F.element_at("products", r + 1))
+        edge = F.when(r == c, n.cast("double")).otherwise(total(F.greatest(r, c)))
+        return F.when(c == length + 1, right).when(F.least(r, c) == 0, edge).otherwise(moment(F.least(r, c), F.greatest(r, c)))
+
+    width = length + 2
+    places = F.sequence(F.lit(0), F.lit((length + 1) * width - 1))
+    return F.transform(places, lambda p: cell(F.floor(p / width).cast("int"), p % width))
 
 
 def with_features(windows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -132,8 +125,8 @@ def ar_prediction(coef: Column, length: int) -> Column:
 def score_ar(windows: DataFrame, coefs: DataFrame, keys: Sequence[str] = ("site_id",)) -> DataFrame:
     """Adds `model_type` and `y_hat`; one output row per window and model of its key.
 
-    Models of different lengths may be in one table. A model with more coefficients than the windows have lags is an error, as is
-    `seasonal_naive` on windows without `previous` (see `with_previous_period`).
+    Models of different types and lengths, boosted trees among them, may be in one table; one scan scores all. A model with more coefficients than
+    the windows have lags is an error, as is `seasonal_naive` on windows without `previous` (see `with_previous_period`).
     """
     length = sum(c.startswith("lag_") for c in windows.columns)
     joined = lookup(windows, coefs, keys)
@@ -144,6 +137,7 @@ def score_ar(windows: DataFrame, coefs: DataFrame, keys: Sequence[str] = ("site_
     too_long = F.raise_error(F.lit(f"a model has more than {length} lags")).cast("double")
     y_hat = (
         F.when(F.col("model_type") == "seasonal_naive", seasonal)
+        .when(F.col("model_type") == BOOST, boost_prediction(F.col("coef"), length, BOOST_ROUNDS))
         .when(F.size("coef") > length + 1, too_long)
         .otherwise(ar_prediction(F.col("coef"), length))
     )
@@ -240,6 +234,8 @@ PER_KEY_MODELS = {
     "seasonal_naive": lambda train, keys, length: fit_fixed(train, keys, "seasonal_naive", []),
     "ar1": lambda train, keys, length: fit_ar1(train, keys),
     "ar_l": lambda train, keys, length: fit_ar(train, keys, length),
+    BOOST: lambda train, keys, length: fit_boost(train, keys, length),
 }
+LINEAR_MODELS = ("naive", "seasonal_naive", "ar1", "ar_l")
 #: ... and of (train rows, lags, options) per MLlib type.
 POOLED_MODELS = {"linear": fit_pooled_linear, "gbt": fit_pooled_gbt}

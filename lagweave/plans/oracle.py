@@ -71,6 +71,20 @@ def _ar2(name: str, source: str, keys: str = "site_id") -> str:
 {name} AS (SELECT {out}my - c1 * m1 - c2 * m2 AS c0, c1, c2 FROM {name}_slopes)"""
 
 
+def _ar12(source: str) -> str:
+    """Twelve lags by Gauss-Jordan elimination of the normal equations, one column a step."""
+    cells = ", ".join(["1.0::DOUBLE", *[f"lag_{k}" for k in range(1, 13)], "y"])
+    return f"""entries AS (
+      SELECT site_id, i, j, sum(v[i] * v[j]) AS s FROM (SELECT site_id, [{cells}] AS v FROM {source} WHERE split = 'train'),
+             (SELECT unnest(range(1, 14)) AS i) a, (SELECT unnest(range(1, 15)) AS j) b GROUP BY ALL),
+    matrix_rows AS (SELECT site_id, i, list(s ORDER BY j) AS cells FROM entries GROUP BY site_id, i),
+    normal AS (SELECT site_id, list(cells ORDER BY i) AS m FROM matrix_rows GROUP BY site_id),
+    steps AS (
+      SELECT site_id, 1 AS k, m FROM normal
+      UNION ALL SELECT site_id, k + 1, [[CASE WHEN r = k THEN m[k][c] / m[k][k] ELSE m[r][c] - m[r][k] * (m[k][c] / m[k][k]) END
+                                         FOR c IN range(1, 15)] FOR r IN range(1, 14)] FROM steps WHERE k <= 13)"""
+
+
 _PREDICTIONS = (
     _WINDOWS
     + ","
@@ -271,6 +285,13 @@ SQL: dict[str, str] = {
         SELECT site_id, location, ts, round(CASE WHEN lo IS NULL THEN flow
                ELSE (flow - lo) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END END, 6) AS flow
         FROM supplier_series JOIN params USING (site_id)""",
+    "fit_ar12": "WITH RECURSIVE "
+    + _WINDOWS
+    + ", "
+    + _ar12("windowed")
+    + " SELECT site_id, 'ar_l' AS model_type, "
+    + ", ".join(f"round(m[{k + 1}][14], 6) AS c{k}" for k in range(13))
+    + " FROM steps WHERE k = 14",
     "lag_windows": f"WITH {_WINDOWS} SELECT {_WINDOW_LIST} FROM windowed",
     "lag_windows_by_location": f"""WITH {_CELLS}, {_windows("windowed", "series", "site_id, location", "ts")}
         SELECT {_WINDOW_LIST} FROM windowed""",

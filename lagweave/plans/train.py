@@ -2,14 +2,14 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.forecast import PER_KEY_MODELS, fit_model
+from ..operators.forecast import LINEAR_MODELS, PER_KEY_MODELS, fit_model
 from ..operators.windows import LENGTH
 from ..sources.store import save_model, write_coefficients
 
-def train_per_site(spark: SparkSession, windows: DataFrame, path: str, models=tuple(PER_KEY_MODELS), length: int = LENGTH) -> DataFrame:
+def train_per_site(spark: SparkSession, windows: DataFrame, path: str, models=LINEAR_MODELS, length: int = LENGTH) -> DataFrame:
     """One model per site and type, each type for all sites in one job; a single site is the same with a filter on `windows`.
 
-    `windows` is read once per type, so pass a stored table. The result is read back and may be scored as it is.
+    Boosted trees (`boost`) are fitted where named; their rows stand in the same table. `windows` is read once per type, so pass a stored table. The result is read back and may be scored as it is.
     """
     for model_type in models:
         if model_type not in PER_KEY_MODELS:
