@@ -47,25 +47,40 @@ def lag_frame(
     chunk: Column,
     fit_keys: Sequence[str] | None = None,
     fit_when: Column | None = None,
+    before: DataFrame | None = None,
 ) -> DataFrame:
     """`positions` plus `lag_1 .. lag_L` of `value` and its extrema `x_min, x_max`.
 
     `value` is zero-filled first. The extrema are taken over `fit_keys` (a subset of `keys`, by default all of them), over
-    the rows where `fit_when` holds.
+    the rows where `fit_when` holds. `before` has the summaries (see `chunk_summaries`) of chunks whose rows are not in `df`: positions, lags,
+    sizes and extrema then are those of the whole series.
     """
     df = df.withColumn(value, zero_fill(F.col(value)))
-    return _sequence(df, keys, order, value, lags, chunk, fit_keys, fit_when)
+    return _sequence(df, keys, order, value, lags, chunk, fit_keys, fit_when, before)
 
 
-def _sequence(df, keys, order, value, lags, chunk, fit_keys, fit_when):
+def chunk_summaries(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, lags: int, chunk: Column) -> DataFrame:
+    """(keys, chunk, _size, _lo, _hi, _tail): one row per chunk, all that the rows of other chunks need to know of it."""
     at = [*keys, "chunk"]
+    rows, local = _chunked(df.withColumn(value, zero_fill(F.col(value))), at, order, value, chunk)
+    lagged = rows.withColumns({"_rn": F.row_number().over(local), **{f"_lag_{k}": F.lag(value, k).over(local) for k in range(1, lags)}})
+    return _last_rows(lagged, at, local, value, lags, None)
+
+
+def _chunked(df, at, order, value, chunk):
+    """Rows that have a chunk, and the order within it."""
     # Rows without a key or a place in the order belong to no sequence. Said here, before the two uses of `rows`, the
     # filter is the same in both and Spark reuses the exchange.
     rows = df.withColumn("chunk", chunk)
     for name in at:
         rows = rows.where(F.col(name).isNotNull())
     # The value breaks remaining ties, so equal order keys cannot give different results in two evaluations.
-    local = Window.partitionBy(*at).orderBy(*order, *([value] if value else []))
+    return rows, Window.partitionBy(*at).orderBy(*order, *([value] if value else []))
+
+
+def _sequence(df, keys, order, value, lags, chunk, fit_keys, fit_when, before=None):
+    at = [*keys, "chunk"]
+    rows, local = _chunked(df, at, order, value, chunk)
     numbered = rows.withColumns(
         {"_rn": F.row_number().over(local), **{f"_lag_{k}": F.lag(value, k).over(local) for k in range(1, lags + 1)}}
     )
@@ -73,6 +88,8 @@ def _sequence(df, keys, order, value, lags, chunk, fit_keys, fit_when):
         chunks = _last_rows(numbered, at, local, value, lags, fit_when)
     else:
         chunks = rows.groupBy(*at).agg(F.count("*").alias("_size"))
+    if before is not None:
+        chunks = chunks.unionByName(before.select(chunks.columns))
     # A merge join takes the rows as they lie; without the hint a low size estimate could broadcast them.
     combine = _two_levels if isinstance(chunks.schema["chunk"].dataType, StructType) else _summaries
     joined = numbered.join(combine(chunks, keys, value, lags, fit_keys).hint("merge"), at)

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..operators import reshape
-from ..sources import store
+from ..sources import days, store
 from ..sources.manifest import list_files
 from ..sources.shared import discard, fresh_path
 from . import queries as base
@@ -77,3 +77,27 @@ def reject_counts(spark, folder):
     store.materialise(reshape.wide_to_long(reshape.kept_wide(tagged)), path)
     written = spark.read.parquet(path).agg(F.lit("kept").alias("reason"), F.count("*").alias("n_rows"), F.lit(0).cast("bigint").alias("n_junk"))
     return reshape.reject_counts(spark, seen).unionByName(written)
+
+
+def _grown(spark, folder):
+    """The series of all sites, kept by days: three appends, one of which comes late and one again."""
+    rows, path = base.series(spark, folder), fresh_path(spark, "days")
+    day = F.dayofmonth("ts")
+    days.append_days(rows.where(day <= 20), path)
+    days.append_days(rows.where(day > 24), path)
+    days.append_days(rows.where((day > 19) & (day <= 24)), path)  # the twentieth again, and four days late
+    days.append_days(rows.limit(0), path)
+    return path
+
+
+@query
+def windows_after_append(spark, folder):
+    """The windows of a series that grew by days, scaled and split over all of them."""
+    return rounded(base._window_columns(days.read_windows(spark, _grown(spark, folder))))
+
+
+@query
+def catalog_after_append(spark, folder):
+    """The catalog of a series that grew by days."""
+    return days.read_catalog(spark, _grown(spark, folder))
+

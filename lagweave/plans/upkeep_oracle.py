@@ -18,6 +18,8 @@ _REJECTS = r"""tagged AS (
       FROM typed)"""
 
 SQL: dict[str, str] = {
+    "windows_after_append": base.SQL["lag_windows"],
+    "catalog_after_append": base.SQL["site_catalog"],
     "materialise_resumes": f"WITH {base._SUPPLIERS}, {_SIZES} "
     + " UNION ALL ".join([*[_case(c) for c in ("absent", "broken", "stale", "damaged", "present")], _case("grown", times=2)]),
     "rejected_rows": f"""WITH {base._DIRTY}, {_REJECTS}

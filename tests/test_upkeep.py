@@ -4,7 +4,6 @@ import os
 import pytest
 from pyspark.sql import Observation, functions as F
 
-from helpers import SERIES, series_rows
 from lagweave.operators import reshape
 from lagweave.plans.preprocess import preprocess
 from lagweave.sources import manifest, store
@@ -121,12 +120,3 @@ def test_empty_inputs(spark, tmp_path):
     store.materialise(reshape.wide_to_long(reshape.kept_wide(reshape.count_rejects(reshape.tag_wide(raw), seen))), str(tmp_path / "s"))
     assert {r["n_rows"] for r in reshape.reject_counts(spark, seen).collect()} == {0}
     assert manifest.read_manifest(spark, str(tmp_path / "s"))["rows"] == 0
-
-
-@pytest.fixture(scope="module")
-def rows():
-    return series_rows({"970": 400, "2000": 130, "31": 60, "short": 15}, seed=5)
-
-
-def test_series_fixture_has_several_days(spark, rows):
-    assert spark.createDataFrame(rows, SERIES).select(F.to_date("ts")).distinct().count() > 1
