@@ -1,8 +1,9 @@
 """Licence scans by canonical digest lookup, in built-in expressions only.
 
 A unit of text is the whole text, each of its paragraphs of several lines, and each of its lines. A unit is brought to a
-canonical form: lower case, copyright lines away, `https` as `http`, letters and digits only with single spaces between, and equivalent
-spellings as one. The digest of the whole canonical unit is looked up among those of known licence texts and notices by a hash join; the
+canonical form: lower case, copyright notices away, `https` as `http`, letters and digits only with single spaces between, and equivalent
+spellings as one. A notice is a line with the word or sign and a year or a placeholder; other lines are part of the terms. A second form keeps
+the notices, so that a published text is found also where its lines are broken anew and a notice shares one with the terms. The digest of the canonical unit, in either form, is looked up among those of known licence texts and notices by a hash join; the
 known ones are a fixed list in this module and the complete texts in the folder `licenses`, so it is small enough to be broadcast whatever the corpus.
 
 Defined cases: NULL and empty texts have no match, nor have NULL or empty known texts. A text that is one line is no line besides. A
@@ -135,13 +136,26 @@ KNOWN = [
     *COMPLETE,
 ]
 
-COPYRIGHT = "(?:^|\\n)[ \\t]*(?:copyright|\\(c\\)|©)[^\\n]*"
+#: A line that is a notice: the word or sign with a year or a placeholder for it, or the word with the sign. List items "(c)" and lines of
+#: the terms that begin with the word are none.
+NOTICE = r"(?:^|\n)[ \t]*(?:copyright[ \t]*(?:\(c\)|©)|(?:copyright|\(c\)|©)[ \t:,]*(?:19[0-9][0-9]|20[0-9][0-9]|<year>|\[year\]|<yyyy>|\[yyyy\]|yyyy))[^\n]*"
 
 
-def plain(text: Column) -> Column:
-    """The canonical form of a unit of text, but for spellings."""
-    form = F.regexp_replace(F.lower(text), COPYRIGHT, "\n")
-    return F.trim(F.regexp_replace(F.replace(form, F.lit("https"), F.lit("http")), "[^a-z0-9]+", " "))
+def without_notices(lower: Column) -> Column:
+    return F.regexp_replace(lower, NOTICE, "\n")
+
+
+def plain(lower: Column) -> Column:
+    """The canonical form of a unit of lower-case text, but for notices and spellings."""
+    return F.trim(F.regexp_replace(F.replace(lower, F.lit("https"), F.lit("http")), "[^a-z0-9]+", " "))
+
+
+def with_forms(rows: DataFrame) -> DataFrame:
+    """Adds `form`, without notices, and `whole`, with them, of the column `text`. The second differs only where there are notices."""
+    low = rows.withColumn("_low", F.lower("text"))
+    bare = low.withColumn("_bare", without_notices(F.col("_low"))).withColumn("form", plain(F.col("_bare")))
+    whole = F.when(F.col("_bare") == F.col("_low"), F.col("form")).otherwise(plain(F.col("_low")))
+    return bare.withColumn("whole", whole).drop("_low", "_bare")
 
 
 def spelled(form: Column) -> Column:
@@ -151,10 +165,11 @@ def spelled(form: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(license, digest, first) of the known texts, through the same expressions as the units; `first` is the first word."""
-    rows = spark.createDataFrame([k for k in known if k[1]], "license string, text string").withColumn("form", spelled(plain(F.col("text"))))
+    """(digest, licenses, first) of the known texts in both forms, through the same expressions as the units; `first` is the first word."""
+    rows = with_forms(spark.createDataFrame([k for k in known if k[1]], "license string, text string"))
+    forms = rows.select("license", F.explode(F.array("form", "whole")).alias("form")).where("form <> ''").withColumn("form", spelled(F.col("form")))
     first = F.substring_index("form", " ", 1).alias("first")
-    return rows.where("form <> ''").select("license", F.sha2("form", 256).alias("digest"), first).distinct()
+    return forms.groupBy(F.sha2("form", 256).alias("digest"), first).agg(F.array_sort(F.collect_set("license")).alias("licenses"))
 
 
 def first_words(digests: DataFrame) -> list[str]:
@@ -180,20 +195,32 @@ def units(text: Column) -> Column:
 def license_matches(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, unit, position, license) of every unit that is a known licence text or notice."""
     digests = known_digests(docs.sparkSession, known)
-    found = docs.select(F.col(f"`{id_column}`").alias("_id"), F.inline(units(text_of(text_column))))
+    words = first_words(digests)
+    found = with_forms(docs.select(F.col(f"`{id_column}`").alias("_id"), F.inline(units(text_of(text_column)))))
     # Spellings are costly, and only a unit that begins like a known text can be one.
-    begun = found.withColumn("form", plain(F.col("text"))).where(F.substring_index("form", " ", 1).isin(first_words(digests)))
+    begins = lambda c: F.substring_index(c, " ", 1).isin(words)
+    begun = found.where(begins("form") | begins("whole")).select("_id", "unit", "position", "form", "whole")
     # The known list is part of the code: a bounded broadcast.
-    hits = begun.withColumn("digest", F.sha2(spelled(F.col("form")), 256)).join(F.broadcast(digests), "digest")
-    return hits.select(F.col("_id").alias(id_column), "unit", "position", "license")
+    for form in ("form", "whole"):
+        table = digests.select(F.col("digest").alias(f"_{form}"), F.col("licenses").alias(f"_by_{form}"))
+        begun = begun.withColumn(f"_{form}", F.sha2(spelled(F.col(form)), 256)).join(F.broadcast(table), f"_{form}", "left")
+    none = F.array().cast("array<string>")
+    both = F.array_union(F.coalesce("_by_form", none), F.coalesce("_by_whole", none))
+    return begun.select(F.col("_id").alias(id_column), "unit", "position", F.explode(both).alias("license"))
 
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def _canonical_sql(column: str) -> str:
-    form = f"regexp_replace(lower({column}), {_text(COPYRIGHT)}, chr(10), 'g')"
+_LINE = r"^[ \t]*((copyright|\(c\)|©)[ \t:,]*((19|20)[0-9]{2}|[<\[]?yyyy|[<\[]year[>\]])|copyright[ \t]*(\(c\)|©))"
+
+
+def _canonical_sql(column: str, notices: bool) -> str:
+    """Line by line, where the main path replaces in the whole text."""
+    form = f"lower({column})"
+    if not notices:
+        form = f"array_to_string([x FOR x IN string_split({form}, chr(10)) IF NOT regexp_matches(x, {_text(_LINE)})], chr(10))"
     form = f"trim(regexp_replace(replace({form}, 'https', 'http'), '[^a-z0-9]+', ' ', 'g'))"
     for found, kept in SPELLINGS:
         form = rf"regexp_replace({form}, '\b{found}\b', '{kept}', 'g')"
@@ -213,8 +240,14 @@ WITH texts AS (
     UNION ALL SELECT doc_id, 'paragraph', p, u FROM paragraphs WHERE n > 1 AND contains(u, chr(10))
     UNION ALL SELECT doc_id, 'line', p, u FROM lines WHERE n > 1
 ), known AS (
-    SELECT DISTINCT license, {_canonical_sql("t")} AS form FROM (VALUES {", ".join(f"({_text(n)}, {_text(t)})" for n, t in KNOWN)}) AS v(license, t)
+    SELECT license, unnest([{_canonical_sql("t", False)}, {_canonical_sql("t", True)}]) AS form
+    FROM (VALUES {", ".join(f"({_text(n)}, {_text(t)})" for n, t in KNOWN)}) AS v(license, t)
+), known_forms AS (
+    SELECT DISTINCT license, form FROM known
+), unit_forms AS (
+    SELECT row_number() OVER () AS r, *, [{_canonical_sql("u", False)}, {_canonical_sql("u", True)}] AS forms FROM units
+), found AS (
+    SELECT DISTINCT r, license FROM (SELECT r, unnest(forms) AS form FROM unit_forms) JOIN known_forms USING (form) WHERE form <> ''
 )
-SELECT doc_id, unit, CAST(position AS INTEGER) AS position, license
-FROM (SELECT *, {_canonical_sql("u")} AS form FROM units) JOIN known USING (form) WHERE form <> ''
+SELECT doc_id, unit, CAST(position AS INTEGER) AS position, license FROM unit_forms JOIN found USING (r)
 """

@@ -1,9 +1,11 @@
 """Documents that are a complete licence text."""
 
+import re
 import textwrap
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from lagweave.llm import license_scan
 
@@ -43,3 +45,40 @@ def test_terms_without_what_follows_them(spark):
     end = "END OF TERMS AND CONDITIONS"
     texts = [(FOLDER / f"{n}.txt").read_text(encoding="utf-8") for n in names]
     assert whole(spark, [t[: t.index(end) + len(end)] for t in texts]) == list(enumerate(names))
+
+
+def test_texts_with_lines_broken_anew(spark):
+    texts = [(FOLDER / f"{n}.txt").read_text(encoding="utf-8") for n in NAMES]
+    for width in (60, 100):
+        fill = lambda p: textwrap.fill(" ".join(p.split()), width, break_long_words=False)
+        assert whole(spark, ["\n\n".join(fill(p) for p in re.split(r"\n[ \t\f]*\n", t)) for t in texts]) == list(enumerate(NAMES))
+
+
+def test_terms_that_begin_with_the_word_are_terms(spark):
+    altered = []
+    for name in NAMES:
+        lines = (FOLDER / f"{name}.txt").read_text(encoding="utf-8").split("\n")
+        for k, line in enumerate(lines):
+            if re.match(r"\s*(copyright|\(c\)|©)", line, re.I) and not re.search(r"\d{4}|year|yyyy", line):
+                altered.append("\n".join([*lines[:k], line + " not", *lines[k + 1 :]]))
+    assert len(altered) > 15
+    assert whole(spark, altered) == []
+    apache = (FOLDER / "Apache-2.0.txt").read_text(encoding="utf-8")
+    assert whole(spark, [apache.replace("(c) You must retain, in the Source form of any Derivative Works", "(c) You need not retain anything at all")]) == []
+
+
+@pytest.mark.parametrize(
+    "line, notice",
+    [("Copyright (c) 2021 A", True), ("copyright 1999, B", True), ("(C) 2020 C", True), ("  © 2003 D", True), ("Copyright (c) The Regents", True),
+     ("Copyright [yyyy] [name]", True), ("(c) the licenses granted", False), ("copyright license to", False), ("Copyright holders 2020", False), ("the copyright 2020", False)],
+)
+def test_notices(spark, line, notice):
+    row = spark.createDataFrame([(f"a\n{line}\nb",)], "t string").select(license_scan.without_notices(F.lower("t")).alias("t")).first()
+    assert (row["t"].split() == ["a", "b"]) == notice
+
+
+def test_a_unit_gives_a_licence_once(spark):
+    text = (FOLDER / "GPL-3.0.txt").read_text(encoding="utf-8")
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (1, text)], "doc_id long, text string")
+    rows = license_scan.license_matches(docs).where("unit = 'text'").collect()
+    assert [(r["doc_id"], r["license"]) for r in rows] == [(1, "GPL-3.0")] * 2
