@@ -21,6 +21,7 @@ Further columns are ignored.
 
 import os
 import re
+from array import array
 from functools import cache, partial
 from itertools import chain
 
@@ -36,7 +37,7 @@ BLANKS = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 PIECE = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
 MASK = np.uint32((1 << 10) - 1)
 LEAST = 128
-CACHED = 200_000
+CACHED = 150_000  # pieces of a generation
 GROUP = 1 << 20  # bytes of text held as pieces at a time
 WORD = 64
 #: A random number per byte for the rolling hash.
@@ -66,7 +67,10 @@ def chunks(data: bytes) -> list[bytes]:
 
 
 class Encoder:
-    """Ids of pieces of text, as the bytes of little-endian 32-bit numbers, with a bounded cache."""
+    """Ids of pieces of text, as the bytes of little-endian 32-bit numbers, with a bounded cache of two generations.
+
+    What is used stays in the younger one; when that is full it becomes the older one, and what was not used since then is gone.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -76,16 +80,29 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         """A table that has all of the pieces."""
         if len(self.known) > CACHED:
-            self.known = {}
-        missing = list(pieces - self.known.keys())
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        new = {piece: np.array(e.ids, "<u4").tobytes() for piece, e in zip(missing, found)}
-        self.known.update((piece, ids) for piece, ids in new.items() if len(piece) <= WORD)
-        return self.known | new if any(len(p) > WORD for p in missing) else self.known
+            self.known, self.older = {}, self.known
+        missing = pieces - self.known.keys()
+        # A comma or full stop after a letter is a token of its own, so the piece before it is looked up by itself.
+        ended = {p for p in missing if p[-1:] in (",", ".") and "a" <= p[-2:-1] <= "z" and "<|" not in p}
+        wanted = (missing - ended) | {p[:-1] for p in ended} | {p[-1] for p in ended}
+        kept = {p: self.older[p] for p in wanted & self.older.keys()}
+        asked = list(wanted - kept.keys() - self.known.keys())
+        found = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
+        new = kept | {piece: array("I", e.ids).tobytes() for piece, e in zip(asked, found)}
+        long = {piece: ids for piece, ids in new.items() if len(piece) > WORD}
+        self.known.update(new)
+        self.known.update([(p, self.known[p[:-1]] + self.known[p[-1]]) for p in ended])
+        if not long:
+            return self.known
+        table = self.known.copy()
+        for piece in long.keys() | {p for p in ended if len(p) > WORD}:
+            del self.known[piece]
+        return table
 
 
 @cache
@@ -183,10 +200,22 @@ def _encode_chunks(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.binary())], ["_chunk", "_ids"])
 
 
+@cache
+def _bytes_table(path: str) -> pa.Array:
+    return pa.array(_bytes_of_ids(path), pa.large_binary())
+
+
+def decode_all(texts: list[bytes], path: str) -> list[str]:
+    """The texts of ids as made here; bytes that are no UTF-8 become replacement characters."""
+    ids = pa.Array.from_buffers(pa.uint32(), sum(map(len, texts)) // 4, [None, pa.py_buffer(b"".join(texts))])
+    taken = _bytes_table(path).take(ids)
+    ends = np.frombuffer(taken.buffers()[1], np.int64)[np.cumsum([0, *[len(t) // 4 for t in texts]])] if len(ids) else np.zeros(len(texts) + 1, np.int64)
+    joined = memoryview(taken.buffers()[2] or b"")
+    return [str(joined[a:b], "utf-8", "replace") for a, b in zip(ends.tolist(), ends[1:].tolist())]
+
+
 def decode(ids: bytes, path: str) -> str:
-    """The text of ids as made here; bytes that are no UTF-8 become replacement characters."""
-    joined = b"".join(map(_bytes_of_ids(path).__getitem__, np.frombuffer(ids, "<u4").tolist()))
-    return joined.decode("utf-8", "replace")
+    return decode_all([ids], path)[0]
 
 
 def _encode_texts(batch: pa.RecordBatch, path: str):
@@ -195,7 +224,7 @@ def _encode_texts(batch: pa.RecordBatch, path: str):
         part = batch.slice(own.start, own.stop - own.start)
         given = [{m["_seq"]: m["_ids"] for m in marks or []} for marks in part.column(2).to_pylist()]
         ids = _encode_group(texts[own], given, path)
-        counts, decoded = np.array([len(i) // 4 for i in ids], np.int64), [decode(i, path) for i in ids]
+        counts, decoded = np.array([len(i) // 4 for i in ids], np.int64), decode_all(ids, path)
         yield pa.RecordBatch.from_arrays(
             [part.column(0), pa.array(counts), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["_key", "n_tokens", "ids", "decoded"]
         )
