@@ -4,10 +4,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from ..operators import reshape
+from ..operators import history, reshape
 from ..sources import days, store
 from ..sources.manifest import list_files
-from ..sources.shared import discard, fresh_path
+from ..sources.events import read_table
+from ..sources.shared import discard, fresh_path, stored
 from . import queries as base
 from .queries import rounded
 
@@ -101,3 +102,21 @@ def catalog_after_append(spark, folder):
     """The catalog of a series that grew by days."""
     return days.read_catalog(spark, _grown(spark, folder))
 
+
+@query
+def history_files(spark, folder):
+    """Histories of every run written as one CSV file each, by region, and read back: best epoch and where training ends."""
+    o, c, n, r = (read_table(spark, folder, t) for t in ("orders", "customer", "nation", "region"))
+    placed = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    month = F.date_format("o_orderdate", "yyyy-MM").alias("month")
+    model = F.substring("o_orderpriority", 1, 1).alias("model_type")
+    measures = [F.round(F.avg("o_totalprice"), 2).alias("loss"), F.round(F.avg("c_acctbal"), 2).alias("mape"), F.min("o_totalprice").alias("val_loss"), F.max("c_acctbal").alias("val_mape")]
+    runs = stored(placed.groupBy(F.col("r_name").alias("site_id"), model, month).agg(*measures), "runs")
+    path = fresh_path(spark, "histories")
+    kinds = runs.select("site_id", "model_type").distinct().collect()  # a file each: as many as runs
+    for run in kinds:
+        own = runs.where((F.col("site_id") == run["site_id"]) & (F.col("model_type") == run["model_type"])).orderBy("month")
+        store.write_history_file(own, f"{path}/per_site/{run['site_id']}/{run['model_type']}_history.csv")
+    rows = stored(store.read_history_files(spark, path), "history")
+    stops = history.early_stop(rows).select("site_id", "model_type", "stop_epoch", "stopped")
+    return history.best_epoch(rows).join(stops, ["site_id", "model_type"])

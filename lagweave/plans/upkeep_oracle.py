@@ -18,6 +18,18 @@ _REJECTS = r"""tagged AS (
       FROM typed)"""
 
 SQL: dict[str, str] = {
+    "history_files": """WITH runs AS (
+          SELECT r_name AS site_id, substr(o_orderpriority, 1, 1) AS model_type, strftime(o_orderdate, '%Y-%m') AS month, min(o_totalprice) AS val_loss
+          FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY site_id, model_type ORDER BY month) AS epoch FROM runs),
+        best AS (SELECT site_id, model_type, CAST(arg_min(epoch, (val_loss, epoch)) AS INTEGER) AS best_epoch, min(val_loss) AS best_val_loss
+                 FROM numbered GROUP BY site_id, model_type),
+        lows AS (SELECT *, min(val_loss) OVER w AS low FROM numbered
+                 WINDOW w AS (PARTITION BY site_id, model_type ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        marked AS (SELECT *, max(CASE WHEN low IS NULL OR val_loss < low THEN epoch END) OVER (PARTITION BY site_id, model_type ORDER BY epoch) AS lately FROM lows),
+        stops AS (SELECT site_id, model_type, min(epoch) FILTER (epoch - lately >= 10) AS stop, max(epoch) AS last FROM marked GROUP BY site_id, model_type)
+        SELECT site_id, model_type, best_epoch, best_val_loss, CAST(coalesce(stop, last) AS INTEGER) AS stop_epoch, stop IS NOT NULL AS stopped
+        FROM best JOIN stops USING (site_id, model_type)""",
     "windows_after_append": base.SQL["lag_windows"],
     "catalog_after_append": base.SQL["site_catalog"],
     "materialise_resumes": f"WITH {base._SUPPLIERS}, {_SIZES} "

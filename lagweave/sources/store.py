@@ -97,16 +97,21 @@ def write_history(history: DataFrame, path: str, force: bool = False) -> None:
     materialise(history, path, force)
 
 
+def write_history_file(run: DataFrame, path: str) -> None:
+    """One run, ordered by epoch, as the CSV that `read_history_files` reads; a run is as short as it has epochs."""
+    run.select(*[c.split()[0] for c in HISTORY_SCHEMA.split(", ")]).coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
 def read_history_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Per-epoch CSV files named <site>/<model>_history.csv, or <model>_history.csv for pooled runs.
+    """Per-epoch CSV files named per_site/<site>/<model>_history.csv, or <model>_history.csv for pooled runs; or folders of these names with a file each.
 
     The epoch is the line number. A file is one run, so it is as short as a run has epochs.
     """
     rows = spark.read.schema(HISTORY_SCHEMA).csv(paths, header=True, recursiveFileLookup=True)
-    path = F.col("_metadata.file_path")
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # it is a URI: names may have blanks
     named = rows.select(
-        F.nullif(F.regexp_extract(path, r"per_site/([^/]+)/[^/]+$", 1), F.lit("")).alias("site_id"),
-        F.regexp_extract(path, r"([^/]+)_history\.csv$", 1).alias("model_type"),
+        F.nullif(F.regexp_extract(path, r"per_site/([^/]+)/[^/]+_history\.csv", 1), F.lit("")).alias("site_id"),
+        F.regexp_extract(path, r"([^/]+)_history\.csv(?:/[^/]+)?$", 1).alias("model_type"),
         F.monotonically_increasing_id().alias("_line"),
         *rows.columns,
     )
