@@ -24,7 +24,10 @@ empty table gives files without rows. A damaged block fails its checksum and rai
 """
 
 import os
+import re
 import zlib
+from array import array
+from collections.abc import Iterator
 from functools import cache, partial
 
 import numpy as np
@@ -39,37 +42,76 @@ SYMBOLS = 1 << 16
 LANES = 1024
 BLOCK = 1 << 18
 LOW = np.uint64(1 << 31)  # lower bound of a state; words of 32 bits
-CACHED = 300_000
-GROUP = 1 << 21  # bytes of text held as words at a time
+CACHED = 100_000  # words of a generation
+TOGETHER = 64  # words of one call
+GROUP = 1 << 20  # bytes of text held as words at a time
 WORD = 48
+#: Small letters of Latin-1: pieces by themselves, which no normalization changes.
+LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
 # Tokenizing
 
 
 class WordEncoder:
-    """Ids of words, as bytes of 16-bit numbers, for tokenizers that drop white space; with a bounded cache."""
+    """Ids of words, as bytes of 16-bit numbers, for tokenizers that drop white space; with a bounded cache of two generations.
+
+    What is used stays in the younger one; when that is full it becomes the older one, and what was not used since then is gone.
+
+    Words of small Latin letters alone are a piece each and stay as they are under normalization, so where the vocabulary marks ends of
+    words they go to the merges directly, many in one call, and the marks part the ids again. Other words take the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        def load():
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+            return tokenizer
+
+        self.tokenizer, self.merges = load(), load()
+        self.merges.normalizer = None
+        blanks, signs = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([blanks, signs])
+        mark = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(min(SYMBOLS, self.tokenizer.get_vocab_size()))]
+        self.last = np.array([bool(mark) and t.endswith(mark) for t in tokens])
         self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        self.older: dict[str, bytes] = {}
+
+    def _by_merges(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of words of `LETTERS`."""
+        joined = [" ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
+        flat = array("H")
+        for e in self.merges.encode_batch_fast(joined, add_special_tokens=False):
+            flat.extend(e.ids)
+        data = flat.tobytes()
+        ends = ((np.flatnonzero(self.last[np.frombuffer(data, np.uint16)]) + 1) * 2).tolist()
+        if len(ends) != len(words):
+            raise ValueError("a word without the mark of its end")
+        return (data[a:b] for a, b in zip([0, *ends], ends))
+
+    def _learn(self, missing: set[str]) -> None:
+        kept = {w: self.older[w] for w in missing & self.older.keys()}
+        self.known.update(kept)
+        missing = missing.difference(kept)
         # A comma or full stop after a letter is a token of its own, so the word before it is looked up by itself.
-        ended = {w for w in missing if w[-1:] in (",", ".") and "a" <= w[-2:-1] <= "z"}
-        asked = (missing - ended) | {w[:-1] for w in ended} | {w[-1] for w in ended}
-        asked = list(asked - self.known.keys())
-        found = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
-        if any(max(e.ids, default=0) >= SYMBOLS for e in found):
-            raise ValueError("ids beyond 16 bits")
-        new = {w: np.array(e.ids, np.uint16).tobytes() for w, e in zip(asked, found)}
-        both = self.known | new
-        return new | {w: both[w[:-1]] + both[w[-1]] for w in ended}
+        ended = [w for w in missing if w[-1] in ",." and "a" <= w[-2:-1] <= "z"]
+        asked = missing.difference(ended)
+        asked.update([w[:-1] for w in ended], [w[-1] for w in ended])
+        asked.difference_update(self.known)
+        letters = [w for w in asked if LETTERS(w)] if self.last.any() else []
+        others = list(asked.difference(letters))
+        try:
+            self.known.update(zip(letters, self._by_merges(letters)))
+            found = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+            self.known.update(zip(others, [array("H", e.ids).tobytes() for e in found]))
+        except OverflowError:
+            raise ValueError("ids beyond 16 bits") from None
+        self.known.update([(w, self.known[w[:-1]] + self.known[w[-1]]) for w in ended])
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """Ids of whole UTF-8 texts. The words are what stands between spaces and line feeds, which such a tokenizer drops.
@@ -77,17 +119,17 @@ class WordEncoder:
         It lowers letters, too; A to Z are lowered before the lookup, unless the text may hold a special token.
         """
         if len(self.known) > CACHED:
-            self.known = {"": b""}
+            self.known, self.older = {"": b""}, self.known
         plain = [t if b"<|" in t else t.lower() for t in texts]
         split = [t.decode("utf-8", "replace").replace("\n", " ").split(" ") for t in plain]
-        words: set[str] = set()
-        for one in split:
-            words.update(one)
-        new = self._learn(words - self.known.keys())
-        table = self.known | new
-        self.known.update((w, ids) for w, ids in new.items() if len(w) <= WORD)
-        last = np.array([end], np.uint16).tobytes()
-        return [b"".join(map(table.__getitem__, one)) + last for one in split]
+        missing = set().union(*split).difference(self.known)
+        self._learn(missing)
+        last, table = array("H", [end]).tobytes(), self.known
+        out = [b"".join([*map(table.__getitem__, one), last]) for one in split]
+        for w in missing:
+            if len(w) > WORD:
+                del table[w]
+        return out
 
 
 @cache

@@ -25,6 +25,17 @@ def test_words_equal_the_library():
     assert [np.frombuffer(i, np.uint16).tolist() for i in got] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
 
+def test_words_equal_the_library_over_generations(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED", 40)
+    rng, library, encoder = random.Random(5), Tokenizer.from_file(PATH), token_files.WordEncoder(PATH)
+    letters = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ×÷"
+    for _ in range(60):
+        words = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 5, 60]))) + rng.choice(["", "", ",", ".", "!", ".,"]) for _ in range(20)]
+        text = " ".join([*words, "the", "of,"])
+        assert np.frombuffer(encoder.encode([text.encode()], 1)[0], np.uint16).tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+    assert len(encoder.known) <= 40 + 2 * 23 and encoder.older
+
+
 @pytest.mark.parametrize("n", [1, 2, 1023, 1024, 1025, 70_001])
 @pytest.mark.parametrize("kind", ["one", "skewed", "even"])
 def test_blocks_round_trip(n, kind):
