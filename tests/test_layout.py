@@ -72,6 +72,12 @@ def test_the_index_follows_the_files(spark, tmp_path):
     assert clustered.read_clustered_site(spark, path, "s01").count() == 78
 
 
+@pytest.mark.parametrize("name", sorted(layout.REGISTRY))
+def test_no_pairwise_joins_and_no_python(spark, small, name):
+    plan = layout.REGISTRY[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan and "Python" not in plan
+
+
 @pytest.fixture
 def no_broadcast(spark):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

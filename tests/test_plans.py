@@ -108,7 +108,7 @@ def test_key_filter_reaches_the_scan(spark, tmp_path):
 
 
 def test_every_query_has_a_counterpart_or_a_unit_test():
-    only_rows = {"fit_ar12", "fit_pooled_gbt", "gbt_history"}
+    only_rows = {"fit_pooled_gbt", "gbt_history"}
     assert set(queries.REGISTRY) - set(entry.oracle_sql()) == only_rows
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
