@@ -3,20 +3,23 @@
 Format. A folder with three Parquet tables:
 
 * `table`: one row (id, frequency) per symbol that occurs; the frequencies are shared by all blocks and add up to 2^BITS.
-* `blocks`: one row per block of up to `block` ids: part, number of the block in its part, first position (ids of all
-  documents before it), number of ids, the checkpoint (final states of the lanes), the words the lanes put out, and a CRC-32 of the ids.
-* `index`: one row per document in ascending order of ids: doc_id, first position, number of ids.
+* `blocks`: one row per block of up to `block` ids: part, number of the block in its part, first position in the part, number of
+  ids, the checkpoint (final states of the lanes), the words the lanes put out, a CRC-32 of the ids, and `docs`, the
+  documents with ids in the block in ascending order: doc_id, start in the part, number of ids. A block has at most `block` of them.
+* `parts`: one row (part, offset) per part, the ids of all parts before it.
 
-A block is coded by itself, so any block can be decoded in parallel and after a seek. Inside a block the ids lie in LANES columns that
+A block is coded by itself, so any block can be decoded in parallel and after a seek: the column `docs` tells which blocks hold a
+document. Inside a block the ids lie in LANES columns that
 are coded in lockstep, each with its own 32-bit state, row by row from the last; words that leave the states go to one stream, in an
 order the decoder repeats. The states at the end of the encoder are the checkpoint the decoder starts from.
 
 Symbols are 16-bit values: ids of larger vocabularies would take two symbols (`SYMBOLS` bounds them, larger ids are an
 error). Every id of the vocabulary that occurs has a frequency of one at least.
 
-Order and positions. Texts are tokenized once and stored. Quantiles of the ids cut the documents into ranges; a running sum
-over the totals of the ranges (one row each) gives the first position of every range, and within a range the sum runs over
-its rows. Blocks end at the end of a range.
+Order and positions. Texts are tokenized once and stored. The rows move once, into ranges of (id, hash of the text, place in the
+stored table), whose number follows from the count of ids, about `RANGE` of them each, so no range grows with the data and rows with
+equal ids are split like others. The blocks are cut where the ranges are sorted, with positions that count from the start of the
+range; a running sum over one row per range gives the rest. Blocks end at the end of a range.
 
 Defined cases: NULL texts are empty; every document ends with the end id, so none is without ids. Ids are numbers. Documents with equal
 or NULL ids lie next to each other, NULL first, in the order of a hash of their texts. Repeated rows are written each. An
@@ -41,6 +44,7 @@ BITS = 20
 SYMBOLS = 1 << 16
 LANES = 1024
 BLOCK = 1 << 18
+RANGE = 1 << 25  # ids of a range, two bytes each
 LOW = np.uint64(1 << 31)  # lower bound of a state; words of 32 bits
 CACHED = 100_000  # words of a generation
 TOGETHER = 64  # words of one call
@@ -231,29 +235,33 @@ class Code:
 # Writing and reading
 
 
-BLOCKS = "part int, number int, first bigint, n int, states binary, words binary, crc bigint"
+DOC = "struct<doc_id: bigint, start: bigint, n_tokens: bigint>"
+BLOCKS = f"part int, number int, first bigint, n int, states binary, words binary, crc bigint, docs array<{DOC}>"
 
 
 def _blocks(batches, code: Code, block: int):
     """Blocks of a part, whose rows arrive in order, so that blocks span documents and batches."""
-    waiting, size, number, first, part = [], 0, 0, None, None
+    waiting, size, number, first, upto, held = [], 0, 0, 0, 0, []
+    doc = pa.struct([(c, pa.int64()) for c in ("doc_id", "start", "n_tokens")])
+    schema = pa.schema(
+        [("part", pa.int32()), ("number", pa.int32()), ("first", pa.int64()), ("n", pa.int32())]
+        + [("states", pa.binary()), ("words", pa.binary()), ("crc", pa.int64()), ("docs", pa.list_(doc))]
+    )
 
     def cut(data: np.ndarray):
-        nonlocal number, first
+        nonlocal number, first, held
         states, words = code.encode(data)
-        row = [[part], [number], [first], [len(data)], [states], [words], [zlib.crc32(data.astype("<u2").tobytes())]]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+        docs = [d for d in held if d["start"] < first + len(data)]
+        row = [part, number, first, len(data), states, words, zlib.crc32(data.astype("<u2").tobytes()), docs]
         number, first = number + 1, first + len(data)
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], [c.split()[0] for c in BLOCKS.split(", ")])
+        held = [d for d in held if d["start"] + d["n_tokens"] > first]
+        return pa.RecordBatch.from_pylist([dict(zip(schema.names, row))], schema)
 
     for batch in batches:
-        for p, start, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if p != part:
-                if size:
-                    yield cut(np.frombuffer(b"".join(waiting), np.uint16))
-                waiting, size, number, first, part = [], 0, 0, start, p
+        for part, i, n, ids in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            held.append({"doc_id": i, "start": upto, "n_tokens": n})
             waiting.append(ids)
-            size += len(ids) // 2
+            size, upto = size + n, upto + n
             if size >= block:
                 data = np.frombuffer(b"".join(waiting), np.uint16)
                 whole = size - size % block
@@ -264,40 +272,29 @@ def _blocks(batches, code: Code, block: int):
         yield cut(np.frombuffer(b"".join(waiting), np.uint16))
 
 
-def _ranges(tokens: DataFrame, parts: int) -> DataFrame:
-    """Adds `_part`, which rises with the ids: ranges between quantiles of the ids."""
-    shares = [k / parts for k in range(1, parts)]
-    cuts = sorted(set(tokens.agg(F.percentile_approx("_id", shares, 10_000)).first()[0] or [])) if shares else []
-    part = F.lit(0)
-    if cuts:  # as many numbers as there are ranges
-        kind = tokens.schema["_id"].dataType
-        part = F.coalesce(F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]), lambda c: c <= F.col("_id"))), F.lit(0))
-        part = F.when(F.col("_id").isNull(), F.lit(0)).otherwise(part)
-    return tokens.withColumn("_part", part)
+def _ranges(total: int, parallel: int) -> int:
+    """How many ranges `total` ids are dealt to: of `RANGE` ids, or smaller ones where not every core had one."""
+    return max(-(-total // RANGE), min(parallel, -(-total // BLOCK)), 1)
 
 
 def write_files(docs: DataFrame, path: str, vocabulary: str, end: int, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK) -> None:
     """Tokenize `docs` and write the files below `path`."""
     spark = docs.sparkSession
     tokens = stored(tokenized(docs, vocabulary, end, id_column, text_column), "tokens")
-    counts = tokens.select("_ids").mapInArrow(_count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    code = scaled({r["id"]: r["n"] for r in counts.collect()})  # at most 2^16 rows
+    counted = tokens.select("_ids").mapInArrow(_count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = {r["id"]: r["n"] for r in counted.collect()}  # at most 2^16 rows
+    code = scaled(counts)
     spark.createDataFrame(sorted(code.items()), "id int, frequency int").coalesce(1).write.parquet(f"{path}/table")
 
-    rows = _ranges(tokens, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    totals = rows.groupBy("_part").agg(F.sum("_n").alias("_total"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    offsets = stored(totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")), "offsets")
-    upto = Window.partitionBy("_part").orderBy("_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    index = rows.drop("_ids").withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).join(F.broadcast(offsets), "_part")
-    start, number = F.col("_before") + F.col("_offset"), F.floor(F.col("_before") / block).cast("int")
-    last = F.floor((F.col("_before") + F.col("_n") - 1) / block).cast("int")
-    index = index.select(F.col("_id").alias("doc_id"), start.alias("start"), F.col("_n").alias("n_tokens"), F.col("_part").alias("part"), number.alias("number"), last.alias("last"))
-    index.write.parquet(f"{path}/index")
+    order = ["_id", "_tie", "_at"]
+    rows = tokens.withColumn("_at", F.monotonically_increasing_id())  # parts equal rows, too
+    ranged = rows.repartitionByRange(_ranges(sum(counts.values()), spark.sparkContext.defaultParallelism), *order).sortWithinPartitions(*order)
+    placed = ranged.select(F.spark_partition_id().alias("part"), F.col("_id").cast("bigint"), "_n", "_ids")
+    placed.mapInArrow(partial(_blocks, code=Code(code), block=block), BLOCKS).write.parquet(f"{path}/blocks")
 
-    placed = rows.join(F.broadcast(offsets), "_part").select("_part", "_offset", "_ids", "_id", "_tie")
-    ordered = placed.repartition("_part").sortWithinPartitions("_part", "_id", "_tie").select("_part", "_offset", "_ids")
-    ordered.mapInArrow(partial(_blocks, code=Code(code), block=block), BLOCKS).write.parquet(f"{path}/blocks")
+    totals = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")).write.parquet(f"{path}/parts")
 
 
 def read_code(spark: SparkSession, path: str) -> Code:
@@ -315,13 +312,13 @@ def _slices(batches, code: Code):
     """Of every block the pieces of its documents: (doc_id, start, n_tokens, at, ids)."""
     for batch in batches:
         rows = batch.to_pydict()
-        for first, n, states, words, crc, docs in zip(*(rows[c] for c in ("first", "n", "states", "words", "crc", "docs"))):
+        for offset, first, n, states, words, crc, docs in zip(*(rows[c] for c in ("offset", "first", "n", "states", "words", "crc", "docs"))):
             ids = _decoded(code, states, words, n, crc).astype("<u4")
             low = [max(d["start"], first) for d in docs]
             parts = [ids[a - first : min(d["start"] + d["n_tokens"], first + n) - first].tobytes() for a, d in zip(low, docs)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([d["doc_id"] for d in docs], pa.int64()), pa.array([d["start"] for d in docs], pa.int64())]
-                + [pa.array([d["n_tokens"] for d in docs], pa.int64()), pa.array(low, pa.int64()), pa.array(parts, pa.binary())],
+                [pa.array([d["doc_id"] for d in docs], pa.int64()), pa.array([offset + d["start"] for d in docs], pa.int64())]
+                + [pa.array([d["n_tokens"] for d in docs], pa.int64()), pa.array([offset + a for a in low], pa.int64()), pa.array(parts, pa.binary())],
                 ["doc_id", "start", "n_tokens", "at", "ids"],
             )
 
@@ -329,16 +326,14 @@ def _slices(batches, code: Code):
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): the ids of every document, as bytes of little-endian unsigned 32-bit integers.
 
-    Blocks are decoded in parallel, each with the list of its documents, which the size of a block bounds. Only documents that
-    span blocks are put together in a further shuffle.
+    Blocks are decoded in parallel, each with its documents beside it. Only documents that span blocks are put together in a
+    shuffle. The offsets that are broadcast are 12 bytes per `RANGE` ids.
     """
     ship(spark)
-    index = spark.read.parquet(f"{path}/index")
-    spans = index.select("part", F.explode(F.sequence("number", "last")).alias("number"), F.struct("doc_id", "start", "n_tokens").alias("doc"))
-    docs = spans.groupBy("part", "number").agg(F.collect_list("doc").alias("docs"))
-    blocks = spark.read.parquet(f"{path}/blocks").join(docs, ["part", "number"])
+    parts = spark.read.schema("part int, offset bigint").parquet(f"{path}/parts")
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").join(F.broadcast(parts), "part")
     schema = "doc_id bigint, start bigint, n_tokens bigint, at bigint, ids binary"
-    found = blocks.select("first", "n", "states", "words", "crc", "docs").mapInArrow(partial(_slices, code=read_code(spark, path)), schema)
+    found = blocks.select("offset", "first", "n", "states", "words", "crc", "docs").mapInArrow(partial(_slices, code=read_code(spark, path)), schema)
     whole = F.octet_length("ids") == F.col("n_tokens") * 4
     pieces = found.where(~whole).groupBy("doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("pieces"))
     joined = F.aggregate("pieces", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids")

@@ -77,6 +77,24 @@ def test_repeated_and_no_rows(spark):
     assert token_files.write_and_read(docs.limit(0), PATH, 1).count() == 0
 
 
+def test_ranges_follow_the_ids_and_split_equal_ones(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "RANGE", 500)
+    docs = spark.createDataFrame([(7, "the same words")] * 900 + [(8, "others"), (None, "none")], "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "files")
+    token_files.write_files(docs, path, PATH, 1, block=64)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    sizes = [r["n"] for r in blocks.groupBy("part").sum("n").withColumnRenamed("sum(n)", "n").collect()]
+    assert len(sizes) >= 6 and max(sizes) < 1500 and spark.read.parquet(f"{path}/parts").count() == len(sizes)
+    read = sorted(map(tuple, token_files.read_documents(spark, path).select("start", "doc_id", "n_tokens").collect()))
+    assert [r[1] for r in read] == [None] + [7] * 900 + [8]
+    assert [r[0] for r in read] == [sum(x[2] for x in read[:k]) for k in range(len(read))]
+
+
+def test_number_of_ranges():
+    assert token_files._ranges(0, 8) == 1 and token_files._ranges(token_files.BLOCK + 1, 8) == 2
+    assert token_files._ranges(token_files.RANGE * 8, 8) == 8 and token_files._ranges(token_files.RANGE * 1000, 8) == 1000
+
+
 def test_damage_is_found(spark, tmp_path):
     docs = spark.createDataFrame([(k, f"some words {k}") for k in range(50)], "doc_id long, text string")
     path = str(tmp_path / "files")
