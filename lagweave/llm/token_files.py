@@ -35,6 +35,7 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..sources.shared import fresh_path, stored
@@ -46,12 +47,15 @@ LANES = 1024
 BLOCK = 1 << 18
 RANGE = 1 << 25  # ids of a range, two bytes each
 LOW = np.uint64(1 << 31)  # lower bound of a state; words of 32 bits
-CACHED = 100_000  # words of a generation
+CACHED = 400_000  # words of a generation
 TOGETHER = 64  # words of one call
-GROUP = 1 << 20  # bytes of text held as words at a time
+GROUP = 1 << 22  # bytes of text held as words at a time
 WORD = 48
-#: Small letters of Latin-1: pieces by themselves, which no normalization changes.
-LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: Small letters of Latin-1 (in UTF-8 0xC3 and 0x9F to 0xB6 or 0xB8 to 0xBF): pieces by themselves, which no normalization changes.
+LETTER = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
+LETTERS = re.compile(LETTER).fullmatch
+#: Such letters and ASCII signs after them, which are a piece of their own; not the apostrophe, which may begin a short form.
+TAILED = re.compile(rb"(%s)([!-&(-/:-@\[-`{-~]+)" % LETTER).fullmatch
 
 
 # Tokenizing
@@ -83,12 +87,12 @@ class WordEncoder:
         mark = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(min(SYMBOLS, self.tokenizer.get_vocab_size()))]
         self.last = np.array([bool(mark) and t.endswith(mark) for t in tokens])
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
 
-    def _by_merges(self, words: list[str]) -> Iterator[bytes]:
+    def _by_merges(self, words: list[bytes]) -> Iterator[bytes]:
         """The ids of words of `LETTERS`."""
-        joined = [" ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
+        joined = [b" ".join(words[k : k + TOGETHER]).decode() for k in range(0, len(words), TOGETHER)]
         flat = array("H")
         for e in self.merges.encode_batch_fast(joined, add_special_tokens=False):
             flat.extend(e.ids)
@@ -98,42 +102,58 @@ class WordEncoder:
             raise ValueError("a word without the mark of its end")
         return (data[a:b] for a, b in zip([0, *ends], ends))
 
-    def _learn(self, missing: set[str]) -> None:
-        kept = {w: self.older[w] for w in missing & self.older.keys()}
-        self.known.update(kept)
-        missing = missing.difference(kept)
-        # A comma or full stop after a letter is a token of its own, so the word before it is looked up by itself.
-        ended = [w for w in missing if w[-1] in ",." and "a" <= w[-2:-1] <= "z"]
-        asked = missing.difference(ended)
-        asked.update([w[:-1] for w in ended], [w[-1] for w in ended])
-        asked.difference_update(self.known)
+    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that the younger generation has not, which then has those of up to `WORD` bytes."""
+        out, tailed, asked = {}, [], set()
+        for w in missing:
+            if (old := self.older.get(w)) is not None:
+                out[w] = old
+            elif parts := TAILED(w):
+                tailed.append((w, *parts.groups()))
+            else:
+                asked.add(w)
+        for _, head, tail in tailed:
+            asked.add(head)
+            asked.add(tail)
+        asked = [w for w in asked if w not in self.known and w not in out]
         letters = [w for w in asked if LETTERS(w)] if self.last.any() else []
-        others = list(asked.difference(letters))
+        others = list(set(asked).difference(letters))
         try:
-            self.known.update(zip(letters, self._by_merges(letters)))
-            found = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
-            self.known.update(zip(others, [array("H", e.ids).tobytes() for e in found]))
+            out.update(zip(letters, self._by_merges(letters)))
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)
+            out.update(zip(others, [array("H", e.ids).tobytes() for e in found]))
         except OverflowError:
             raise ValueError("ids beyond 16 bits") from None
-        self.known.update([(w, self.known[w[:-1]] + self.known[w[-1]]) for w in ended])
+
+        def ids(w):
+            return out[w] if w in out else self.known[w]
+
+        out.update([(w, ids(head) + ids(tail)) for w, head, tail in tailed])
+        self.known.update([(w, i) for w, i in out.items() if len(w) <= WORD])
+        return out
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """Ids of whole UTF-8 texts. The words are what stands between spaces and line feeds, which such a tokenizer drops.
 
-        It lowers letters, too; A to Z are lowered before the lookup, unless the text may hold a special token.
+        It lowers letters, too; A to Z are lowered before the lookup, unless the text may hold a special token. The different words of
+        all `texts` are looked up once, and their ids are taken by the places of the words.
         """
         if len(self.known) > CACHED:
-            self.known, self.older = {"": b""}, self.known
-        plain = [t if b"<|" in t else t.lower() for t in texts]
-        split = [t.decode("utf-8", "replace").replace("\n", " ").split(" ") for t in plain]
-        missing = set().union(*split).difference(self.known)
-        self._learn(missing)
-        last, table = array("H", [end]).tobytes(), self.known
-        out = [b"".join([*map(table.__getitem__, one), last]) for one in split]
-        for w in missing:
-            if len(w) > WORD:
-                del table[w]
-        return out
+            self.known, self.older = {b"": b""}, self.known
+        plain = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ") for t in texts]
+        split = pc.split_pattern(pa.array(plain, pa.large_binary()), " ")
+        places = split.flatten().dictionary_encode()
+        words = places.dictionary.to_pylist()
+        found = list(map(self.known.get, words))
+        missing = [w for w, ids in zip(words, found) if ids is None]
+        if missing:
+            learnt = self._learn(missing)
+            found = [learnt[w] if ids is None else ids for w, ids in zip(words, found)]
+        ids = pa.array(found, pa.large_binary()).take(places.indices)
+        offsets, data = np.frombuffer(ids.buffers()[1], np.int64), ids.buffers()[2]
+        bounds = offsets[split.offsets.to_numpy()].tolist()
+        last, whole = array("H", [end]).tobytes(), memoryview(data or b"")
+        return [bytes(whole[a:b]) + last for a, b in zip(bounds, bounds[1:])]
 
 
 @cache

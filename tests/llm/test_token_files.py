@@ -30,7 +30,7 @@ def test_words_equal_the_library_over_generations(monkeypatch):
     rng, library, encoder = random.Random(5), Tokenizer.from_file(PATH), token_files.WordEncoder(PATH)
     letters = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ×÷"
     for _ in range(60):
-        words = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 5, 60]))) + rng.choice(["", "", ",", ".", "!", ".,"]) for _ in range(20)]
+        words = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 5, 60]))) + rng.choice(["", "", ",", ".", "!", ".,", "***", "&&&.", "'s", "<|", "_-`", "!a.", "é.", "Ä$"]) for _ in range(20)]
         text = " ".join([*words, "the", "of,"])
         assert np.frombuffer(encoder.encode([text.encode()], 1)[0], np.uint16).tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
     assert len(encoder.known) <= 40 + 2 * 23 and encoder.older
