@@ -45,22 +45,43 @@ BITS = 20
 SYMBOLS = 1 << 16
 LANES = 1024
 BLOCK = 1 << 18
-RANGE = 1 << 25  # ids of a range, two bytes each
+RANGE = 1 << 24  # ids of a range, two bytes each
+STORED = 32  # blocks of a row group, which readers and writers hold at once
 LOW = np.uint64(1 << 31)  # lower bound of a state; words of 32 bits
-CACHED = 400_000  # words of a generation
+CACHED = 250_000  # words of a generation
 TOGETHER = 64  # words of one call
 GROUP = 1 << 22  # bytes of text held as words at a time
 WORD = 48
 #: Small letters of Latin-1 (in UTF-8 0xC3 and 0x9F to 0xB6 or 0xB8 to 0xBF): pieces by themselves, which no normalization changes.
-LETTER = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
-LETTERS = re.compile(LETTER).fullmatch
-#: Such letters and ASCII signs after them, which are a piece of their own; not the apostrophe, which may begin a short form.
-TAILED = re.compile(rb"(%s)([!-&(-/:-@\[-`{-~]+)" % LETTER).fullmatch
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: By byte: 1 for a letter of ASCII, 2 for the second byte of a letter of Latin-1, 3 for a sign of ASCII but the apostrophe.
+KINDS = np.zeros(256, np.uint8)
+KINDS[33:127], KINDS[ord("'")] = 3, 0
+KINDS[48:58], KINDS[65:91], KINDS[97:123] = 0, 1, 1
+KINDS[0x80:0xC0], KINDS[[0x97, 0xB7]] = 2, 0
 
 
 # Tokenizing
 
 
+def parted(text: bytes) -> bytes:
+    """A space between each letter of ASCII or Latin-1 and a sign after it, which begins a piece of its own; apostrophes may begin a short form."""
+    signs = np.frombuffer(text, np.uint8)
+    kinds = KINDS[signs]
+    letter = kinds == 1
+    letter[1:] |= (kinds[1:] == 2) & (signs[:-1] == 0xC3)
+    ends = np.flatnonzero(letter[:-1] & (kinds[1:] == 3))
+    return np.insert(signs, ends + 1, ord(" ")).tobytes() if len(ends) else text
+
+
+def _pieces(values: pa.LargeBinaryArray, bounds: np.ndarray | None = None) -> list[bytes]:
+    """The values, or what stands between the values at `bounds`."""
+    offsets, data = np.frombuffer(values.buffers()[1], np.int64)[: len(values) + 1], values.buffers()[2]
+    at = (offsets if bounds is None else offsets[bounds]).tolist()
+    whole = data.to_pybytes() if data is not None else b""
+    return [whole[a:b] for a, b in zip(at, at[1:])]
+
+
 class WordEncoder:
     """Ids of words, as bytes of 16-bit numbers, for tokenizers that drop white space; with a bounded cache of two generations.
 
@@ -104,19 +125,9 @@ class WordEncoder:
 
     def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
         """The ids of words that the younger generation has not, which then has those of up to `WORD` bytes."""
-        out, tailed, asked = {}, [], set()
-        for w in missing:
-            if (old := self.older.get(w)) is not None:
-                out[w] = old
-            elif parts := TAILED(w):
-                tailed.append((w, *parts.groups()))
-            else:
-                asked.add(w)
-        for _, head, tail in tailed:
-            asked.add(head)
-            asked.add(tail)
-        asked = [w for w in asked if w not in self.known and w not in out]
-        letters = [w for w in asked if LETTERS(w)] if self.last.any() else []
+        out = {w: self.older[w] for w in missing if w in self.older}
+        asked = [w for w in missing if w not in out]
+        letters = list(filter(LETTERS, asked)) if self.last.any() else []
         others = list(set(asked).difference(letters))
         try:
             out.update(zip(letters, self._by_merges(letters)))
@@ -124,36 +135,29 @@ class WordEncoder:
             out.update(zip(others, [array("H", e.ids).tobytes() for e in found]))
         except OverflowError:
             raise ValueError("ids beyond 16 bits") from None
-
-        def ids(w):
-            return out[w] if w in out else self.known[w]
-
-        out.update([(w, ids(head) + ids(tail)) for w, head, tail in tailed])
         self.known.update([(w, i) for w, i in out.items() if len(w) <= WORD])
         return out
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """Ids of whole UTF-8 texts. The words are what stands between spaces and line feeds, which such a tokenizer drops.
 
-        It lowers letters, too; A to Z are lowered before the lookup, unless the text may hold a special token. The different words of
-        all `texts` are looked up once, and their ids are taken by the places of the words.
+        It lowers letters, too; A to Z are lowered and signs parted from letters before the lookup, unless the text may hold a special
+        token. The different words of all `texts` are looked up once, and their ids are taken by the places of the words.
         """
         if len(self.known) > CACHED:
             self.known, self.older = {b"": b""}, self.known
-        plain = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ") for t in texts]
+        plain = [(t if b"<|" in t else parted(t.lower())).replace(b"\n", b" ") for t in texts]
         split = pc.split_pattern(pa.array(plain, pa.large_binary()), " ")
         places = split.flatten().dictionary_encode()
-        words = places.dictionary.to_pylist()
+        words = _pieces(places.dictionary)
         found = list(map(self.known.get, words))
         missing = [w for w, ids in zip(words, found) if ids is None]
         if missing:
             learnt = self._learn(missing)
             found = [learnt[w] if ids is None else ids for w, ids in zip(words, found)]
         ids = pa.array(found, pa.large_binary()).take(places.indices)
-        offsets, data = np.frombuffer(ids.buffers()[1], np.int64), ids.buffers()[2]
-        bounds = offsets[split.offsets.to_numpy()].tolist()
-        last, whole = array("H", [end]).tobytes(), memoryview(data or b"")
-        return [bytes(whole[a:b]) + last for a, b in zip(bounds, bounds[1:])]
+        last = array("H", [end]).tobytes()
+        return [t + last for t in _pieces(ids, split.offsets.to_numpy())]
 
 
 @cache
@@ -310,7 +314,7 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, end: int, id_column
     rows = tokens.withColumn("_at", F.monotonically_increasing_id())  # parts equal rows, too
     ranged = rows.repartitionByRange(_ranges(sum(counts.values()), spark.sparkContext.defaultParallelism), *order).sortWithinPartitions(*order)
     placed = ranged.select(F.spark_partition_id().alias("part"), F.col("_id").cast("bigint"), "_n", "_ids")
-    placed.mapInArrow(partial(_blocks, code=Code(code), block=block), BLOCKS).write.parquet(f"{path}/blocks")
+    placed.mapInArrow(partial(_blocks, code=Code(code), block=block), BLOCKS).write.option("parquet.block.row.count.limit", STORED).parquet(f"{path}/blocks")
 
     totals = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
