@@ -4,14 +4,14 @@ Format. A folder with three Parquet tables:
 
 * `table`: one row (id, frequency) per symbol that occurs; the frequencies are shared by all blocks and add up to 2^BITS.
 * `blocks`: one row per block of up to `block` ids: part, number of the block in its part, first position in the part, number of
-  ids, the checkpoint (final states of the lanes), the words the lanes put out, a CRC-32 of the ids, and `docs`, the
-  documents with ids in the block in ascending order: doc_id, start in the part, number of ids. A block has at most `block` of them.
+  ids, whether it is one of several of a document (`spans`; else its documents are whole), the checkpoint (final states of the lanes),
+  the words the lanes put out, a CRC-32 of the ids, and `docs`, the documents with ids in the block in ascending order: doc_id, start in
+  the part, number of ids. A block has at most `block` of them.
 * `parts`: one row (part, offset) per part, the ids of all parts before it.
 
 A block is coded by itself, so any block can be decoded in parallel and after a seek: the column `docs` tells which blocks hold a
-document. Inside a block the ids lie in LANES columns that
-are coded in lockstep, each with its own 32-bit state, row by row from the last; words that leave the states go to one stream, in an
-order the decoder repeats. The states at the end of the encoder are the checkpoint the decoder starts from.
+document. Inside a block the ids lie in LANES columns that are coded in lockstep, each with its own 32-bit state, row by row from the
+last; words that leave the states go to one stream, in an order the decoder repeats. The states at the end of the encoder are the checkpoint the decoder starts from.
 
 Symbols are 16-bit values: ids of larger vocabularies would take two symbols (`SYMBOLS` bounds them, larger ids are an
 error). Every id of the vocabulary that occurs has a frequency of one at least.
@@ -19,7 +19,7 @@ error). Every id of the vocabulary that occurs has a frequency of one at least.
 Order and positions. Texts are tokenized once and stored. The rows move once, into ranges of (id, hash of the text, place in the
 stored table), whose number follows from the count of ids, about `RANGE` of them each, so no range grows with the data and rows with
 equal ids are split like others. The blocks are cut where the ranges are sorted, with positions that count from the start of the
-range; a running sum over one row per range gives the rest. Blocks end at the end of a range.
+range; a running sum over one row per range gives the rest. Blocks end before a document that would not fit, and at the end of a range.
 
 Defined cases: NULL texts are empty; every document ends with the end id, so none is without ids. Ids are numbers. Documents with equal
 or NULL ids lie next to each other, NULL first, in the order of a hash of their texts. Repeated rows are written each. An
@@ -36,7 +36,7 @@ from functools import cache, partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..sources.shared import fresh_path, stored
 from .common import groups_of, map_batches, ship, text_of, utf8
@@ -260,40 +260,40 @@ class Code:
 
 
 DOC = "struct<doc_id: bigint, start: bigint, n_tokens: bigint>"
-BLOCKS = f"part int, number int, first bigint, n int, states binary, words binary, crc bigint, docs array<{DOC}>"
+BLOCKS = f"part int, number int, first bigint, n int, spans boolean, states binary, words binary, crc bigint, docs array<{DOC}>"
 
 
 def _blocks(batches, code: Code, block: int):
-    """Blocks of a part, whose rows arrive in order, so that blocks span documents and batches."""
-    waiting, size, number, first, upto, held = [], 0, 0, 0, 0, []
-    doc = pa.struct([(c, pa.int64()) for c in ("doc_id", "start", "n_tokens")])
+    """Blocks of a part, whose rows arrive in order. A document of over `block` ids has blocks of its own."""
+    number, first, waiting, held, size = 0, 0, [], [], 0
+    entry = pa.struct([(c, pa.int64()) for c in ("doc_id", "start", "n_tokens")])
     schema = pa.schema(
-        [("part", pa.int32()), ("number", pa.int32()), ("first", pa.int64()), ("n", pa.int32())]
-        + [("states", pa.binary()), ("words", pa.binary()), ("crc", pa.int64()), ("docs", pa.list_(doc))]
+        [("part", pa.int32()), ("number", pa.int32()), ("first", pa.int64()), ("n", pa.int32()), ("spans", pa.bool_())]
+        + [("states", pa.binary()), ("words", pa.binary()), ("crc", pa.int64()), ("docs", pa.list_(entry))]
     )
 
-    def cut(data: np.ndarray):
-        nonlocal number, first, held
-        states, words = code.encode(data)
-        docs = [d for d in held if d["start"] < first + len(data)]
-        row = [part, number, first, len(data), states, words, zlib.crc32(data.astype("<u2").tobytes()), docs]
+    def cut(ids: bytes, docs: list[dict], spans: bool):
+        nonlocal number, first
+        data = np.frombuffer(ids, np.uint16)
+        row = [part, number, first, len(data), spans, *code.encode(data), zlib.crc32(data.astype("<u2").tobytes()), docs]
         number, first = number + 1, first + len(data)
-        held = [d for d in held if d["start"] + d["n_tokens"] > first]
         return pa.RecordBatch.from_pylist([dict(zip(schema.names, row))], schema)
 
     for batch in batches:
         for part, i, n, ids in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            held.append({"doc_id": i, "start": upto, "n_tokens": n})
-            waiting.append(ids)
-            size, upto = size + n, upto + n
-            if size >= block:
-                data = np.frombuffer(b"".join(waiting), np.uint16)
-                whole = size - size % block
-                for k in range(0, whole, block):
-                    yield cut(data[k : k + block])
-                waiting, size = [data[whole:].tobytes()], size - whole
-    if size:
-        yield cut(np.frombuffer(b"".join(waiting), np.uint16))
+            if held and size + n > block:
+                yield cut(b"".join(waiting), held, False)
+                waiting, held, size = [], [], 0
+            doc = {"doc_id": i, "start": first + size, "n_tokens": n}
+            if n > block:
+                for k in range(0, 2 * n, 2 * block):
+                    yield cut(ids[k : k + 2 * block], [doc], True)
+            else:
+                waiting.append(ids)
+                held.append(doc)
+                size += n
+    if held:
+        yield cut(b"".join(waiting), held, False)
 
 
 def _ranges(total: int, parallel: int) -> int:
@@ -350,18 +350,21 @@ def _slices(batches, code: Code):
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): the ids of every document, as bytes of little-endian unsigned 32-bit integers.
 
-    Blocks are decoded in parallel, each with its documents beside it. Only documents that span blocks are put together in a
-    shuffle. The offsets that are broadcast are 12 bytes per `RANGE` ids.
+    Every block is decoded once, with its documents beside it. Only documents of several blocks are put together in a shuffle.
+    The offsets that are broadcast are 12 bytes per `RANGE` ids.
     """
     ship(spark)
     parts = spark.read.schema("part int, offset bigint").parquet(f"{path}/parts")
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").join(F.broadcast(parts), "part")
-    schema = "doc_id bigint, start bigint, n_tokens bigint, at bigint, ids binary"
-    found = blocks.select("offset", "first", "n", "states", "words", "crc", "docs").mapInArrow(partial(_slices, code=read_code(spark, path)), schema)
-    whole = F.octet_length("ids") == F.col("n_tokens") * 4
-    pieces = found.where(~whole).groupBy("doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("pieces"))
+    pieces_of = partial(_slices, code=read_code(spark, path))
+
+    def decoded(chosen: Column) -> DataFrame:
+        rows = blocks.where(chosen).select("offset", "first", "n", "states", "words", "crc", "docs")
+        return rows.mapInArrow(pieces_of, "doc_id bigint, start bigint, n_tokens bigint, at bigint, ids binary")
+
+    pieces = decoded(F.col("spans")).groupBy("doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("pieces"))
     joined = F.aggregate("pieces", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids")
-    return found.where(whole).select("doc_id", "start", "n_tokens", "ids").union(pieces.select("doc_id", "start", "n_tokens", joined))
+    return decoded(~F.col("spans")).select("doc_id", "start", "n_tokens", "ids").union(pieces.select("doc_id", "start", "n_tokens", joined))
 
 
 def write_and_read(docs: DataFrame, vocabulary: str, end: int, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK) -> DataFrame:
