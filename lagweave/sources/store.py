@@ -55,11 +55,12 @@ def write_windows(
 ) -> str:
     """The window table, in folders by split and, if `per_site`, by site; returns what `materialise` does.
 
-    Rows are ranged by (split, site, time) first: a folder then gets few files, and a hot site several of equal size.
+    Rows are dealt by (split, site) first: a folder then gets few files, and a hot site, whose share adaptive execution splits, several of about
+    equal size. They are not ranged, as the sample for that would compute all windows a second time.
     """
     by = ["split", "site_id"] if per_site else ["split"]
-    ranged = windows.repartitionByRange("split", "site_id", "idx") if per_site else windows
-    return materialise(ranged, path, force, by=by, parameters=parameters, inputs=inputs)
+    dealt = windows.hint("rebalance", "split", "site_id") if per_site else windows
+    return materialise(dealt, path, force, by=by, parameters=parameters, inputs=inputs)
 
 
 def read_windows(spark: SparkSession, path: str) -> DataFrame:
