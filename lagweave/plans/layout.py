@@ -8,7 +8,7 @@ from ..operators import catalog, forecast, scale
 from ..operators.permute import permuted, permuted_tail
 from ..operators.lookup import lookup
 from ..sources import buckets, clustered
-from ..sources.shared import fresh_path, stored
+from ..sources.shared import compiled, fresh_path, stored
 from . import queries as base
 from .queries import rounded
 
@@ -16,7 +16,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(function):
-    REGISTRY[function.__name__] = function
+    REGISTRY[function.__name__] = compiled(function)
     return function
 
 

@@ -8,7 +8,7 @@ from ..operators import history, reshape
 from ..sources import days, store
 from ..sources.manifest import list_files
 from ..sources.events import read_table
-from ..sources.shared import discard, fresh_path, stored
+from ..sources.shared import compiled, discard, fresh_path, stored
 from . import queries as base
 from .queries import rounded
 
@@ -16,7 +16,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(function):
-    REGISTRY[function.__name__] = function
+    REGISTRY[function.__name__] = compiled(function)
     return function
 
 
