@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .shared import stored
 from .store import materialise
 
 INDEX = "_index"  # readers of the table pass over names with an underscore
@@ -22,7 +23,8 @@ def write_clustered(
     Take the size of the table through some hundred MB as the number of files. The ranges are sampled. Rows without a site are kept, in the first file; they belong to no site.
     """
     known = {**(parameters or {}), "files": files}
-    ranged = windows.repartitionByRange(files, "site_id", "idx").sortWithinPartitions("site_id", "idx")
+    # The sample for the ranges reads the rows a second time, so they are computed before.
+    ranged = stored(windows, "windows").repartitionByRange(files, "site_id", "idx").sortWithinPartitions("site_id", "idx")
     state = materialise(ranged, path, force, parameters=known, inputs=inputs)
     spark = windows.sparkSession
     rows = spark.read.schema(windows.schema).parquet(path).select("site_id", F.col("_metadata.file_name").alias("file"))
