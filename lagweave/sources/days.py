@@ -21,7 +21,7 @@ from pyspark.sql.types import DateType, StructType
 
 from ..functions.scaling import span
 from ..operators.lookup import lookup
-from ..operators.sequence import chunk_summaries, lag_frame
+from ..operators.sequence import pack_chunks, packed_lag_frame, packed_summaries
 from ..operators.windows import LENGTH, MARGIN, TRAIN_SHARE, lag_names, train_size
 from .manifest import _place
 from .shared import stored
@@ -47,10 +47,10 @@ def _read(spark: SparkSession, path: str, schema: StructType | None = None) -> D
     return spark.read.schema(schema).parquet(path)
 
 
-def _replace(rows: DataFrame, path: str) -> None:
-    """Replaces the folders of the days that `rows` has, each as a whole; a day's rows are dealt to tasks by key."""
-    dealt = rows.repartition("chunk", *[k for k in KEYS if k in rows.columns])
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
+def _replace(rows: DataFrame, path: str, dealt: bool = False) -> None:
+    """Replaces the folders of the days that `rows` has, each as a whole; a day's rows are dealt to tasks by key, or `dealt` so already."""
+    rows = rows if dealt else rows.repartition("chunk", *[k for k in KEYS if k in rows.columns])
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
 
 
 def append_days(new: DataFrame, path: str, length: int = LENGTH) -> None:
@@ -75,12 +75,13 @@ def append_days(new: DataFrame, path: str, length: int = LENGTH) -> None:
         known = _read(spark, f"{path}/summaries").where(F.col("chunk") < F.lit(first).cast("date"))
         # The writes below replace folders that this plan does not read; the copy keeps it so for lost tasks too.
         before = stored(known, "summaries-before")
-    raw = lag_frame(later.drop("chunk"), KEYS, ORDER, VALUE, length, F.to_date("ts"), before=before)
+    # Each day of a site is sorted once, as one row, which summaries, windows and presence are taken from.
+    packed = stored(pack_chunks(later, KEYS, ORDER, VALUE, F.to_date("ts")), "packed")
+    raw = packed_lag_frame(packed, KEYS, VALUE, length, before)
     windows = raw.select("site_id", "location", "ts", "chunk", "idx", *lag_names(length), F.col(VALUE).alias("y"))
-    summaries = chunk_summaries(later.drop("chunk"), KEYS, ORDER, VALUE, length, F.to_date("ts"))
-    _replace(summaries, f"{path}/summaries")
-    _replace(windows, f"{path}/windows")
-    _replace(_presence(later), f"{path}/presence")
+    _replace(packed_summaries(packed, KEYS, VALUE, length), f"{path}/summaries")
+    _replace(windows, f"{path}/windows", dealt=True)
+    _replace(_presence(packed), f"{path}/presence")
 
 
 def _check_whole(spark: SparkSession, path: str) -> None:
@@ -112,9 +113,10 @@ def read_windows(spark: SparkSession, path: str, share: float = TRAIN_SHARE, sca
     )
 
 
-def _presence(rows: DataFrame) -> DataFrame:
+def _presence(packed: DataFrame) -> DataFrame:
     """Per site and day: the number of rows, and the first row's time and location."""
-    return rows.groupBy("site_id", "chunk").agg(F.count(F.lit(1)).alias("points"), F.min(F.struct(*ORDER)).alias("first"))
+    first = F.struct(*[F.get("rows", F.lit(0))[c].alias(c) for c in ORDER])
+    return packed.select("site_id", "chunk", F.size("rows").cast("bigint").alias("points"), first.alias("first"))
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
