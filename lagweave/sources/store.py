@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.clean import canonical_id
 from .manifest import describe, state_of, write_manifest
+from .shared import open_writers
 
 CATALOG_SCHEMA = "site_id string, location string, train_samples bigint, test_samples bigint"
 HISTORY_SCHEMA = "loss double, mape double, val_loss double, val_mape double"
@@ -60,6 +61,9 @@ def write_windows(
     """
     by = ["split", "site_id"] if per_site else ["split"]
     dealt = windows.hint("rebalance", "split", "site_id") if per_site else windows
+    if not per_site:  # two folders
+        with open_writers(windows.sparkSession, 2):
+            return materialise(dealt, path, force, by=by, parameters=parameters, inputs=inputs)
     return materialise(dealt, path, force, by=by, parameters=parameters, inputs=inputs)
 
 
