@@ -1,5 +1,6 @@
 """Changes for larger tables: same results, less work."""
 
+import datetime as dt
 import math
 import random
 
@@ -7,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lagweave.functions.rounding import round6
-from lagweave.operators import boost, windows as win
+from lagweave.operators import boost, forecast, reshape, windows as win
 from lagweave.plans import queries
-from lagweave.sources import store
+from lagweave.sources import clustered, store
 
 
 def _windows(spark, sites=3, n=60):
@@ -79,3 +80,69 @@ def test_written_windows_are_not_sampled(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(store, "materialise", lambda df, path, *a, **b: seen.append(df))
     store.write_windows(_windows(spark), f"{tmp_path}/windows")
     assert "RepartitionByExpression" not in _plan(seen[0]) and "RebalancePartitions" in _plan(seen[0])
+
+
+def _wide(spark, days=9, text=False):
+    rng = random.Random(8)
+    start, rows = dt.date(2024, 1, 1), []
+    for site, locations in (("7", ["b", "a", None]), ("31", ["x"]), (None, ["a"])):
+        for loc in locations:
+            for k in rng.sample(range(days), days - 2) + [3, 3]:  # a day that is there twice and days that lack
+                cells = [rng.choice([None, math.nan, 0.0, float(rng.randint(0, 9))]) for _ in range(4)]
+                rows.append((site, loc, start + dt.timedelta(days=k), *[(None if c is None else str(c)) if text else c for c in cells]))
+    rows.append(("7", "a", None, *[("1" if text else 1.0)] * 4))
+    slots = ", ".join(f"{c} {'string' if text else 'double'}" for c in ("V00", "V03", "V40", "V95"))
+    return spark.createDataFrame(rows, f"site_id string, location string, day date, {slots}")
+
+
+def _same_rows(a, b):
+    assert sorted(a.columns) == sorted(b.columns)
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+    assert a.count() > 0
+
+
+@pytest.mark.parametrize("text", [False, True])
+@pytest.mark.parametrize("length", [3, 12, 20])
+def test_packed_windows_are_the_windows(spark, length, text):
+    """Chunks of fewer and of more rows than lags; approaches at the same time, days that lack or come twice."""
+    wide = _wide(spark, text=text)
+    _same_rows(win.packed_lag_windows(reshape.wide_to_packed(wide), length=length), win.lag_windows(reshape.wide_to_long(wide), length=length))
+
+
+def test_packed_windows_with_the_day_before(spark):
+    wide = _wide(spark)
+    made = win.packed_lag_windows(reshape.wide_to_packed(wide, previous=True), made=(1,))
+    long = win.lag_windows(forecast.with_previous_period(reshape.wide_to_long(wide)))
+    kept = [c for c in long.columns if not c.startswith("lag_") or c == "lag_1"]
+    # Rows that come twice have one order only up to the previous value, which is that of the slot for both.
+    _same_rows(made, long.select(kept))
+
+
+def test_windows_of_events_move_days_and_sort_no_rows(spark, small):
+    plan = queries.windows(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan
+    own = plan.split("\n")
+    assert not [line for k, line in enumerate(own) if "Generate" in line and any("Exchange" in later for later in own[:k])]
+
+
+def test_two_folders_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(store, "materialise", lambda df, path, *a, **b: seen.append(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")))
+    store.write_windows(_windows(spark), f"{tmp_path}/pooled", per_site=False)
+    store.write_windows(_windows(spark), f"{tmp_path}/by_site")
+    assert seen == ["2", "0"] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_ranged_windows_are_computed_once(spark, tmp_path, monkeypatch):
+    stores = []
+    monkeypatch.setattr(clustered, "stored", lambda df, name, keep=clustered.stored: (stores.append(name), keep(df, name))[1])
+    clustered.write_clustered(_windows(spark), f"{tmp_path}/t", 2)
+    assert stores == ["windows"]
+
+
+def test_pooled_fit_reads_stored_rows(spark, small, monkeypatch):
+    seen = []
+    monkeypatch.setattr(forecast, "fit_model", lambda kind, rows, keep=forecast.fit_model, **how: (seen.append(rows), keep(kind, rows, **how))[1])
+    queries.REGISTRY["fit_pooled_linear"](spark, small)
+    assert "FileScan" in seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in _plan(seen[0]) and seen[0].columns == ["split", "lag_2", "lag_1", "y"]
