@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .manifest import describe, files_read, state_of
 from .shared import stored
 from .store import materialise
 
@@ -23,10 +24,13 @@ def write_clustered(
     Take the size of the table through some hundred MB as the number of files. The ranges are sampled. Rows without a site are kept, in the first file; they belong to no site.
     """
     known = {**(parameters or {}), "files": files}
-    # The sample for the ranges reads the rows a second time, so they are computed before.
-    ranged = stored(windows, "windows").repartitionByRange(files, "site_id", "idx").sortWithinPartitions("site_id", "idx")
-    state = materialise(ranged, path, force, parameters=known, inputs=inputs)
     spark = windows.sparkSession
+    inputs = files_read(windows) if inputs is None else inputs
+    known_already = not force and state_of(spark, path, describe(windows, known, inputs)) == "present"
+    # The sample for the ranges reads the rows a second time, so they are computed before, unless nothing is written.
+    rows = windows if known_already else stored(windows, "windows")
+    ranged = rows.repartitionByRange(files, "site_id", "idx").sortWithinPartitions("site_id", "idx")
+    state = materialise(ranged, path, force, parameters=known, inputs=inputs)
     rows = spark.read.schema(windows.schema).parquet(path).select("site_id", F.col("_metadata.file_name").alias("file"))
     index = rows.groupBy("file").agg(F.min("site_id").alias("low"), F.max("site_id").alias("high"), F.count(F.lit(1)).alias("n_rows"))
     # Its manifest names the files of the table, so an index of other files is written anew.
