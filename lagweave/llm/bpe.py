@@ -11,7 +11,8 @@
 
 A cut is certain before white space that follows another character: byte-level pre-tokenizers with the pattern of
 `public_tokenizers.PATTERN` never join characters across it, and never look back. Words between such cuts are encoded by the tokenizers
-library, in batches, and kept in a bounded cache per worker, so the result is that of encoding whole texts.
+library, many new ones as one text whose ids are dealt out by their bytes, and kept in a bounded cache per worker, so the result is
+that of encoding whole texts.
 
 Equal texts are encoded once. The text moves in one shuffle, by the digest of the text, with copies combined before it; both
 uses read the same exchange. Defined cases: NULL texts are empty and have no ids. Repeated rows give a row each. Rows with a NULL id
@@ -35,11 +36,13 @@ from .common import groups_of, map_batches, text_of, utf8
 #: The characters with the Unicode property White_Space, as a character class.
 BLANKS = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
+SIGNS = frozenset(re.findall(f"[{BLANKS}]", "".join(map(chr, range(0x3001)))))
 MASK = np.uint32((1 << 10) - 1)
 LEAST = 128
 CACHED = 150_000  # pieces of a generation
 GROUP = 1 << 20  # bytes of text held as pieces at a time
 WORD = 64
+JOINED = 1000  # words given to the library as one text
 #: A random number per byte for the rolling hash.
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, np.uint32)
 
@@ -73,6 +76,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        self.path = path
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -81,28 +85,42 @@ class Encoder:
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.passing: set[str] = set()  # long pieces, which stay for one call only
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """A table that has all of the pieces."""
+        """A table that has all of the pieces, to be used before the next call."""
+        for piece in self.passing:
+            self.known.pop(piece, None)
         if len(self.known) > CACHED:
             self.known, self.older = {}, self.known
-        missing = pieces - self.known.keys()
+        # `difference` looks the pieces up in the table; a minus of its keys would go over the whole table.
+        missing = pieces.difference(self.known)
         # A comma or full stop after a letter is a token of its own, so the piece before it is looked up by itself.
         ended = {p for p in missing if p[-1:] in (",", ".") and "a" <= p[-2:-1] <= "z" and "<|" not in p}
         wanted = (missing - ended) | {p[:-1] for p in ended} | {p[-1] for p in ended}
         kept = {p: self.older[p] for p in wanted & self.older.keys()}
-        asked = list(wanted - kept.keys() - self.known.keys())
-        found = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
-        new = kept | {piece: array("I", e.ids).tobytes() for piece, e in zip(asked, found)}
-        long = {piece: ids for piece, ids in new.items() if len(piece) > WORD}
+        new = kept | self.encode(list(wanted.difference(kept).difference(self.known)))
         self.known.update(new)
         self.known.update([(p, self.known[p[:-1]] + self.known[p[-1]]) for p in ended])
-        if not long:
-            return self.known
-        table = self.known.copy()
-        for piece in long.keys() | {p for p in ended if len(p) > WORD}:
-            del self.known[piece]
-        return table
+        self.passing = {p for p in chain(new, ended) if len(p) > WORD}
+        return self.known
+
+    def encode(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces. Words with a certain cut on both sides go to the library many at a time, as one text."""
+        words, others = [], []
+        for p in pieces:
+            (words if p[0] in SIGNS and p[-1] not in SIGNS else others).append(p)
+        joined = self.tokenizer.encode_batch_fast(["".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in joined), np.uint32)
+        ends, wanted = np.cumsum(_sizes(self.path)[ids]), np.cumsum([len(p.encode()) for p in words], dtype=np.int64)
+        at = np.searchsorted(ends, wanted) + 1
+        if words and (at[-1] != len(ids) or (ends[at - 1] != wanted).any()):  # a vocabulary whose tokens are not the bytes of the text
+            words, others, at = [], pieces, at[:0]
+        packed, stops = ids.astype("<u4").tobytes(), (4 * at).tolist()
+        out = {p: packed[a:b] for p, a, b in zip(words, [0, *stops], stops)}
+        found = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        out.update([(p, array("I", e.ids).tobytes()) for p, e in zip(others, found)])
+        return out
 
 
 @cache
@@ -121,12 +139,19 @@ def _bytes_of_ids(path: str) -> list[bytes]:
     return [bytes(signs[c] for c in t) if all(c in signs for c in t) else t.encode() for t in tokens]
 
 
+@cache
+def _sizes(path: str) -> np.ndarray:
+    return np.array([len(b) for b in _bytes_of_ids(path)], np.int64)
+
+
 def _pieces(text: bytes) -> list[str]:
     return PIECE.findall(text.decode("utf-8", "replace"))
 
 
 def _plan(text: bytes, given: dict[int, bytes]) -> list[tuple[list[str], bytes | None, list[str]]]:
     """A text as steps (pieces to encode, shared ids or None, all pieces of the shared chunk)."""
+    if not given:
+        return [(_pieces(text), None, [])]
     steps, window = [], b""
     for number, chunk in enumerate(chunks(text)):
         own = _pieces(chunk)
@@ -146,7 +171,7 @@ def _assemble(steps, table) -> bytes:
     out = []
     for pieces, shared, own in steps:
         if shared is None:
-            out += [table[p] for p in pieces]
+            out += map(table.__getitem__, pieces)
             continue
         head, tail = table[pieces[0]], table[pieces[1]]
         out.append(shared[len(head) : len(shared) - len(tail)])
@@ -159,6 +184,10 @@ def _agrees(step, table) -> bool:
     return len(shared) >= len(head) + len(tail) and shared.startswith(head) and shared.endswith(tail)
 
 
+def _pieces_of(plans) -> set[str]:
+    return set().union(*(pieces for steps in plans for pieces, _, _ in steps))
+
+
 def encode_all(texts: list[bytes], given: list[dict[int, bytes]], path: str) -> list[bytes]:
     """The ids of whole texts; `given` has the ids of some of the chunks of each. Texts go in groups of bounded size."""
     return [ids for own in groups_of(texts, GROUP) for ids in _encode_group(texts[own], given[own], path)]
@@ -166,7 +195,7 @@ def encode_all(texts: list[bytes], given: list[dict[int, bytes]], path: str) ->
 
 def _encode_group(texts, given, path):
     plans = [_plan(t, g) for t, g in zip(texts, given)]
-    table = encoder(path).learn({p for steps in plans for pieces, _, _ in steps for p in pieces})
+    table = encoder(path).learn(_pieces_of(plans))
     wrong = set()
     for steps in plans:
         for k, step in enumerate(steps):
@@ -174,7 +203,7 @@ def _encode_group(texts, given, path):
                 steps[k] = (step[2][1:-1], None, [])
                 wrong.update(step[2])
     if wrong:
-        table = encoder(path).learn(wrong | {p for steps in plans for pieces, _, _ in steps for p in pieces})
+        table = encoder(path).learn(wrong | _pieces_of(plans))
     return [_assemble(steps, table) for steps in plans]
 
 

@@ -62,6 +62,38 @@ def test_decoding_equals_the_library(library):
         assert bpe.decode(np.array(ids, "<u4").tobytes(), PATH) == library.decode(ids, skip_special_tokens=False)
 
 
+class Counting:
+    """The library, with a count of the texts that it was given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_words_go_to_the_library_many_at_a_time(library):
+    encoder = bpe.Encoder(PATH)
+    encoder.tokenizer = Counting(encoder.tokenizer)
+    words = {f"{blank}w{k}{end}" for k in range(800) for blank, end in ((" ", ""), ("\n\n", "é!"), ("\u3000 ", "<|endoftext|>"), (" \t", "\x1c,"))}
+    pieces = words | {" ", "\n \n", "first", "x" * 300, " " + "漢" * 300}
+    table = encoder.learn(pieces)
+    assert {p: as_list(table[p]) for p in pieces} == {p: library.encode(p, add_special_tokens=False).ids for p in pieces}
+    assert encoder.tokenizer.texts < 20
+    again = encoder.learn({" w1", " " + "漢" * 300})
+    assert again is table and as_list(again[" " + "漢" * 300]) == library.encode(" " + "漢" * 300, add_special_tokens=False).ids
+    assert encoder.tokenizer.texts < 20
+    encoder.learn({" w1"})
+    assert not [p for p in encoder.known if len(p) > bpe.WORD]
+
+
+def test_a_vocabulary_of_other_tokens_is_asked_word_by_word():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, words = bpe.Encoder(path), [" one", " twoé", "\n three", "four", " "]
+    assert {p: as_list(i) for p, i in encoder.encode(words).items()} == {p: encoder.tokenizer.encode(p, add_special_tokens=False).ids for p in words}
+
+
 def test_documents(spark, library):
     rng = random.Random(8)
     passage = " ".join(f"w{rng.randrange(300)}" for _ in range(3000))
