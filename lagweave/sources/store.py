@@ -3,7 +3,7 @@
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.clean import canonical_id
@@ -11,6 +11,8 @@ from .manifest import describe, state_of, write_manifest
 from .shared import open_writers
 
 CATALOG_SCHEMA = "site_id string, location string, train_samples bigint, test_samples bigint"
+#: Partition column of windows by site, and how many groups there are: one site costs the reading of that share of the table.
+GROUP, GROUPS = "site_id_group", 256
 HISTORY_SCHEMA = "loss double, mape double, val_loss double, val_mape double"
 
 
@@ -51,39 +53,51 @@ def with_range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return df.sparkSession.read.parquet(path)
 
 
+def _group(site: Column) -> Column:
+    return F.pmod(F.xxhash64(site.cast("string")), F.lit(GROUPS)).cast("int")
+
+
 def write_windows(
     windows: DataFrame, path: str, per_site: bool = True, force: bool = False, parameters: Mapping | None = None, inputs: Sequence[str] | None = None
 ) -> str:
-    """The window table, in folders by split and, if `per_site`, by site; returns what `materialise` does.
+    """The window table, in folders by split and, if `per_site`, by group of sites; returns what `materialise` does.
 
-    Rows are dealt by (split, site) first: a folder then gets few files, and a hot site, whose share adaptive execution splits, several of about
-    equal size. They are not ranged, as the sample for that would compute all windows a second time.
+    A site's group is a digest of its id, so folders are bounded whatever the number of sites, and lie by site within: one site is read from its
+    group's folders. Rows are dealt by (split, group) first: a folder then gets few files, and a hot one, whose share adaptive execution splits,
+    several of about equal size. They are not ranged, as the sample for that would compute all windows a second time.
     """
-    by = ["split", "site_id"] if per_site else ["split"]
-    dealt = windows.hint("rebalance", "split", "site_id") if per_site else windows
     if not per_site:  # two folders
         with open_writers(windows.sparkSession, 2):
-            return materialise(dealt, path, force, by=by, parameters=parameters, inputs=inputs)
+            return materialise(windows, path, force, by=["split"], parameters=parameters, inputs=inputs)
+    by = ["split", GROUP]
+    dealt = windows.withColumn(GROUP, _group(F.col("site_id"))).hint("rebalance", *by).sortWithinPartitions(*by, "site_id")
     return materialise(dealt, path, force, by=by, parameters=parameters, inputs=inputs)
 
 
-def read_windows(spark: SparkSession, path: str) -> DataFrame:
-    """All windows, pooled. Site ids stay text although folder names may look like numbers."""
+def _stored_windows(spark: SparkSession, path: str) -> DataFrame:
+    """With the group, where there is one. Site ids stay text, also where they are folder names that look like numbers."""
     schema = spark.read.parquet(path).schema
     schema["site_id"].dataType = StringType()
     return spark.read.schema(schema).parquet(path)
 
 
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    """All windows, pooled."""
+    return _stored_windows(spark, path).drop(GROUP)
+
+
 def read_site(spark: SparkSession, path: str, site: str) -> DataFrame:
-    """Windows of one site; only its folders are read. An unknown site is an error."""
-    rows = read_windows(spark, path).where(F.col("site_id") == str(site))
+    """Windows of one site; only the folders of its group are read. An unknown site is an error."""
+    rows = _stored_windows(spark, path).where(F.col("site_id") == str(site))
+    if GROUP in rows.columns:
+        rows = rows.where(F.col(GROUP) == _group(F.lit(str(site)))).drop(GROUP)
     if rows.isEmpty():
         raise FileNotFoundError(f"no processed data for site {site}")
     return rows
 
 
 def stored_sites(spark: SparkSession, windows_path: str, catalog_path: str | None = None) -> DataFrame:
-    """Sites from the catalog if there is one, else from the folders of the window table."""
+    """Sites from the catalog if there is one, else from the window table."""
     if catalog_path:
         try:
             return read_catalog(spark, catalog_path).select("site_id")

@@ -111,6 +111,24 @@ def test_one_site_reads_its_folders_only(spark, windows, tmp_path):
     assert {r["site_id"] for r in store.stored_sites(spark, path).collect()} == {"970", "2000", "1e3"}
 
 
+def test_folders_do_not_grow_with_sites(spark, tmp_path):
+    path, sites = str(tmp_path / "w"), 3 * store.GROUPS
+    rows = spark.range(sites).select(F.col("id").cast("string").alias("site_id"), F.lit("train").alias("split"), F.col("id").alias("idx"))
+    rows = rows.union(spark.createDataFrame([(None, "test", -1)], "site_id string, split string, idx bigint"))
+    store.write_windows(rows, path)
+    assert len(list((tmp_path / "w").glob("split=train/*"))) <= store.GROUPS
+    assert sorted(r["idx"] for r in store.read_windows(spark, path).collect()) == list(range(-1, sites))
+    one = store.read_site(spark, path, "77")
+    assert [tuple(r[c] for c in rows.columns) for r in one.collect()] == [("77", "train", 77)]
+    assert "site_id_group" in one._jdf.queryExecution().toString().split("PartitionFilters: ")[1].split("]")[0]
+
+
+def test_one_site_of_a_table_in_folders_by_site(spark, windows, tmp_path):
+    path = str(tmp_path / "w")
+    windows.write.partitionBy("split", "site_id").parquet(path)
+    assert store.read_site(spark, path, "970").count() == 188
+
+
 def test_materialise_keeps_what_is_there(spark, tmp_path):
     path = str(tmp_path / "t")
     store.materialise(spark.range(3), path)
