@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..operators import history, reshape
+from ..operators.sequence import pack_chunks
 from ..sources import days, store
 from ..sources.manifest import list_files
 from ..sources.events import read_table
@@ -30,10 +31,15 @@ def materialise_resumes(spark, folder):
     source = fresh_path(spark, "resume")
     store.materialise(series, f"{source}/series")
     kept = spark.read.parquet(f"{source}/series")
-    month = F.date_trunc("MONTH", "ts")
 
-    def write(case, length=12, rows=kept, force=False):
-        windows = base.win.lag_windows(rows, chunk=month, length=length).select("site_id", "location", "ts", "idx", "split", "lag_1", "y")
+    def packed(rows):
+        return pack_chunks(rows, ("site_id",), ("ts", "location"), "flow", F.date_trunc("YEAR", "ts"))
+
+    # A year of a site, a row per day and flag, is sorted once, as one row; every run computes its windows from these rows.
+    years = stored(packed(kept), "packed")
+
+    def write(case, length=12, rows=years, force=False):
+        windows = base.win.packed_lag_windows(rows, length=length, made=(1,)).select("site_id", "location", "ts", "idx", "split", "lag_1", "y")
         return store.write_windows(windows, f"{source}/{case}", False, force, {"length": length}, [f"{source}/series"])
 
     def report(case, found):
@@ -43,7 +49,7 @@ def materialise_resumes(spark, folder):
 
     report("absent", write("absent"))
     # A driver that was lost while it wrote: some rows, no manifest.
-    some = base.win.lag_windows(kept.where("location = 'A'"), chunk=month)
+    some = base.win.packed_lag_windows(packed(kept.where("location = 'A'")), made=(1,))
     some.select("site_id", "location", "ts", "idx", "lag_1", "y", "split").write.partitionBy("split").parquet(f"{source}/broken")
     report("broken", write("broken"))
     write("stale", length=24)
@@ -52,11 +58,11 @@ def materialise_resumes(spark, folder):
     discard(spark, list_files(spark, [f"{source}/damaged"]).orderBy("path").first()["path"])
     report("damaged", write("damaged"))
     write("present")
-    report("present", write("present", rows=kept.limit(0)))  # the same manifest: nothing is computed or written
+    report("present", write("present", rows=years.limit(0)))  # the same manifest: nothing is computed or written
     write("grown")
     later = kept.withColumns({"ts": F.col("ts") + F.expr("interval 10 years"), "flow": F.col("flow") + 1})
     later.write.mode("append").parquet(f"{source}/series")
-    report("grown", write("grown", rows=spark.read.parquet(f"{source}/series")))
+    report("grown", write("grown", rows=packed(spark.read.parquet(f"{source}/series"))))
     first, *rest = out
     for part in rest:
         first = first.unionByName(part)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lagweave.functions.rounding import round6
 from lagweave.operators import boost, forecast, reshape, windows as win
-from lagweave.plans import queries
+from lagweave.plans import queries, upkeep
 from lagweave.sources import clustered, store
 
 
@@ -146,3 +146,11 @@ def test_pooled_fit_reads_stored_rows(spark, small, monkeypatch):
     queries.REGISTRY["fit_pooled_linear"](spark, small)
     assert "FileScan" in seen[0]._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in _plan(seen[0]) and seen[0].columns == ["split", "lag_2", "lag_1", "y"]
+
+
+def test_runs_of_a_resume_sort_years_once(spark, small, monkeypatch):
+    plans = []
+    monkeypatch.setattr(store, "write_windows", lambda rows, *a, keep=store.write_windows: (plans.append(_plan(rows)), keep(rows, *a))[1])
+    found = upkeep.REGISTRY["materialise_resumes"](spark, small).collect()
+    assert len(plans) == 10 and not any("row_number" in p for p in plans)
+    assert {r["case"]: r["found"] for r in found} == {c: c for c in ("absent", "broken", "stale", "damaged", "present")} | {"grown": "stale"}
